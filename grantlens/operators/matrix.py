@@ -56,7 +56,8 @@ def permission_matrix_count(history: DataFrame, roles: Sequence[str] | None = No
                             default_id: str = "default-project") -> DataFrame:
     """#58: principal x resource id, one count column per role short name (``roles/`` stripped).
 
-    A blank resource id becomes ``default_id``; counts are COUNTA of principal.
+    A blank resource id becomes ``default_id``; counts are COUNTA of principal
+    (0 where a principal has no binding of that role).
     """
     short = F.regexp_replace(F.col("iam_role"), r"^roles/", "")
     rid = F.when(F.col("resource_id").isNull() | (F.col("resource_id") == ""), F.lit(default_id)) \
@@ -66,5 +67,7 @@ def permission_matrix_count(history: DataFrame, roles: Sequence[str] | None = No
         roles = role_values(src, "role_short")
     else:
         roles = sorted({r[len("roles/"):] if r.startswith("roles/") else r for r in roles})
-    return (src.groupBy("principal", "resource_id").pivot("role_short", roles)
-            .agg(F.count(F.when(F.col("principal") != "", F.col("principal")))))
+    counted = (src.groupBy("principal", "resource_id").pivot("role_short", roles)
+               .agg(F.count(F.when(F.col("principal") != "", F.col("principal")))))
+    return counted.select("principal", "resource_id",
+                          *[F.coalesce(F.col(f"`{r}`"), F.lit(0).cast("long")).alias(r) for r in roles])
