@@ -42,6 +42,8 @@ def with_fixtures(sql: str) -> str:
     if not names:
         return body
     head = duckdb_ctes(names)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + head[5:].rstrip() + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return head.rstrip() + ",\n" + body[5:]
     return head + body

@@ -1,3 +1,457 @@
-"""Registered queries (workflow_views)."""
+"""Registered workflow / scope queries with their DuckDB oracles."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import member_identifier
+from ..operators import ingest, scope as sc, workflow as wf
+from .ingest_views import REQUESTER
+from .reconcile_views import NOW
+from .registry import AS_OF, RUN_ID, register
+
+TARGET_ORG = "1"
+
+ANCESTORS_SQL = """WITH RECURSIVE walk(node, up, hops) AS (
+  SELECT resource_id, parent_resource_id, 1 FROM gcp_resource_inventory
+  UNION ALL
+  SELECT w.node, i.parent_resource_id, w.hops + 1
+  FROM walk w JOIN gcp_resource_inventory i ON w.up = i.resource_id
+  WHERE w.hops < 32 AND NOT starts_with(w.up, 'organizations/')
+),
+last AS (
+  SELECT node, up, hops FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY hops DESC) AS rn FROM walk) WHERE rn = 1
+),
+anc AS (
+  SELECT node AS resource_id,
+    CASE WHEN starts_with(up, 'organizations/') THEN up END AS organization,
+    CASE WHEN starts_with(up, 'organizations/') THEN hops END AS depth
+  FROM last
+)"""
+
+
+def _scope_resources(t):
+    """Resources to check: every request resource plus the intake batch's normalised ones."""
+    req = t["iam_access_requests"].select("resource_name")
+    intake = ingest.intake_requests(t["intake_batch"], REQUESTER, AS_OF)[0].select("resource_name")
+    return req.unionByName(intake)
+
+
+SCOPE_SQL = ANCESTORS_SQL + f""",
+res AS (
+  SELECT DISTINCT resource_name FROM (
+    SELECT resource_name FROM iam_access_requests
+    UNION ALL
+    SELECT CASE WHEN trim(resource) = '' OR starts_with(trim(resource), 'projects/')
+                     OR starts_with(trim(resource), 'folders/') OR starts_with(trim(resource), 'organizations/')
+                THEN trim(resource) ELSE 'projects/' || trim(resource) END
+    FROM intake_batch WHERE request_group_id NOT IN (
+      SELECT request_group_id FROM intake_batch
+      WHERE trim(COALESCE(role, '')) <> '' AND NOT starts_with(trim(role), 'roles/')))
+),
+sc0 AS (
+  SELECT r.resource_name, trim(regexp_extract(r.resource_name, '^[^/]*/(.*)$', 1)) AS pid, a.organization
+  FROM res r LEFT JOIN anc a
+    ON a.resource_id = 'projects/' || trim(regexp_extract(r.resource_name, '^[^/]*/(.*)$', 1))
+),
+scope AS (
+  SELECT resource_name, CASE
+    WHEN NOT COALESCE(starts_with(resource_name, 'projects/'), FALSE)
+      THEN 'resource_name must start with projects/ (folder/org IAM changes are disabled by design)'
+    WHEN pid = '' THEN 'resource_name must contain project id'
+    WHEN organization IS NULL THEN 'failed to resolve organization for resource: ' || resource_name
+    WHEN regexp_extract(organization, '^organizations/(.*)$', 1) <> '{TARGET_ORG}'
+      THEN 'resource is out of managed organization scope: expected organizations/{TARGET_ORG}, got organizations/'
+           || regexp_extract(organization, '^organizations/(.*)$', 1)
+    END AS scope_error
+  FROM sc0
+)"""
+
+
+def _scope(t):
+    return sc.scope_check(_scope_resources(t), t["gcp_resource_inventory"], target_org=TARGET_ORG)
+
+
+@register("resolve_ancestors", ANCESTORS_SQL + " SELECT * FROM anc")
+def q_resolve_ancestors(t):
+    """#50: organisation and depth of every inventory node (pointer doubling)."""
+    return sc.resolve_ancestors(t["gcp_resource_inventory"])
+
+
+@register("scope_check", SCOPE_SQL + " SELECT resource_name, scope_error IS NULL AS in_scope, scope_error FROM scope")
+def q_scope_check(t):
+    """#49: organisation-mode scope check of request resources."""
+    return _scope(t)
+
+
+@register("scope_check_project_mode", """
+SELECT DISTINCT resource_name,
+  starts_with(resource_name, 'projects/') AND resource_name = 'projects/p3' AS in_scope,
+  CASE WHEN NOT starts_with(resource_name, 'projects/')
+         THEN 'resource_name must start with projects/ (folder/org IAM changes are disabled by design)'
+       WHEN resource_name <> 'projects/p3'
+         THEN 'resource is out of managed scope: expected projects/p3, got ' || resource_name END AS scope_error
+FROM iam_access_requests""")
+def q_scope_check_project_mode(t):
+    """#49: project-mode scope check (only projects/p3 is managed)."""
+    return sc.scope_check(t["iam_access_requests"], target_project="p3")
+
+
+REVIEW_DECISIONS_SQL = """
+u AS (SELECT trim(COALESCE(request_id, '')) AS rid, upper(trim(COALESCE(status, ''))) AS new,
+             trim(COALESCE(reject_reason, '')) AS rr, actor_email FROM {src}),
+j AS (SELECT u.*, r.status AS old, r.approver_email, r.request_id IS NOT NULL AS found
+      FROM u LEFT JOIN iam_access_requests r ON u.rid = r.request_id),
+c AS (SELECT *, CASE
+        WHEN rid = '' THEN 'INVALID_REQUEST_ID' WHEN new = '' THEN 'INVALID_STATUS'
+        WHEN NOT found THEN 'NOT_FOUND' WHEN COALESCE(old, '') = new THEN 'NO_STATUS_CHANGE'
+        WHEN new = 'REJECTED' AND rr = '' THEN 'MISSING_REJECT_REASON'
+        WHEN new IN ('APPROVED', 'REJECTED') AND trim(COALESCE(approver_email, '')) = '' THEN 'MISSING_APPROVER'
+        WHEN new IN ('APPROVED', 'REJECTED') AND lower(COALESCE(actor_email, '')) <> lower(trim(COALESCE(approver_email, '')))
+          THEN 'FORBIDDEN' END AS error_code FROM j),
+dec AS (
+  SELECT rid AS request_id, new AS status, old AS old_status, rr AS reject_reason, actor_email,
+    CASE WHEN error_code IS NULL THEN 'UPDATED' WHEN error_code = 'NO_STATUS_CHANGE' THEN 'SKIPPED' ELSE 'ERROR' END AS outcome,
+    error_code,
+    CASE error_code WHEN 'INVALID_REQUEST_ID' THEN 'request_id is required' WHEN 'INVALID_STATUS' THEN 'status is required'
+      WHEN 'NOT_FOUND' THEN 'request_id not found: ' || rid
+      WHEN 'MISSING_REJECT_REASON' THEN 'reject_reason is required when status is REJECTED'
+      WHEN 'MISSING_APPROVER' THEN 'approver_email is empty. Cannot approve or reject without an assigned approver.'
+      WHEN 'FORBIDDEN' THEN 'only approver can set APPROVED/REJECTED' END AS error_message
+  FROM c)"""
+
+
+def _decisions(t):
+    return wf.review_decisions(t["review_updates"], t["iam_access_requests"], "SHEET_BULK_REVIEW")
+
+
+@register("review_decisions", "WITH " + REVIEW_DECISIONS_SQL.format(src="review_updates").strip() + " SELECT * FROM dec")
+def q_review_decisions(t):
+    """#78: review cascade over the sheet's update rows."""
+    return _decisions(t)
+
+
+@register("normalize_reviews", """
+WITH n AS (
+  SELECT trim(COALESCE(request_id, '')) AS request_id,
+    CASE trim(COALESCE(status, '')) WHEN '申請中' THEN 'PENDING' WHEN '承認済' THEN 'APPROVED' WHEN '却下' THEN 'REJECTED'
+      WHEN '取消' THEN 'CANCELLED' ELSE upper(trim(COALESCE(status, ''))) END AS status,
+    trim(COALESCE(reject_reason, '')) AS reject_reason, actor_email, trim(COALESCE(status, '')) AS status_raw
+  FROM review_updates),
+b AS (SELECT actor_email, min(CASE WHEN status NOT IN ('PENDING','APPROVED','REJECTED','CANCELLED')
+                                   THEN 'invalid status: ' || status_raw END) AS batch_error
+      FROM n GROUP BY actor_email)
+SELECT n.*, b.batch_error FROM n JOIN b ON n.actor_email = b.actor_email""")
+def q_normalize_reviews(t):
+    """#79: label normalisation; one bad status rejects the reviewer's whole batch."""
+    return wf.normalize_reviews(t["review_updates"], "actor_email")
+
+
+REQ_COLS = ("request_id, request_group_id, request_type, principal_email, resource_name, role, reason, expires_at, "
+            "requester_email, approver_email, status, requested_at, approved_at, ticket_ref, created_at, updated_at")
+
+
+@register("apply_status_updates", "WITH " + REVIEW_DECISIONS_SQL.format(src="review_updates").strip() + f"""
+SELECT r.request_id, r.request_group_id, r.request_type, r.principal_email, r.resource_name, r.role, r.reason,
+  r.expires_at, r.requester_email, r.approver_email, COALESCE(d.status, r.status) AS status, r.requested_at,
+  CASE WHEN d.status = 'APPROVED' THEN {NOW} ELSE r.approved_at END AS approved_at, r.ticket_ref, r.created_at,
+  CASE WHEN d.status IS NOT NULL THEN {NOW} ELSE r.updated_at END AS updated_at
+FROM iam_access_requests r LEFT JOIN (SELECT DISTINCT request_id, status FROM dec WHERE outcome = 'UPDATED') d
+  ON r.request_id = d.request_id""")
+def q_apply_status_updates(t):
+    """#80: request table after applying the review decisions."""
+    return wf.apply_status_updates(t["iam_access_requests"], _decisions(t), AS_OF)
+
+
+@register("status_change_events", "WITH " + REVIEW_DECISIONS_SQL.format(src="review_updates").strip() + f"""
+SELECT sha256(concat_ws('|', d.request_id, 'STATUS_CHANGED', d.status, CAST({NOW} AS VARCHAR))) AS history_id,
+  d.request_id, r.request_group_id, 'STATUS_CHANGED' AS event_type, COALESCE(d.old_status, '') AS old_status,
+  d.status AS new_status, COALESCE(r.reason, '') AS reason_snapshot, COALESCE(r.request_type, '') AS request_type,
+  COALESCE(r.principal_email, '') AS principal_email, COALESCE(r.resource_name, '') AS resource_name,
+  COALESCE(r.role, '') AS role, COALESCE(r.requester_email, '') AS requester_email,
+  COALESCE(r.approver_email, '') AS approver_email, d.actor_email AS acted_by, 'SHEET_BULK_REVIEW' AS actor_source,
+  {NOW} AS event_at,
+  CASE WHEN d.reject_reason <> '' THEN '{{"note":"Bulk status update","reject_reason":"' || d.reject_reason || '"}}'
+       ELSE '{{"note":"Bulk status update"}}' END AS details
+FROM dec d JOIN iam_access_requests r ON d.request_id = r.request_id WHERE d.outcome = 'UPDATED'""".replace("{{", "{").replace("}}", "}"))
+def q_status_change_events(t):
+    """#81: STATUS_CHANGED audit rows of the applied updates."""
+    return wf.status_change_events(t["iam_access_requests"], _decisions(t), AS_OF)
+
+
+EXEC_PLAN_SQL = SCOPE_SQL + """,
+ids AS (SELECT DISTINCT trim(request_id) AS request_id FROM {ids} WHERE trim(request_id) <> ''),
+succ AS (SELECT request_id, bool_or(COALESCE(result = 'SUCCESS', FALSE)) AS has_success
+         FROM iam_access_change_log WHERE request_id IN (SELECT request_id FROM ids) GROUP BY request_id),
+pj AS (
+  SELECT i.request_id, r.request_id IS NOT NULL AS found, r.request_type, r.status, r.resource_name, r.reason,
+    s.scope_error, COALESCE(x.has_success, FALSE) AS has_success
+  FROM ids i LEFT JOIN {req} r ON i.request_id = r.request_id
+  LEFT JOIN scope s ON r.resource_name = s.resource_name
+  LEFT JOIN succ x ON i.request_id = x.request_id),
+plan AS (
+  SELECT request_id, CASE WHEN NOT found THEN 'NOT_FOUND' WHEN status <> 'APPROVED' THEN 'STATUS_NOT_APPROVED'
+      WHEN scope_error IS NOT NULL THEN 'OUT_OF_SCOPE' WHEN has_success THEN 'IDEMPOTENT_SKIP' ELSE 'EXECUTE' END AS decision,
+    resource_name, reason, status, request_type, scope_error, found
+  FROM pj)"""
+
+PLAN_SELECT = """
+SELECT request_id, decision,
+  CASE WHEN decision IN ('STATUS_NOT_APPROVED', 'IDEMPOTENT_SKIP') THEN 'SKIPPED' WHEN decision = 'OUT_OF_SCOPE' THEN 'FAILED' END AS result,
+  CASE WHEN decision = 'OUT_OF_SCOPE' THEN 'OUT_OF_SCOPE' END AS error_code,
+  CASE WHEN decision = 'STATUS_NOT_APPROVED' THEN 'status is ' || status WHEN decision = 'IDEMPOTENT_SKIP' THEN 'already executed'
+       WHEN decision = 'OUT_OF_SCOPE' THEN scope_error END AS reason,
+  CASE WHEN found THEN (CASE WHEN upper(COALESCE(request_type, '')) = 'REVOKE' THEN 'REVOKE' ELSE 'GRANT' END) END AS action,
+  resource_name AS target,
+  COALESCE(strpos(reason, '[緊急]') > 0 AND decision = 'EXECUTE', FALSE) AS break_glass
+FROM plan"""
+
+
+@register("execution_plan", EXEC_PLAN_SQL.format(
+    ids="(SELECT request_id FROM review_updates WHERE upper(trim(status)) = 'APPROVED')",
+    req="iam_access_requests") + PLAN_SELECT)
+def q_execution_plan(t):
+    """#82: execution gate for the ids approved on the review sheet."""
+    ids = t["review_updates"].filter(F.upper(F.trim("status")) == "APPROVED").select("request_id")
+    return wf.execution_plan(t["iam_access_requests"], ids, t["iam_access_change_log"], _scope(t))
+
+
+BINDINGS_SQL = """
+b AS (SELECT DISTINCT resource_name, role, member, CASE WHEN length(member) % 9 = 0 THEN 'expiring' END AS condition FROM (
+  SELECT resource_name, role, CASE WHEN principal_type = 'SERVICE_ACCOUNT' THEN 'serviceAccount:' || principal_email
+    WHEN principal_type IN ('USER', 'UNKNOWN') OR principal_type IS NULL THEN
+      (CASE WHEN strpos(principal_email, ':') > 0 THEN principal_email
+            WHEN suffix(principal_email, 'gserviceaccount.com') THEN 'serviceAccount:' || principal_email
+            ELSE 'user:' || principal_email END)
+    ELSE lower(principal_type) || ':' || principal_email END AS member
+  FROM iam_policy_permissions))"""
+
+DIFF_SQL = "WITH " + BINDINGS_SQL.strip() + """,
+ch AS (SELECT request_id, CASE WHEN upper(COALESCE(request_type, '')) = 'REVOKE' THEN 'REVOKE' ELSE 'GRANT' END AS action,
+         resource_name, role,
+         CASE WHEN strpos(principal_email, ':') > 0 THEN principal_email
+              WHEN suffix(principal_email, 'gserviceaccount.com') THEN 'serviceAccount:' || principal_email
+              ELSE 'user:' || principal_email END AS member
+       FROM iam_access_requests WHERE status = 'APPROVED'),
+res AS (
+  SELECT ch.request_id, ch.action, ch.resource_name AS target, ch.role, ch.member,
+    ((ch.action = 'GRANT' AND NOT EXISTS (SELECT 1 FROM b WHERE b.resource_name = ch.resource_name AND b.role = ch.role
+                                           AND b.member = ch.member AND b.condition IS NULL))
+     OR (ch.action = 'REVOKE' AND EXISTS (SELECT 1 FROM b WHERE b.resource_name = ch.resource_name AND b.role = ch.role
+                                           AND b.member = ch.member)))
+    AND ROW_NUMBER() OVER (PARTITION BY ch.action, ch.resource_name, ch.role, ch.member ORDER BY ch.request_id) = 1 AS changed
+  FROM ch)
+"""
+
+
+def _diff(t):
+    bindings = wf.binding_rows(t["iam_policy_permissions"]).withColumn(
+        "condition", F.when(F.length("member") % 9 == 0, F.lit("expiring"))).distinct()
+    changes = t["iam_access_requests"].filter(F.col("status") == "APPROVED").select(
+        "request_id", F.col("request_type").alias("action"), "resource_name", "role", "principal_email")
+    return wf.policy_diff(bindings, changes), bindings
+
+
+@register("policy_diff_results", DIFF_SQL + """
+SELECT request_id, action, target, role, member, CASE WHEN changed THEN 'SUCCESS' ELSE 'SKIPPED' END AS result, changed
+FROM res""")
+def q_policy_diff_results(t):
+    """#83: per approved request: SUCCESS (policy changed) or SKIPPED (no diff)."""
+    return _diff(t)[0][1]
+
+
+@register("policy_diff_bindings", DIFF_SQL + """
+SELECT resource_name, role, member, condition FROM b
+WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.action = 'REVOKE' AND res.changed AND res.target = b.resource_name
+                  AND res.role = b.role AND res.member = b.member)
+UNION ALL
+SELECT target, role, member, CAST(NULL AS VARCHAR) FROM res WHERE action = 'GRANT' AND changed""")
+def q_policy_diff_bindings(t):
+    """#83: binding set after applying every approved change."""
+    return _diff(t)[0][0]
+
+
+@register("policy_fingerprint", "WITH " + BINDINGS_SQL.strip() + """
+SELECT resource_name, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(bit_xor(CAST('0x' ||
+  substr(sha256(concat_ws('|', role, member, COALESCE(condition, ''))), 1, 15) AS BIGINT)) AS VARCHAR))) AS policy_hash
+FROM b GROUP BY resource_name""")
+def q_policy_fingerprint(t):
+    """#84: order-independent digest of each resource's policy."""
+    return wf.policy_fingerprint(_diff(t)[1])
+
+
+@register("member_identifier", """
+SELECT request_id, principal_email,
+  CASE WHEN strpos(principal_email, ':') > 0 THEN principal_email
+       WHEN suffix(principal_email, 'gserviceaccount.com') THEN 'serviceAccount:' || principal_email
+       ELSE 'user:' || principal_email END AS member
+FROM iam_access_requests""")
+def q_member_identifier(t):
+    """#85: e-mail -> IAM member string."""
+    r = t["iam_access_requests"]
+    return r.select("request_id", "principal_email", member_identifier(F.col("principal_email")).alias("member"))
+
+
+REVOKE_SQL = """
+WITH actual AS (SELECT DISTINCT principal_email, resource_name, role FROM iam_policy_permissions),
+exp AS (
+  SELECT r.request_id, r.principal_email, r.resource_name, r.role, r.status,
+    (a.principal_email IS NOT NULL) AS active
+  FROM iam_access_requests r LEFT JOIN actual a
+    ON r.principal_email = a.principal_email AND r.role = a.role AND r.resource_name = a.resource_name
+  WHERE r.status IN ('APPROVED', 'REVOKE_FAILED') AND r.request_type != 'REVOKE'
+    AND r.expires_at IS NOT NULL AND r.expires_at < {now}),
+bm AS (SELECT DISTINCT resource_name, role, CASE WHEN principal_type = 'SERVICE_ACCOUNT' THEN 'serviceAccount:' || principal_email
+    WHEN principal_type IN ('USER', 'UNKNOWN') OR principal_type IS NULL THEN
+      (CASE WHEN strpos(principal_email, ':') > 0 THEN principal_email
+            WHEN suffix(principal_email, 'gserviceaccount.com') THEN 'serviceAccount:' || principal_email
+            ELSE 'user:' || principal_email END)
+    ELSE lower(principal_type) || ':' || principal_email END AS member FROM iam_policy_permissions),
+act AS (
+  SELECT e.request_id,
+    EXISTS (SELECT 1 FROM bm WHERE bm.resource_name = e.resource_name AND bm.role = e.role AND bm.member =
+      (CASE WHEN strpos(e.principal_email, ':') > 0 THEN e.principal_email
+            WHEN suffix(e.principal_email, 'gserviceaccount.com') THEN 'serviceAccount:' || e.principal_email
+            ELSE 'user:' || e.principal_email END))
+    AND ROW_NUMBER() OVER (PARTITION BY e.resource_name, e.role,
+      (CASE WHEN strpos(e.principal_email, ':') > 0 THEN e.principal_email
+            WHEN suffix(e.principal_email, 'gserviceaccount.com') THEN 'serviceAccount:' || e.principal_email
+            ELSE 'user:' || e.principal_email END) ORDER BY e.request_id) = 1 AS changed
+  FROM exp e WHERE e.active),
+d AS (
+  SELECT e.*, CASE WHEN NOT e.active THEN 'SKIPPED' WHEN a.changed THEN 'SUCCESS' ELSE 'SKIPPED' END AS result,
+    CASE WHEN NOT e.active THEN 'REVOKED_ALREADY_GONE' WHEN a.changed THEN 'REVOKED' ELSE 'REVOKED_ALREADY_GONE' END AS new_status
+  FROM exp e LEFT JOIN act a ON e.request_id = a.request_id)
+""".replace("{now}", NOW)
+
+
+def _revoke(t):
+    return wf.revoke_expired(t["iam_access_requests"], t["iam_policy_permissions"],
+                             wf.binding_rows(t["iam_policy_permissions"]), AS_OF, RUN_ID)
+
+
+@register("revoke_expired_log", REVOKE_SQL + f"""
+SELECT '{RUN_ID}' AS execution_id, request_id, 'REVOKE' AS action, resource_name AS target, result,
+  CASE WHEN NOT active THEN '{{"reason":"Already gone"}}' END AS details, {NOW} AS executed_at FROM d""".replace("{{", "{").replace("}}", "}"))
+def q_revoke_expired_log(t):
+    """#86: change-log rows of the expiry revocation run."""
+    return _revoke(t)["log"]
+
+
+@register("revoke_expired_decisions", REVOKE_SQL + """
+SELECT request_id, new_status AS status, status AS old_status, '' AS reject_reason, 'SYSTEM_AUTO_REVOKE' AS actor_email,
+  CASE WHEN status = new_status THEN 'SKIPPED' ELSE 'UPDATED' END AS outcome FROM d""")
+def q_revoke_expired_decisions(t):
+    """#86: status decisions of the expiry revocation run."""
+    return _revoke(t)["decisions"]
+
+
+@register("job_outcome_summary", REVOKE_SQL + """
+SELECT CAST(count(*) FILTER (WHERE new_status = 'REVOKED') AS BIGINT) AS revoked,
+  CAST(count(*) FILTER (WHERE new_status = 'REVOKED_ALREADY_GONE') AS BIGINT) AS skipped,
+  CAST(count(*) FILTER (WHERE new_status = 'REVOKE_FAILED') AS BIGINT) AS failed,
+  CASE WHEN count(*) FILTER (WHERE new_status = 'REVOKE_FAILED') > 0 THEN 'FAILED' ELSE 'SUCCESS' END AS result FROM d""")
+def q_job_outcome_summary(t):
+    """#60: revoked / skipped / failed counts of the revocation run."""
+    return _revoke(t)["summary"]
+
+
+BULK_HEAD = """
+n AS (
+  SELECT trim(COALESCE(request_id, '')) AS request_id,
+    CASE trim(COALESCE(status, '')) WHEN '申請中' THEN 'PENDING' WHEN '承認済' THEN 'APPROVED' WHEN '却下' THEN 'REJECTED'
+      WHEN '取消' THEN 'CANCELLED' ELSE upper(trim(COALESCE(status, ''))) END AS status,
+    trim(COALESCE(reject_reason, '')) AS reject_reason, actor_email, trim(COALESCE(status, '')) AS status_raw
+  FROM review_updates),
+nb AS (SELECT request_id, min(CASE WHEN status NOT IN ('PENDING','APPROVED','REJECTED','CANCELLED')
+                                   THEN 'invalid status: ' || status_raw END) AS batch_error FROM n GROUP BY request_id),
+nn AS (SELECT n.*, nb.batch_error FROM n JOIN nb ON n.request_id = nb.request_id),
+okb AS (SELECT * FROM nn WHERE batch_error IS NULL AND request_id <> ''),
+""" + REVIEW_DECISIONS_SQL.format(src="okb").strip() + """,
+req_after AS (SELECT r.* REPLACE (COALESCE(d.status, r.status) AS status) FROM iam_access_requests r
+              LEFT JOIN (SELECT DISTINCT request_id, status FROM dec WHERE outcome = 'UPDATED') d
+              ON r.request_id = d.request_id)"""
+
+
+def _bulk_sql() -> str:
+    scope_part = SCOPE_SQL[len("WITH RECURSIVE "):]
+    plan_part = EXEC_PLAN_SQL.format(
+        ids="(SELECT request_id FROM dec WHERE outcome = 'UPDATED' AND status = 'APPROVED')",
+        req="req_after")[len(SCOPE_SQL):]
+    return ("WITH RECURSIVE " + BULK_HEAD.strip() + ",\n" + scope_part + plan_part + """
+SELECT request_id, status, FALSE AS succeeded, 'BATCH_REJECTED' AS error_code, batch_error AS error_message,
+  CAST(NULL AS VARCHAR) AS execution_decision FROM nn WHERE batch_error IS NOT NULL
+UNION ALL
+SELECT d.request_id, d.status,
+  (d.outcome = 'UPDATED' AND NOT COALESCE(p.decision = 'OUT_OF_SCOPE', FALSE)) AS succeeded,
+  CASE WHEN d.outcome = 'SKIPPED' THEN 'SKIPPED' WHEN d.outcome = 'ERROR' THEN d.error_code
+       WHEN p.decision = 'OUT_OF_SCOPE' THEN 'OUT_OF_SCOPE' END AS error_code,
+  CASE WHEN d.outcome = 'SKIPPED' THEN COALESCE(d.error_code, 'skipped') WHEN d.outcome = 'ERROR' THEN d.error_message
+       WHEN p.decision = 'OUT_OF_SCOPE' THEN p.scope_error END AS error_message,
+  p.decision AS execution_decision
+FROM dec d LEFT JOIN plan p ON d.request_id = p.request_id""")
+
+
+def _bulk(t):
+    return wf.bulk_review(t["review_updates"], t["iam_access_requests"], t["iam_access_change_log"], _scope(t), AS_OF)
+
+
+@register("bulk_review", _bulk_sql())
+def q_bulk_review(t):
+    """#87: bulk review, one submission per review line: normalise, decide, gate execution."""
+    return _bulk(t)
+
+
+@register("review_outcome_summary", _bulk_sql().replace("\nSELECT request_id, status, FALSE AS succeeded", "\n, lines AS (SELECT request_id, status, FALSE AS succeeded", 1)
+          + """)
+SELECT CAST(count(*) FILTER (WHERE succeeded) AS BIGINT) AS succeeded,
+  CAST(count(*) FILTER (WHERE NOT succeeded) AS BIGINT) AS failed,
+  CASE WHEN count(*) FILTER (WHERE NOT succeeded) > 0 AND count(*) FILTER (WHERE succeeded) > 0 THEN 'PARTIAL_SUCCESS'
+       WHEN count(*) FILTER (WHERE NOT succeeded) > 0 THEN 'FAILED' ELSE 'SUCCESS' END AS result FROM lines""")
+def q_review_outcome_summary(t):
+    """#61: SUCCESS / PARTIAL_SUCCESS / FAILED over the bulk review lines."""
+    return wf.review_outcome_summary(_bulk(t))
+
+
+@register("principal_collection_outcome", """
+WITH runs AS (SELECT DISTINCT CAST(occurred_at AS DATE) AS run_date FROM iam_pipeline_job_reports
+              WHERE job_type = 'PRINCIPAL_COLLECTION'),
+w AS (SELECT CAST(occurred_at AS DATE) AS run_date, count(*) AS n FROM iam_pipeline_job_reports
+      WHERE job_type = 'PRINCIPAL_COLLECTION' AND result <> 'SUCCESS' GROUP BY 1)
+SELECT r.run_date, CAST(COALESCE(w.n, 0) AS BIGINT) AS warnings,
+  CASE WHEN COALESCE(w.n, 0) > 0 THEN 'PARTIAL_SUCCESS' ELSE 'SUCCESS' END AS result,
+  CASE WHEN COALESCE(w.n, 0) > 0 THEN 'PARTIAL_COLLECTION' END AS error_code
+FROM runs r LEFT JOIN w ON r.run_date = w.run_date""")
+def q_principal_collection_outcome(t):
+    """#62: per daily principal collection: warnings -> PARTIAL_SUCCESS."""
+    rep = t["iam_pipeline_job_reports"].filter(F.col("job_type") == "PRINCIPAL_COLLECTION") \
+        .withColumn("run_date", F.col("occurred_at").cast("date"))
+    return wf.principal_collection_outcome(rep, rep.filter(F.col("result") != "SUCCESS"), "run_date")
+
+
+@register("classify_job_failure", """
+WITH e AS (
+  SELECT execution_id, job_type, CAST(json_extract_string(counts, '$.k') AS INTEGER) AS k
+  FROM iam_pipeline_job_reports WHERE result IN ('FAILED', 'FAILED_PERMISSION')),
+x AS (SELECT execution_id, job_type,
+        CASE k % 3 WHEN 0 THEN 'GcpPermissionDenied' WHEN 1 THEN 'HttpError' ELSE 'RuntimeError' END AS error_class,
+        CASE WHEN k % 3 = 1 THEN 401 + k % 4 END AS http_status FROM e),
+y AS (SELECT *, (error_class = 'GcpPermissionDenied' OR (error_class = 'HttpError' AND http_status IN (401, 403))) AS p FROM x)
+SELECT execution_id, job_type, error_class, CASE WHEN p THEN 'FAILED_PERMISSION' ELSE 'FAILED' END AS result,
+  CASE WHEN NOT p THEN 'Check Cloud Run logs for details.'
+       WHEN job_type = 'RESOURCE_COLLECTION' THEN 'Grant roles/cloudasset.viewer to executor SA on managed scope and verify Cloud Asset API is enabled.'
+       WHEN job_type = 'PRINCIPAL_COLLECTION' THEN 'Grant Cloud Identity / Admin SDK / IAM read permissions to executor SA and verify related APIs are enabled.'
+       ELSE 'Verify IAM permissions for this collection job.' END AS hint,
+  CASE WHEN p THEN 200 ELSE 500 END AS http_status
+FROM y""")
+def q_classify_job_failure(t):
+    """#91: classify failed job runs (error class taken from the run's counters)."""
+    rep = t["iam_pipeline_job_reports"].filter(F.col("result").isin("FAILED", "FAILED_PERMISSION"))
+    k = F.get_json_object("counts", "$.k").cast("int")
+    errors = rep.select("execution_id", "job_type",
+                        F.when(k % 3 == 0, F.lit("GcpPermissionDenied")).when(k % 3 == 1, F.lit("HttpError"))
+                        .otherwise(F.lit("RuntimeError")).alias("error_class"),
+                        F.when(k % 3 == 1, F.lit(401) + k % 4).alias("http_status"))
+    return wf.classify_job_failure(errors)
+
