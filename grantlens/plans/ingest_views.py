@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_emergency, normalize_request_type, normalize_resource_name
 from ..operators import ingest
-from ..sources import nested
+from ..sources import nested, sinks
 from .reconcile_views import NOW
 from .registry import AS_OF, RUN_ID, register
 
@@ -220,3 +220,31 @@ FROM intake_batch""")
 def q_validate_requests(t):
     """#77: per-row validation errors."""
     return ingest.validate_requests(t["intake_batch"]).select("request_id", "validation_error")
+
+
+@register("evolve_request_group_id", """
+SELECT * REPLACE (COALESCE(CASE WHEN ticket_ref = '' THEN NULL ELSE request_group_id END, request_id) AS request_group_id)
+FROM iam_access_requests""")
+def q_evolve_request_group_id(t):
+    """#15: legacy rows (no ticket) carry no group id; the backfill sets it to the request id."""
+    legacy = t["iam_access_requests"].withColumn(
+        "request_group_id", F.when(F.col("ticket_ref") == "", F.lit(None).cast("string"))
+        .otherwise(F.col("request_group_id")))
+    return sinks.evolve_request_group_id(legacy)
+
+
+@register("append_requests", INTAKE_CTE + f"""
+SELECT * EXCLUDE (parse_warning, ai_suggestion), {NOW} AS created_at, {NOW} AS updated_at FROM ok""")
+def q_append_requests(t):
+    """#10: accepted intake rows as they are appended to the request table."""
+    req = _intake(t)[0].drop("parse_warning", "ai_suggestion")
+    return sinks.prepare_requests(req, AS_OF)
+
+
+@register("append_job_report", """
+SELECT execution_id, job_type, result, CAST(json(counts) AS VARCHAR) AS counts, occurred_at FROM iam_pipeline_job_reports""")
+def q_append_job_report(t):
+    """#13: job reports with counts as JSON text (a map column is serialised)."""
+    rep = t["iam_pipeline_job_reports"]
+    as_map = rep.withColumn("counts", F.from_json("counts", "map<string,int>"))
+    return sinks.prepare_job_report(as_map).select("execution_id", "job_type", "result", "counts", "occurred_at")

@@ -71,3 +71,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     _load_all()
     return {name: with_fixtures(sql) for name, (_, sql) in _REGISTRY.items() if sql}
+
+
+def run(name: str, tables: TableSet) -> DataFrame:
+    """Build one registered query over an existing :class:`TableSet`."""
+    _load_all()
+    return _REGISTRY[name][0](tables)
+
+
+def names() -> list[str]:
+    _load_all()
+    return list(_REGISTRY)
