@@ -81,9 +81,14 @@ def latest_snapshot_id(df: DataFrame, ts_col: str) -> DataFrame:
 def latest_snapshot(df: DataFrame, ts_col: str) -> DataFrame:
     """#48: rows of the newest snapshot only.
 
-    The one-row id table is broadcast (size bound: exactly one row) and joined
-    on (timestamp, execution_id) so dynamic partition pruning can skip older
-    snapshot partitions when the history is partitioned by snapshot date.
+    The newest (timestamp, execution_id) is a scalar subquery (one global
+    partial aggregate, evaluated once); the filter on it needs no join.  On a
+    stored table partitioned by ``p_date`` (see ``sinks.write_partitioned``)
+    the same subquery also filters the partition column, so older snapshot
+    folders are skipped.
     """
-    latest = latest_snapshot_id(df, ts_col)
-    return df.join(F.broadcast(latest), [ts_col, "execution_id"], "left_semi")
+    newest = df.agg(F.max(F.struct(F.col(ts_col), F.col("execution_id"))).alias("m")).scalar()
+    out = df.filter(F.struct(F.col(ts_col), F.col("execution_id")) == newest)
+    if "p_date" in df.columns:
+        out = out.filter(F.col("p_date") == newest.getField(ts_col).cast("date"))
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import TRIPLE, regexp_extract_or_null, ts
-from .latest import latest_snapshot_id, newest_by_aggregate
+from .latest import latest_snapshot, newest_by_aggregate
 
 RAW_HISTORY_COLUMNS = ["execution_id", "assessment_timestamp", "scope", "resource_type",
                        "resource_name", "principal_type", "principal_email", "role"]
@@ -107,5 +107,4 @@ def binding_first_seen_rows(raw_hist: DataFrame, principal_email: str, resource_
 def permissions_as_of(raw_hist: DataFrame, t: str | _dt.datetime) -> DataFrame:
     """#34: who held what at time ``t``: rows of the newest snapshot taken at or before ``t``."""
     upto = raw_hist.filter(F.col("assessment_timestamp") <= ts(t))
-    snap = latest_snapshot_id(upto, "assessment_timestamp")
-    return upto.join(F.broadcast(snap), ["assessment_timestamp", "execution_id"], "left_semi")
+    return latest_snapshot(upto, "assessment_timestamp")
