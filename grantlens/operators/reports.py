@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import TRIPLE, days, nullif_empty, role_short_name, role_type, ts, type_label_ja
-from .latest import latest_execution_per_request, latest_snapshot, newest_by_aggregate
+from .latest import latest_execution_per_request, latest_snapshot, newest_payload
 
 JOB_COLLECTION_TYPES = ["RESOURCE_COLLECTION", "PRINCIPAL_COLLECTION", "IAM_POLICY_COLLECTION"]
 
@@ -161,7 +161,7 @@ def inventory_with_requests(perm: DataFrame, req: DataFrame, log: DataFrame) ->
     latest = latest_execution_per_request(log).select(
         "request_id", F.col("result").alias("latest_execution_result"),
         F.col("executed_at").alias("latest_executed_at"))
-    newest = newest_by_aggregate(req, TRIPLE, ["requested_at", "request_id"],
+    newest = newest_payload(req, TRIPLE, ["requested_at", "request_id"],
                                  ["request_id", "request_group_id", "status", "requested_at", "approved_at",
                                   "ticket_ref"])
     ctx = newest.join(latest, "request_id", "left")

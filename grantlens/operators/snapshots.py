@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import TRIPLE, regexp_extract_or_null, ts
-from .latest import latest_snapshot, newest_by_aggregate
+from .latest import latest_snapshot, newest_payload
 
 RAW_HISTORY_COLUMNS = ["execution_id", "assessment_timestamp", "scope", "resource_type",
                        "resource_name", "principal_type", "principal_email", "role"]
@@ -31,10 +31,10 @@ def archive_raw_bindings(perm: DataFrame, execution_id: str, as_of: str | _dt.da
 
 
 def newest_request_context(req: DataFrame) -> DataFrame:
-    """Newest request per triple with the columns snapshots need (partial aggregate)."""
+    """Newest request per triple with the columns snapshots need."""
     payload = ["request_id", "request_group_id", "status", "reason", "ticket_ref", "approved_at",
                "expires_at", "approver_email", "requested_at"]
-    return newest_by_aggregate(req, TRIPLE, ["requested_at", "request_id"], payload)
+    return newest_payload(req, TRIPLE, ["requested_at", "request_id"], payload)
 
 
 def bindings_history_snapshot(perm: DataFrame, req: DataFrame, status_master: DataFrame,
