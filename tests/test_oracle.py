@@ -6,12 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from grantlens.plans import registry
 from tools.oracle_check import TABLES, rows
 
 from .conftest import SF_SMALL
 
-ORACLES = E.oracle_sql()
-NAMES = list(E.queries())
+ORACLES = registry.oracle_sql()
+NAMES = registry.names()
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +27,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(NAMES) == set(ORACLES)
+    assert set(NAMES) <= set(E.queries()) and ORACLES.items() <= E.oracle_sql().items()
 
 
 def test_entry_smoke(spark):
