@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, superkmer
+from . import decontam, minhash, superkmer, tokencount, tokenfile
+from .common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in Simple-8b segments, written in ascending doc_id order and read back."""
+    path = shared_path(spark, "token-files")
+    tokenfile.write_tokens(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over distinct 4-word shingles at a Jaccard similarity of 0.8 or more."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -24,6 +38,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10).drop("spans")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of whole texts through a digest cache that starts empty."""
+    cache = shared_path(spark, "token-count-cache")
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), cache, _vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of words covered by a 20-word window that also starts earlier."""
     out = superkmer.remove_repeats(_table(spark, sf_dir, "documents"), k=20)
@@ -31,7 +51,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op6_minhash_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op5_token_files, op6_minhash_dedup, op9_token_counts, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
