@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, superkmer, tokencount, tokenfile
+from . import decontam, minhash, packing, superkmer, tokencount, tokenfile
 from .common import shared_path
 
 
@@ -21,6 +21,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens, each filled with a seed's BM25 neighbours."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), window=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in Simple-8b segments, written in ascending doc_id order and read back."""
     path = shared_path(spark, "token-files")
@@ -51,7 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_token_files, op6_minhash_dedup, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op5_token_files, op6_minhash_dedup, op9_token_counts, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
