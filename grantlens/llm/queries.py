@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, superkmer, tokencount, tokenfile
+from . import decontam, linededup, minhash, packing, slots, superkmer, tokencount, tokenfile
 from .common import shared_path
 
 
@@ -27,6 +27,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near equal bytes, by a rebalanced map of virtual slots."""
+    placed = slots.shard_documents(_table(spark, sf_dir, "documents"), shared_path(spark, "slot-map"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in Simple-8b segments, written in ascending doc_id order and read back."""
     path = shared_path(spark, "token-files")
@@ -44,6 +51,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10).drop("spans")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 20 code points found in at least 3 documents stay only in the largest doc_id."""
+    out = linededup.dedup_lines(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of whole texts through a digest cache that starts empty."""
     cache = shared_path(spark, "token-count-cache")
@@ -57,8 +70,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op5_token_files, op6_minhash_dedup, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op4_sharding, op5_token_files, op6_minhash_dedup, op7_line_dedup, op9_token_counts, op10_substring_dedup)}
+
+
+#: Lines are unnested with their document; a key's documents are counted and its largest doc_id kept.
+OP7_SQL = r"""
+WITH line AS (
+  SELECT doc_id, unnest(generate_series(1, len(parts))) AS pos, unnest(parts) AS line, len(parts) AS n_lines
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+)
+SELECT doc_id, max(n_lines) AS n_lines, count(*) FILTER (WHERE keeper <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN repeated USING (key) GROUP BY doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL}
