@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, minhash, packing, slots, superkmer, tokencount, tokenfile
+from . import decontam, linededup, minhash, packing, rules, slots, superkmer, tokencount, tokenfile
 from .common import shared_path
 
 
@@ -57,6 +57,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text by a rule ensemble learnt from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = rules.fit(docs, _table(spark, sf_dir, "labels"))
+    return rules.quality_scores(docs, model).select("row.doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of whole texts through a digest cache that starts empty."""
     cache = shared_path(spark, "token-count-cache")
@@ -70,7 +77,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op4_sharding, op5_token_files, op6_minhash_dedup, op7_line_dedup, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op4_sharding, op5_token_files, op6_minhash_dedup, op7_line_dedup, op8_quality_classifier, op9_token_counts, op10_substring_dedup)}
 
 
 #: Lines are unnested with their document; a key's documents are counted and its largest doc_id kept.
