@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_and_text, key_id, stored, text_batches, text_buffer
+from .common import LAST_ID, arrow_schema, id_and_text, key_id, stored, text_batches, text_buffer
 from .components import connected_components
 from .wordhash import mix, windows, word_hashes, word_spans
 
@@ -84,13 +84,13 @@ class MinMax:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(did, n_shingles, set_a, set_b, bands) per row; set_a and set_b together identify the shingle set."""
-    schema, arrow = arrow_schema("did long, n_shingles long, set_a long, set_b long, bands array<long>")
+    """(did, tkey, n_shingles, set_a, set_b, bands) per row; tkey is a hash of the text; set_a and set_b together identify the shingle set."""
+    schema, arrow = arrow_schema("did long, tkey long, n_shingles long, set_a long, set_b long, bands array<long>")
 
     def run(batches):
         kind = MinMax(bands, rows)
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(2))
             sets = list(shingle_hashes(data, offsets, width))
             n = np.array([len(s) for s in sets], np.int64)
             sums = np.array([[mix(s).sum(dtype=_U), mix(s ^ _U(0xA5A5A5A5DEADBEEF)).sum(dtype=_U)] for s in sets], _U).reshape(-1, 2)
@@ -99,10 +99,14 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             ends = np.zeros(len(n) + 1, np.int32)
             np.cumsum((n > 0) * bands, out=ends[1:])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)),
+                batch.column(0), batch.column(1), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64))).cast(arrow.field("bands").type)], schema=arrow)
 
-    return docs.select(key_id().alias("did"), "text").mapInArrow(run, schema)
+    return _keyed(docs).mapInArrow(run, schema)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(key_id().alias("did"), F.xxhash64("text").alias("tkey"), "text")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -122,8 +126,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(mine) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("did").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("did").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
 
@@ -135,9 +139,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     A-Z lower-cased; a shorter text is one shingle).  ``component_id`` is the
     smallest doc_id reachable by links; ``kept`` says that it is the row's own.
     Texts without words (null, empty, blank) link with nothing and are kept.
-    Rows without doc_id count as the largest id, get component_id null when
-    nothing smaller is linked, and are then kept.  Rows that share a doc_id
-    share its fate where their texts are equal.  With 32 bands of 4 values a
+    Rows without doc_id count as the largest id; they report component_id null
+    and are kept unless a row with an id is reachable.  With 32 bands of 4 values a
     pair at the threshold shares no band with probability below 1e-7.
     """
     spark = docs.sparkSession
@@ -145,32 +148,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     docs = id_and_text(docs)
     sigs = stored(signatures(docs, width, bands, rows), "signatures")
     full = sigs.where("n_shingles > 0")
-    classes = stored(full.groupBy("set_a", "set_b").agg(F.min("did").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    reps = (full.join(classes, ["set_a", "set_b"]).where("did = rep")
-            .select("rep", "n", "bands").dropDuplicates(["rep"]))
-    entries = reps.select("rep", "n", F.explode("bands").alias("key"))
+    classes = full.groupBy("set_a", "set_b").agg(F.min(F.struct("did", "tkey")).alias("rep"), F.max("n_shingles").alias("n"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = (full.join(classes, ["set_a", "set_b"]).where("did = rep.did and tkey = rep.tkey")
+            .select("node", "n", "rep", "bands").dropDuplicates(["node"]))
+    entries = reps.select("node", "n", "rep", F.explode("bands").alias("key"))
     shared = stored(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = stored(entries.join(shared, "key").select("key", "rep", "n"), "members")
-    needed = members.select(F.col("rep").alias("did")).distinct()
-    texts = stored(docs.select(key_id().alias("did"), "text").join(needed, "did").dropDuplicates(["did"]), "texts")
+    members = stored(entries.join(shared, "key").select("key", "node", "n", "rep"), "members")
+    needed = members.select("node", "rep.did", "rep.tkey").distinct()
+    texts = stored(_keyed(docs).join(needed, ["did", "tkey"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     labels = links = done = None
     low, high = 0, 1
+    members = members.select("key", "node", "n")
     while True:
         if labels is None:
-            current = members.withColumn("component", F.col("rep"))
+            current = members.withColumn("component", F.col("node"))
         else:
-            current = (members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                       .withColumn("component", F.coalesce("component", "rep")))
+            current = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = (current.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
                  .where(f"lo <> hi and size > {low + 1}").select("key"))
         current = current.join(mixed, "key")
-        order = Window.partitionBy("key").orderBy("rep")
+        order = Window.partitionBy("key").orderBy("node")
         pivots = (current.withColumn("rank", F.row_number().over(order)).where(f"rank <= {high}").where(f"rank > {low}")
-                  .select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")))
-        pairs = (current.join(pivots, "key").where("rep > a and component <> ca")
+                  .select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")))
+        pairs = (current.join(pivots, "key").where("node > a and component <> ca")
                  .where(f"100 * least(n, na) >= {percent} * greatest(n, na)")
-                 .select("a", F.col("rep").alias("b")).distinct())
+                 .select("a", F.col("node").alias("b")).distinct())
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -186,13 +190,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
                 labels = connected_components(links)
         low, high = high, 2 * high + 1
 
-    out = sigs.join(classes, ["set_a", "set_b"], "left").select("did", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("rep")), F.col("did")).alias("rep"))
+    out = sigs.join(classes.select("set_a", "set_b", "node", F.col("rep.did").alias("least")), ["set_a", "set_b"], "left")
+    out = out.withColumn("least", F.when(F.col("n_shingles") > 0, F.coalesce("least", "did")).otherwise(F.col("did")))
     if labels is not None:
-        out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        out = out.withColumn("component_id", F.coalesce("component", "rep"))
+        smallest = labels.join(classes, "node").groupBy("component").agg(F.min("rep.did").alias("component_id"))
+        ids = stored(labels.join(smallest, "component").select("node", "component_id"), "component-ids")
+        out = out.join(ids, "node", "left").withColumn("component_id", F.coalesce("component_id", "least"))
     else:
-        out = out.withColumn("component_id", F.col("rep"))
-    from .common import LAST_ID
+        out = out.withColumn("component_id", F.col("least"))
     real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
     return out.select(real("did").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"),
                       (F.col("did") == F.col("component_id")).alias("kept"))

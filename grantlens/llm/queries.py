@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, minhash, packing, rules, slots, superkmer, tokencount, tokenfile
+from . import decontam, linededup, minhash, packing, rules, slots, superkmer, tokencount, tokenfile, vecjoin
 from .common import shared_path
 
 
@@ -27,6 +27,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors of one label at a cosine of 0.98 or more, and their components."""
+    return vecjoin.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes, by a rebalanced map of virtual slots."""
     placed = slots.shard_documents(_table(spark, sf_dir, "documents"), shared_path(spark, "slot-map"), shards=8)
@@ -77,7 +82,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op4_sharding, op5_token_files, op6_minhash_dedup, op7_line_dedup, op8_quality_classifier, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_dedup, op4_sharding, op5_token_files, op6_minhash_dedup, op7_line_dedup, op8_quality_classifier, op9_token_counts, op10_substring_dedup)}
 
 
 #: Lines are unnested with their document; a key's documents are counted and its largest doc_id kept.
