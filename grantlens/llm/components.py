@@ -8,6 +8,27 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+class Forest:
+    """Union-find inside one task; ``links`` holds those that joined two trees, at most one a node."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up.setdefault(up[x], up[x])
+            x = up[x]
+        return x
+
+    def add(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append((a, b))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of longs -> one row ``(node, component)`` for each node, component = smallest node reachable.
 

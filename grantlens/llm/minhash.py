@@ -6,26 +6,30 @@ cost ``permutations`` evaluations.  Signatures are cut into bands; documents
 that share a band are candidates, and every link is confirmed by comparing
 the whole shingle sets.
 
-Copies are folded first: rows with the same shingle set form one class.  In a
-bucket no list of all pairs is made.  Round by round a growing number of
-pivots (1, 2, 4, ...) is compared with those members that are not yet in the
-pivot's component, until each bucket is one component or all its members have
-been pivots.  So a bucket of thousands of near copies costs about one pair a
-member, and no pair of candidates stays undecided.
+Copies are folded first: rows with the same shingle set form one class.  No
+list of all pairs of a group is made.  Buckets of at most ``small`` classes
+give their pairs, less those that a 1-bit sketch of the signature shows to be
+too far apart.  Classes of larger buckets are sorted by their largest bucket
+and cut into blocks; two blocks that share such a bucket are compared at once,
+as one product of their shingle matrices, and return a spanning forest of the
+links found.  So a bucket of thousands of near copies sends rows in proportion
+to its members, and no pair of candidates stays undecided.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, arrow_schema, id_and_text, key_id, stored, text_batches, text_buffer
-from .components import connected_components
+from .components import Forest, connected_components
 from .wordhash import mix, windows, word_hashes, word_spans
 
 _U = np.uint64
@@ -83,9 +87,25 @@ class MinMax:
         return mix((v * self.fold).sum(axis=2, dtype=_U) + self.salt)
 
 
+def sketches(values: np.ndarray) -> np.ndarray:
+    """One bit of each signature value, packed into 64-bit words."""
+    bits = ((values >> np.uint32(9)) & np.uint32(1)).astype(np.uint8)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").astype(_U)
+
+
+def sketch_room(bits: int, percent: int, miss: float = 1e-7) -> int:
+    """Differing bits that all but a share ``miss`` of pairs at the threshold keep within."""
+    p, tail, k = (1 - percent / 100) / 2, 0.0, bits
+    while k > 0 and tail + comb(bits, k) * p**k * (1 - p) ** (bits - k) <= miss:
+        tail += comb(bits, k) * p**k * (1 - p) ** (bits - k)
+        k -= 1
+    return k
+
+
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(did, tkey, n_shingles, set_a, set_b, bands) per row; tkey is a hash of the text; set_a and set_b together identify the shingle set."""
-    schema, arrow = arrow_schema("did long, tkey long, n_shingles long, set_a long, set_b long, bands array<long>")
+    """(did, tkey, n_shingles, set_a, set_b, bands, sketch) per row; tkey is a hash of the text; set_a and set_b together identify the shingle set."""
+    schema, arrow = arrow_schema("did long, tkey long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
 
     def run(batches):
         kind = MinMax(bands, rows)
@@ -95,12 +115,16 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             sums = np.array([[mix(s).sum(dtype=_U), mix(s ^ _U(0xA5A5A5A5DEADBEEF)).sum(dtype=_U)] for s in sets], _U).reshape(-1, 2)
             full = np.flatnonzero(n)
-            keys = kind.keys(np.stack([kind.signature(sets[i]) for i in full])) if len(full) else np.zeros((0, bands), _U)
-            ends = np.zeros(len(n) + 1, np.int32)
-            np.cumsum((n > 0) * bands, out=ends[1:])
+            values = np.stack([kind.signature(sets[i]) for i in full]) if len(full) else np.zeros((0, bands * rows), np.uint32)
+
+            def lists(x, field):
+                ends = np.zeros(len(n) + 1, np.int32)
+                np.cumsum((n > 0) * x.shape[1], out=ends[1:])
+                return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.reshape(-1).view(np.int64))).cast(arrow.field(field).type)
+
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64))).cast(arrow.field("bands").type)], schema=arrow)
+                lists(kind.keys(values), "bands"), lists(sketches(values), "sketch")], schema=arrow)
 
     return _keyed(docs).mapInArrow(run, schema)
 
@@ -131,7 +155,86 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def _blocks(texts: DataFrame, rows: int, size: int) -> DataFrame:
+    """(block, nodes, texts): ``texts`` (main, node, text) sorted by main bucket and cut into bounded blocks."""
+    schema, arrow = arrow_schema("block long, nodes array<long>, texts array<string>")
+
+    def run(batches):
+        base, made, nodes, held, used, now = TaskContext.get().partitionId() << 32, 0, [], [], 0, None
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([nodes], arrow.field("nodes").type), pa.array([held], arrow.field("texts").type)], schema=arrow)
+
+        for batch in batches:
+            for main, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if nodes and (len(nodes) >= rows or used >= size or (main != now and 16 * len(nodes) >= rows)):
+                    yield emit()
+                    nodes, held, used, made = [], [], 0, made + 1
+                now = main
+                nodes.append(node)
+                held.append(text)
+                used += len(text)
+        if nodes:
+            yield emit()
+
+    return texts.repartitionByRange("main", "node").sortWithinPartitions("main", "node").select("main", "node", "text").mapInArrow(run, schema)
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets, as a product of 0/1 matrices in slices of columns."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    places = []
+    for sets in (left, right):
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(common, flat)
+        hit = at < len(common)
+        hit[hit] = common[at[hit]] == flat[hit]
+        at, row = at[hit], row[hit]
+        order = np.argsort(at, kind="stable")
+        places.append((at[order], row[order]))
+    for c in range(0, len(common), columns):
+        grids = []
+        for (at, row), sets in zip(places, (left, right)):
+            a, b = np.searchsorted(at, [c, c + columns])
+            grid = np.zeros((len(sets), min(columns, len(common) - c)), np.float32)
+            grid[row[a:b], at[a:b] - c] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def _compare_blocks(pairs: DataFrame, blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the links inside each pair of blocks, over whole shingle sets."""
+    schema, arrow = arrow_schema("a long, b long")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
+                nodes = [batch.column(c)[i].values.to_numpy() for c in (2, 4)]
+                sets = [list(shingle_hashes(*text_buffer(batch.column(c)[i].values), width)) for c in (3, 5)]
+                sizes = [np.array([len(s) for s in x], np.float64) for x in sets]
+                both = _overlaps(*sets).astype(np.float64)
+                linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+                if same:
+                    linked = np.triu(linked, 1)
+                forest = Forest()
+                for x in np.flatnonzero(linked.any(axis=1)).tolist():
+                    a = int(nodes[0][x])
+                    for b in nodes[1][linked[x]].tolist():
+                        forest.add(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in forest.links], pa.int64()), pa.array([b for _, b in forest.links], pa.int64())], schema=arrow)
+
+    left = blocks.select("block", "nodes", "texts")
+    right = blocks.select(F.col("block").alias("other"), F.col("nodes").alias("nodes_2"), F.col("texts").alias("texts_2"))
+    work = pairs.join(left, "block").join(right, "other").select("block", "other", "nodes", "texts", "nodes_2", "texts_2")
+    return work.repartition("block", "other").mapInArrow(run, schema)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small: int = 16,
+                    block_rows: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when ``100 * |intersection| >= percent * |union|`` of
@@ -140,8 +243,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     smallest doc_id reachable by links; ``kept`` says that it is the row's own.
     Texts without words (null, empty, blank) link with nothing and are kept.
     Rows without doc_id count as the largest id; they report component_id null
-    and are kept unless a row with an id is reachable.  With 32 bands of 4 values a
-    pair at the threshold shares no band with probability below 1e-7.
+    and are kept unless a row with an id is reachable.  With 32 bands of 4
+    values a pair at the threshold is missed with probability below 1e-6.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -151,53 +254,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     classes = full.groupBy("set_a", "set_b").agg(F.min(F.struct("did", "tkey")).alias("rep"), F.max("n_shingles").alias("n"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     reps = (full.join(classes, ["set_a", "set_b"]).where("did = rep.did and tkey = rep.tkey")
-            .select("node", "n", "rep", "bands").dropDuplicates(["node"]))
-    entries = reps.select("node", "n", "rep", F.explode("bands").alias("key"))
-    shared = stored(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = stored(entries.join(shared, "key").select("key", "node", "n", "rep"), "members")
-    needed = members.select("node", "rep.did", "rep.tkey").distinct()
+            .select("node", "n", "bands", "sketch").dropDuplicates(["node"]))
+    keys = reps.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(keys.join(stored(shared, "buckets"), "key").select("key", "node", "size"), "members")
+    needed = members.select("node").distinct().join(classes.select("node", "rep.did", "rep.tkey"), "node")
     texts = stored(_keyed(docs).join(needed, ["did", "tkey"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    labels = links = done = None
-    low, high = 0, 1
-    members = members.select("key", "node", "n")
-    while True:
-        if labels is None:
-            current = members.withColumn("component", F.col("node"))
-        else:
-            current = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = (current.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-                 .where(f"lo <> hi and size > {low + 1}").select("key"))
-        current = current.join(mixed, "key")
-        order = Window.partitionBy("key").orderBy("node")
-        pivots = (current.withColumn("rank", F.row_number().over(order)).where(f"rank <= {high}").where(f"rank > {low}")
-                  .select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")))
-        pairs = (current.join(pivots, "key").where("node > a and component <> ca")
-                 .where(f"100 * least(n, na) >= {percent} * greatest(n, na)")
-                 .select("a", F.col("node").alias("b")).distinct())
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            largest = shared.agg(F.max("size")).first()[0] or 0
-            if high >= largest or mixed.isEmpty():
-                break
-        else:
-            done = pairs if done is None else done.unionByName(pairs)
-            found = stored(_confirm(pairs, texts, width, percent), "links")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                labels = connected_components(links)
-        low, high = high, 2 * high + 1
+    few = members.where(F.col("size") <= small).join(reps.select("node", "n", "sketch"), "node")
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch_b"))
+    differ = F.aggregate(F.zip_with("sketch", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    pairs = (few.join(other, "key").where("node < b").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+             .where(differ <= sketch_room(bands * rows, percent)).select(F.col("node").alias("a"), "b").distinct())
+    links = _confirm(pairs, texts, width, percent)
+
+    many = members.where(F.col("size") > small)
+    main = many.groupBy("node").agg(F.max(F.struct("size", "key")).alias("main"))
+    text_batches(spark, 64)
+    blocks = stored(_blocks(texts.join(main, "node"), block_rows, block_bytes), "blocks")
+    held = blocks.select("block", F.explode("nodes").alias("node")).join(many, "node").select("block", "key").distinct()
+    meet = held.join(held.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct()
+    text_batches(spark, 4)
+    links = links.unionByName(_compare_blocks(meet, blocks, width, percent))
+    labels = connected_components(links)
 
     out = sigs.join(classes.select("set_a", "set_b", "node", F.col("rep.did").alias("least")), ["set_a", "set_b"], "left")
     out = out.withColumn("least", F.when(F.col("n_shingles") > 0, F.coalesce("least", "did")).otherwise(F.col("did")))
-    if labels is not None:
-        smallest = labels.join(classes, "node").groupBy("component").agg(F.min("rep.did").alias("component_id"))
-        ids = stored(labels.join(smallest, "component").select("node", "component_id"), "component-ids")
-        out = out.join(ids, "node", "left").withColumn("component_id", F.coalesce("component_id", "least"))
-    else:
-        out = out.withColumn("component_id", F.col("least"))
+    smallest = labels.join(classes, "node").groupBy("component").agg(F.min("rep.did").alias("component_id"))
+    ids = stored(labels.join(smallest, "component").select("node", "component_id"), "component-ids")
+    out = out.join(ids, "node", "left").withColumn("component_id", F.coalesce("component_id", "least"))
     real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
     return out.select(real("did").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"),
                       (F.col("did") == F.col("component_id")).alias("kept"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, arrow_schema, stored, text_batches
-from .components import connected_components
+from .components import Forest, connected_components
 
 LEAF = 64
 #: Rounding room for boxes and rotated vectors; cosines themselves are compared exactly as computed.
@@ -85,27 +85,6 @@ def _box_gap(lo_a, hi_a, lo_b, hi_b) -> float:
     return float(np.sqrt((gap * gap).sum()))
 
 
-class _Forest:
-    """Union-find over the rows of one pair of blocks; keeps the links that joined two trees."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def add(self, pairs: np.ndarray) -> None:
-        for a, b in pairs.tolist():
-            x, y = self.root(a), self.root(b)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-                self.links.append((a, b))
-
-
 def join_blocks(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, same: bool, eps: float, threshold: float):
     """Recursive join of two sequences in grid order: per row the index pairs that link.
 
@@ -248,11 +227,12 @@ def _join_dimension(reps: DataFrame, dim: int, axes: np.ndarray, eps: float, thr
                 a, b = _unit(batch.column(4)[i].as_py(), dim), _unit(batch.column(7)[i].as_py(), dim)
                 ya, yb = ((m / np.linalg.norm(m, axis=1, keepdims=True)) @ axes for m in (a, b))
                 na, nb = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
-                forest = _Forest(len(ra) + len(rb))
+                forest = Forest()
                 for x, y in join_blocks(a, ya, b, yb, same, eps, threshold):
                     np.add.at(na, x, cb[y])
                     np.add.at(na if same else nb, y, ca[x])
-                    forest.add(np.stack([x, y if same else y + len(ra)], axis=1))
+                    for p, q in zip(x.tolist(), (y if same else y + len(ra)).tolist()):
+                        forest.add(p, q)
                 ids = np.concatenate([ra, rb])
                 link = np.array(forest.links, np.int64).reshape(-1, 2)
                 hit_a, hit_b = np.flatnonzero(na), np.flatnonzero(nb)
