@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import arrow_schema, id_and_text, stored, text_batches
 
@@ -78,7 +80,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_hits(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows: int = 1_000_000) -> DataFrame:
-    """One row per input row: doc_id, text, n_words, items (array<long>), spans.
+    """One row per input row: row (a struct of all its columns), n_words, items (array<long>), spans.
 
     ``items`` (item_id, text) are the benchmark; ``spans`` is an array of
     (first_word, end_word, first_char, end_char), merged and ascending: the
@@ -93,7 +95,10 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows:
     # a word takes two bytes at least, so this many windows at most
     shards = -(-(total // 2 + 1) // shard_windows)
     span = "array<struct<first_word: long, end_word: long, first_char: long, end_char: long>>"
-    schema, arrow = arrow_schema(f"doc_id long, text string, n_words long, items array<long>, spans {span}")
+    carried = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    schema, _ = arrow_schema(f"n_words long, items array<long>, spans {span}")
+    schema = T.StructType([*carried.schema.fields, *schema.fields])
+    arrow = to_arrow_schema(schema)
     fields = ("first_word", "end_word", "first_char", "end_char")
 
     def scanner(part):
@@ -125,24 +130,24 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows:
                         hit_spans.append([dict(zip(fields, (a, b, where[a][0], where[b - 1][1]))) for a, b in places])
                     else:
                         hit_spans.append([])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text_col, pa.array(n_words, pa.int64()),
+                yield pa.RecordBatch.from_arrays([batch.column("row"), text_col, pa.array(n_words, pa.int64()),
                                                   pa.array(hit_items, arrow.field("items").type), pa.array(hit_spans, arrow.field("spans").type)], schema=arrow)
         return run
 
-    out = id_and_text(docs)
+    out = carried
     for shard in range(shards):
         mine = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
         part = [(r.item_id, r.text) for r in mine.distinct().collect()]  # bounded by shard_windows
         out = out.mapInArrow(scanner(part), schema)
         if shard + 1 < shards:
             out = stored(out, "hits")
-    return out
+    return out.drop("text")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows: int = 1_000_000) -> DataFrame:
     """Per input row: doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256, contaminated, spans."""
-    hits = find_hits(docs, items, width, shard_windows)
+    hits = find_hits(id_and_text(docs), items, width, shard_windows)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+    return hits.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                        F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
