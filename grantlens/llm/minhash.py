@@ -9,11 +9,14 @@ the whole shingle sets.
 Copies are folded first: rows with the same shingle set form one class.  No
 list of all pairs of a group is made.  Buckets of at most ``small`` classes
 give their pairs, less those that a 1-bit sketch of the signature shows to be
-too far apart.  Classes of larger buckets are sorted by their largest bucket
-and cut into blocks; two blocks that share such a bucket are compared at once,
-as one product of their shingle matrices, and return a spanning forest of the
-links found.  So a bucket of thousands of near copies sends rows in proportion
-to its members, and no pair of candidates stays undecided.
+too far apart.  Larger buckets
+are sifted by the same sketch in chunks.  Members with few candidates give
+their pairs too.  Those with many are in a dense group: classes are sorted by
+their largest bucket and cut into blocks, and two blocks that hold candidates
+are compared at once, as one product of their shingle matrices, which returns
+a spanning forest of the links found.  So a bucket of thousands of near copies
+sends rows in proportion to its members, and no pair of candidates stays
+undecided.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, arrow_schema, id_and_text, key_id, stored, text_batches, text_buffer
@@ -180,6 +183,65 @@ def _blocks(texts: DataFrame, rows: int, size: int) -> DataFrame:
     return texts.repartitionByRange("main", "node").sortWithinPartitions("main", "node").select("main", "node", "text").mapInArrow(run, schema)
 
 
+def _chunks(members: DataFrame, rows: int) -> DataFrame:
+    """(chunk, key, low, high, ...): the members of each bucket by set size, in chunks with their smallest and largest size."""
+    schema, arrow = arrow_schema("chunk long, key long, low long, high long, nodes array<long>, sizes array<long>, blocks array<long>, sketches array<long>")
+
+    def run(batches):
+        base, made, held, now = TaskContext.get().partitionId() << 32, 0, [], None
+
+        def emit():
+            n, node, block, sketch = zip(*held)
+            row = [base + made, now, n[0], n[-1], node, n, block, [w for x in sketch for w in x]]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, arrow.types)], schema=arrow)
+
+        for batch in batches:
+            for key, *member in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (key != now or len(held) >= rows):
+                    yield emit()
+                    held, made = [], made + 1
+                now = key
+                held.append(member)
+        if held:
+            yield emit()
+
+    by = ["key", "n", "node"]
+    return members.repartitionByRange(*by).sortWithinPartitions(*by).select("key", "n", "node", "block", "sketch").mapInArrow(run, schema)
+
+
+def _sift_chunks(chunks: DataFrame, percent: int, room: int, few: int) -> DataFrame:
+    """(a, b, dense) for members of one bucket whose sizes and sketches allow a link.
+
+    A member with at most ``few`` of them in a pair of chunks gives its pairs (dense false); pairs
+    between members with more give the two blocks that hold them, once (dense true)."""
+    schema, arrow = arrow_schema("a long, b long, dense boolean")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
+                node, size, block, sketch, node_2, size_2, block_2, sketch_2 = (batch.column(c)[i].values.to_numpy() for c in range(2, 10))
+                x, y = sketch.view(_U).reshape(len(node), -1), sketch_2.view(_U).reshape(len(node_2), -1)
+                differ = np.zeros((len(node), len(node_2)), np.int16)
+                for w in range(x.shape[1]):
+                    differ += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
+                ok = (differ <= room) & (100 * np.minimum(size[:, None], size_2) >= percent * np.maximum(size[:, None], size_2))
+                if same:
+                    np.fill_diagonal(ok, False)
+                scarce = ok & ((ok.sum(axis=1) <= few)[:, None] | (ok.sum(axis=0) <= few)[None, :])
+                p, q = np.nonzero(np.triu(scarce) if same else scarce)
+                a, b = node[p], node_2[q]
+                p, q = np.nonzero(np.triu(ok & ~scarce) if same else ok & ~scarce)
+                meet = np.unique(np.stack([np.minimum(block[p], block_2[q]), np.maximum(block[p], block_2[q])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), meet[:, 0]])), pa.array(np.concatenate([np.maximum(a, b), meet[:, 1]])),
+                                                  pa.array(np.arange(len(a) + len(meet)) >= len(a))], schema=arrow)
+
+    fields = ("nodes", "sizes", "blocks", "sketches")
+    right = chunks.select("key", F.col("chunk").alias("other"), F.col("low").alias("low_2"), F.col("high").alias("high_2"), *(F.col(f).alias(f"{f}_2") for f in fields))
+    pairs = chunks.join(right, "key").where(f"chunk <= other and 100 * least(high, high_2) >= {percent} * greatest(low, low_2)")
+    return pairs.select("chunk", "other", *fields, *(f"{f}_2" for f in fields)).repartition("chunk", "other").mapInArrow(run, schema)
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of two lists of sets, as a product of 0/1 matrices in slices of columns."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -233,9 +295,9 @@ def _compare_blocks(pairs: DataFrame, blocks: DataFrame, width: int, percent: in
     return work.repartition("block", "other").mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small: int = 16,
-                    block_rows: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def classify(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small: int = 16,
+                    chunk_rows: int = 1024, block_rows: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept, did (null as the largest), tkey (hash of the text).
 
     Documents are linked when ``100 * |intersection| >= percent * |union|`` of
     their distinct ``width``-word shingles (words ``[^\\x20\\x09-\\x0D]+``,
@@ -265,17 +327,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch_b"))
     differ = F.aggregate(F.zip_with("sketch", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     pairs = (few.join(other, "key").where("node < b").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-             .where(differ <= sketch_room(bands * rows, percent)).select(F.col("node").alias("a"), "b").distinct())
-    links = _confirm(pairs, texts, width, percent)
+             .where(differ <= sketch_room(bands * rows, percent)).select(F.col("node").alias("a"), "b"))
 
     many = members.where(F.col("size") > small)
     main = many.groupBy("node").agg(F.max(F.struct("size", "key")).alias("main"))
     text_batches(spark, 64)
     blocks = stored(_blocks(texts.join(main, "node"), block_rows, block_bytes), "blocks")
-    held = blocks.select("block", F.explode("nodes").alias("node")).join(many, "node").select("block", "key").distinct()
-    meet = held.join(held.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct()
+    place = blocks.select("block", F.explode("nodes").alias("node"))
+    text_batches(spark, 4096)
+    chunks = stored(_chunks(many.join(place, "node").join(reps.select("node", "n", "sketch"), "node"), chunk_rows), "chunks")
     text_batches(spark, 4)
-    links = links.unionByName(_compare_blocks(meet, blocks, width, percent))
+    near = stored(_sift_chunks(chunks, percent, sketch_room(bands * rows, percent), small), "sifted")
+    pairs = pairs.unionByName(near.where("not dense").select("a", "b")).distinct()
+    links = _compare_blocks(near.where("dense").select(F.col("a").alias("block"), F.col("b").alias("other")).distinct(), blocks, width, percent)
+    text_batches(spark)
+    links = links.unionByName(_confirm(pairs, texts, width, percent))
     labels = connected_components(links)
 
     out = sigs.join(classes.select("set_a", "set_b", "node", F.col("rep.did").alias("least")), ["set_a", "set_b"], "left")
@@ -285,4 +351,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     out = out.join(ids, "node", "left").withColumn("component_id", F.coalesce("component_id", "least"))
     real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
     return out.select(real("did").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"),
-                      (F.col("did") == F.col("component_id")).alias("kept"))
+                      (F.col("did") == F.col("component_id")).alias("kept"), "did", "tkey")
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of :func:`classify`, one row per input row."""
+    return classify(docs, **parameters).drop("did", "tkey")
+
+
+def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`classify` keeps; rows with equal id and equal text stay once."""
+    kept = classify(docs, **parameters).where("kept").select("did", "tkey").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("row", key_id().alias("did"), F.xxhash64("text").alias("tkey")).join(kept, ["did", "tkey"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("did", "tkey").orderBy("did"))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
