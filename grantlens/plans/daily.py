@@ -11,12 +11,14 @@ principal sources) are passed in as DataFrames.
 from __future__ import annotations
 
 import datetime as _dt
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import ts
 from ..operators import ingest, masters, reconcile, reports, snapshots, workflow
+from ..session import scratch_path
 from ..sources import sinks
 from ..sources.fixtures import TableSet
 
@@ -41,51 +43,79 @@ def seed_warehouse(spark: SparkSession, sf_dir: str, root: str) -> str:
 
 def run_daily(spark: SparkSession, root: str, as_of: str | _dt.datetime, run_id: str,
               policy_docs: DataFrame, asset_rows: DataFrame, principals: DataFrame,
-              translations: DataFrame, collection_complete: bool = True, scope: str = "organizations/1") -> dict:
-    """Run one day; returns per-step row counts."""
+              translations: DataFrame, group_docs: DataFrame | None = None, collection_complete: bool = True,
+              scope: str = "organizations/1") -> dict:
+    """Run one day; returns per-step row counts.
+
+    Safe to run again with the same ``run_id`` after a failure: appends leave
+    out rows whose keys the table has, replaces make a new version.
+    """
     def cur(name: str) -> DataFrame:
         return sinks.read_current(spark, root, name)
 
+    def keep(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, f"daily-{run_id}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     counts: dict[str, int] = {}
-    # 1. revoke expired grants
+
+    def report(job: str, **numbers: int) -> None:
+        """One job report per step (#13)."""
+        row = spark.createDataFrame([(f"{run_id}-{job}", job, "SUCCESS", numbers)], "execution_id string, job_type string, result string, counts map<string,long>")
+        row = sinks.prepare_job_report(row.withColumn("occurred_at", ts(as_of)))
+        sinks.append_new(row, root, "iam_pipeline_job_reports", ["execution_id", "job_type"])
+
+    # 1. revoke expired grants: decided once, then logged, then applied
     req, perm = cur("iam_access_requests"), cur("iam_policy_permissions")
-    rev = workflow.revoke_expired(req, perm, workflow.binding_rows(perm), as_of, f"{run_id}-revoke")
-    counts["revoke_log"] = sinks.append_change_log(rev["log"], root)
-    counts["revoke_history"] = sinks.append_history_events(rev["history"], root)
+    rev = workflow.revoke_expired(req, perm, workflow.binding_rows(perm), as_of, f"{run_id}-revoke", keep)
+    counts["revoke_log"] = sinks.append_new(rev["log"], root, "iam_access_change_log", ["request_id"], execution_id=f"{run_id}-revoke")
+    counts["revoke_history"] = sinks.append_new(sinks.prepare_history_events(rev["history"]), root, "iam_access_request_history", ["history_id"])
     counts["requests"] = sinks.replace_snapshot(rev["requests"], root, "iam_access_requests")
+    report("EXPIRED_PERMISSION_REVOCATION", logged=counts["revoke_log"])
 
-    # 2. collect: bindings (full replace), inventory, principals
+    # 2. collect: bindings (full replace), inventory, memberships, principals
     flat = ingest.flatten_policy_bindings(policy_docs, f"{run_id}-iam", as_of, scope)
     counts["permissions"] = sinks.replace_permissions_snapshot(flat.drop("execution_id"), root)
+    report("IAM_POLICY_COLLECTION", bindings=counts["permissions"])
     inv = ingest.normalize_resource_inventory(asset_rows, f"{run_id}-res", as_of, scope)
-    counts["inventory"] = sinks.append_resource_inventory(inv, root)
+    counts["inventory"] = sinks.append_new(inv, root, "gcp_resource_inventory_history", ["resource_id"], execution_id=f"{run_id}-res")
+    report("RESOURCE_COLLECTION", resources=counts["inventory"])
+    if group_docs is not None:
+        members = ingest.stamp_snapshot(ingest.flatten_group_memberships(group_docs), f"{run_id}-grp", as_of, "assessed_at")
+        counts["memberships"] = sinks.append_new(members, root, "google_group_membership_history", ["group_email", "member_email"], execution_id=f"{run_id}-grp")
     catalog = masters.merge_principals(cur("principal_catalog"), masters.dedupe_principals(principals), as_of,
                                        complete=collection_complete)
     counts["principal_catalog"] = sinks.replace_snapshot(catalog.drop("affected"), root, "principal_catalog")
+    report("PRINCIPAL_COLLECTION", principals=counts["principal_catalog"])
 
-    # 3. reconcile against the fresh snapshot; only issues not already OPEN are appended
+    # 3. reconcile against the fresh snapshot: close what is gone, append what is not already OPEN
     req, perm = cur("iam_access_requests"), cur("iam_policy_permissions")
-    detected = reconcile.reconcile(req, perm, as_of)
-    issues_path = os.path.join(root, "iam_reconciliation_issues")
-    try:
-        existing = spark.read.parquet(issues_path)
+    detected = keep(reconcile.reconcile(req, perm, as_of))
+    counts["issues_detected"] = detected.count()
+    if sinks.table_exists(spark, root, "iam_reconciliation_issues"):
+        existing = keep(reconcile.resolve_stale_issues(cur("iam_reconciliation_issues").drop("resolved_at", "p_date"), detected, as_of))
+        counts["issues_closed"] = existing.filter(F.col("resolved_at").isNotNull()).count()
         new = reconcile.reconcile_new_only(detected, existing)
-    except Exception:  # noqa: BLE001 - first run: no issue table yet
-        new = detected
-    counts["issues"] = sinks.write_table(new, root, "iam_reconciliation_issues")
+        everything = existing.unionByName(new.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")))
+        counts["issues"] = sinks.replace_snapshot(everything, root, "iam_reconciliation_issues") - existing.count()
+    else:
+        counts["issues_closed"] = 0
+        counts["issues"] = sinks.write_table(detected.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")), root, "iam_reconciliation_issues")
+    report("IAM_RECONCILIATION", detected=counts["issues_detected"], appended=counts["issues"], closed=counts["issues_closed"])
 
     # 4. history: raw archive + enriched snapshot
-    counts["raw_history"] = sinks.write_table(snapshots.archive_raw_bindings(perm, f"{run_id}-raw", as_of), root,
-                                              "iam_policy_bindings_raw_history")
+    triple = ["principal_email", "resource_name"]
+    counts["raw_history"] = sinks.append_new(snapshots.archive_raw_bindings(perm, f"{run_id}-raw", as_of), root,
+                                             "iam_policy_bindings_raw_history", [*triple, "role"], execution_id=f"{run_id}-raw")
     snap = snapshots.bindings_history_snapshot(perm, req, cur("iam_status_master"), f"{run_id}-hist", as_of)
-    counts["bindings_history"] = sinks.write_table(snap, root, "iam_permission_bindings_history")
+    counts["bindings_history"] = sinks.append_new(snap, root, "iam_permission_bindings_history", [*triple, "iam_role"], execution_id=f"{run_id}-hist")
 
     # 5. role discovery
     role_master = cur("iam_role_master")
     new_roles = masters.register_roles(reports.unknown_roles(perm, role_master), translations, as_of)
     merged = role_master.unionByName(new_roles, allowMissingColumns=True)
     counts["roles_added"] = sinks.replace_snapshot(merged, root, "iam_role_master") - role_master.count()
-    counts["issues_detected"] = counts["issues"]
     return counts
 
 
@@ -99,4 +129,5 @@ def demo_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                             F.regexp_replace("role", "^roles/", "").alias("role_name_ja")))
     return {"policy_docs": nested.policy_docs(t["iam_policy_permissions"]),
             "asset_rows": nested.asset_rows(t["gcp_resource_inventory"]),
+            "group_docs": nested.group_docs(t["google_group_membership_history"]),
             "principals": feed, "translations": translations}

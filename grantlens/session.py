@@ -36,15 +36,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    Where it is unset, a local master (tests) gets a new folder of its own; on
+    a cluster that folder would be local to the driver, so it is an error.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="grantlens-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, local)
     spark.sparkContext.setCheckpointDir(local)

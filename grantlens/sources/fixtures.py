@@ -17,6 +17,8 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sinks import path_exists
+
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events"]
 
@@ -54,25 +56,24 @@ FROM {{orders}}""",
 SELECT 'organizations/1' AS scope, 'cloudresourcemanager.googleapis.com/Project' AS resource_type,
  concat('projects/p', CAST(o_custkey % 20 AS STRING)) AS resource_name,
  CASE WHEN o_custkey % 5 = 0 THEN 'SERVICE_ACCOUNT' ELSE 'USER' END AS principal_type,
- {_EMAIL} AS principal_email,
+ CASE WHEN o_orderkey % 3 = 1 THEN concat('moved', CAST(o_custkey AS STRING), '@example.com') ELSE {_EMAIL} END AS principal_email,
  {_ROLE} AS role
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
-WHERE l_linenumber <= 2 AND l_orderkey % 3 <> 1
 UNION ALL
 SELECT 'organizations/1', 'cloudresourcemanager.googleapis.com/Project', concat('projects/p', CAST(l_partkey % 20 AS STRING)), 'USER',
  concat('ext', CAST(l_suppkey AS STRING), '@partner.example'), 'roles/owner'
-FROM {{lineitem}} WHERE l_linenumber = 7 AND l_partkey % 10 = 0""",
+FROM {{lineitem}}""",
 
     "iam_access_change_log": """
 SELECT concat('exec-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS execution_id,
- concat('req-', CAST(l_orderkey AS STRING)) AS request_id,
+ CASE WHEN l_orderkey % 4 = 0 THEN concat('batch-', CAST(l_orderkey AS STRING)) ELSE concat('req-', CAST(l_orderkey AS STRING)) END AS request_id,
  CASE WHEN l_linestatus = 'O' THEN 'GRANT' ELSE 'REVOKE' END AS action,
  concat('projects/p', CAST(l_partkey % 20 AS STRING)) AS target,
  CASE l_returnflag WHEN 'A' THEN 'SUCCESS' WHEN 'N' THEN 'FAILED' ELSE 'SKIPPED' END AS result,
  CASE WHEN l_returnflag = 'N' THEN 'HttpError' END AS error_code,
  CASE WHEN l_returnflag = 'N' THEN 'denied' END AS error_message,
  l_shipdate AS executed_at
-FROM {lineitem} WHERE l_orderkey % 4 <> 0""",
+FROM {lineitem}""",
 
     "iam_access_request_history": """
 SELECT concat('h0-', request_id) AS history_id, request_id, request_group_id, 'REQUESTED' AS event_type, '' AS old_status,
@@ -133,10 +134,16 @@ UNION ALL SELECT concat('gone', CAST(s_suppkey AS STRING), '@example.com'), 'lef
 FROM {supplier}""",
 
     "iam_role_master": """
-SELECT * FROM (VALUES ('roles/viewer','閲覧者',TRUE),('roles/editor','編集者',FALSE),('roles/storage.admin',CAST(NULL AS STRING),FALSE)) AS t(role_id, role_name_ja, is_auto_translated)""",
+SELECT role AS role_id, max(CASE role WHEN 'roles/viewer' THEN '閲覧者' WHEN 'roles/editor' THEN '編集者' END) AS role_name_ja,
+ max(CASE WHEN role = 'roles/viewer' THEN TRUE ELSE FALSE END) AS is_auto_translated
+FROM {iam_access_requests} WHERE role IN ('roles/viewer', 'roles/editor', 'roles/storage.admin') GROUP BY role""",
 
     "iam_status_master": """
-SELECT * FROM (VALUES ('申請中','PENDING',10,TRUE),('承認済','APPROVED',20,TRUE),('却下','REJECTED',30,TRUE),('取消','CANCELLED',40,TRUE),('削除済','REVOKED',50,TRUE),('削除済(手動)','REVOKED_ALREADY_GONE',60,TRUE),('剥奪失敗','REVOKE_FAILED',70,TRUE)) AS t(status_ja, status_code, sort_order, is_active)""",
+SELECT CASE status WHEN 'PENDING' THEN '申請中' WHEN 'APPROVED' THEN '承認済' WHEN 'REJECTED' THEN '却下' WHEN 'CANCELLED' THEN '取消'
+  WHEN 'REVOKED' THEN '削除済' WHEN 'REVOKED_ALREADY_GONE' THEN '削除済(手動)' ELSE '剥奪失敗' END AS status_ja, status AS status_code,
+ CASE status WHEN 'PENDING' THEN 10 WHEN 'APPROVED' THEN 20 WHEN 'REJECTED' THEN 30 WHEN 'CANCELLED' THEN 40
+  WHEN 'REVOKED' THEN 50 WHEN 'REVOKED_ALREADY_GONE' THEN 60 ELSE 70 END AS sort_order, TRUE AS is_active
+FROM {iam_access_requests} GROUP BY status""",
 
     "open_issues": """
 SELECT DISTINCT 'UNMANAGED_BINDING' AS issue_type, principal_email, resource_name, role, CASE WHEN length(principal_email) % 2 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS status
@@ -144,21 +151,32 @@ FROM {iam_policy_permissions} WHERE role = 'roles/owner'""",
 
     "review_updates": """
 SELECT concat('req-', CAST(o_orderkey AS STRING)) AS request_id,
- CASE CAST(floor(o_orderkey/20) AS BIGINT) % 5 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'CANCELLED' WHEN 3 THEN 'PENDING' ELSE '' END AS status,
- CASE WHEN o_orderkey % 3 = 0 THEN 'policy' ELSE '' END AS reject_reason, concat('BOSS', CAST(o_custkey % 11 % 9 AS STRING), '@example.com') AS actor_email
-FROM {orders} WHERE o_orderkey % 20 = 0
-UNION ALL SELECT concat('missing-', CAST(s_suppkey AS STRING)), 'APPROVED', '', 'BOSS1@example.com' FROM {supplier}
-UNION ALL SELECT '', 'APPROVED', '', 'BOSS1@example.com' FROM {region}""",
+ CASE WHEN o_orderkey % 401 = 0 THEN '' WHEN o_orderkey % 907 = 0 THEN 'HOLD' ELSE
+  CASE (o_orderkey + o_custkey) % 8 WHEN 0 THEN 'APPROVED' WHEN 1 THEN '承認済' WHEN 2 THEN 'REJECTED' WHEN 3 THEN '却下'
+   WHEN 4 THEN 'cancelled' WHEN 5 THEN 'PENDING' WHEN 6 THEN '取消' ELSE 'APPROVED' END END AS status,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'policy' ELSE '' END AS reject_reason,
+ CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE concat('BOSS', CAST(o_custkey % 11 % 9 AS STRING), '@example.com') END AS actor_email,
+ CASE WHEN o_orderkey % 211 = 0 THEN NULL ELSE concat('sub-', CAST(CAST(floor(o_orderkey/32) AS BIGINT) AS STRING)) END AS submission_id,
+ CAST(1 AS BIGINT) AS seq
+FROM {orders}
+UNION ALL
+SELECT concat('req-', CAST(o_orderkey AS STRING)), 'CANCELLED', '', concat('boss', CAST(o_custkey % 11 AS STRING), '@example.com'),
+ CASE WHEN o_orderkey % 5 = 0 THEN 'late' ELSE concat('sub-', CAST(CAST(floor(o_orderkey/32) AS BIGINT) AS STRING)) END, CAST(2 AS BIGINT)
+FROM {orders} WHERE o_orderstatus = 'F'
+UNION ALL SELECT concat('missing-', CAST(s_suppkey AS STRING)), 'APPROVED', '', 'BOSS1@example.com', 'sub-missing', CAST(s_suppkey AS BIGINT) FROM {supplier}
+UNION ALL SELECT '', 'APPROVED', '', 'BOSS1@example.com', CASE WHEN r_regionkey > 2 THEN 'sub-missing' ELSE 'sub-blank' END, CAST(r_regionkey AS BIGINT) FROM {region}""",
 
     "intake_batch": """
-SELECT concat('grp-in-', CAST(CAST(floor(o_orderkey/120) AS BIGINT) AS STRING)) AS request_group_id, concat('in-', CAST(o_orderkey AS STRING)) AS request_id,
- CASE CAST(floor(o_orderkey/40) AS BIGINT) % 4 WHEN 0 THEN '新規付与' WHEN 1 THEN '変更' WHEN 2 THEN '削除' ELSE '緊急付与' END AS request_type_raw,
+SELECT CASE WHEN o_orderkey % 331 = 0 THEN NULL ELSE concat('grp-in-', CAST(CAST(floor(o_orderkey/8) AS BIGINT) AS STRING)) END AS request_group_id,
+ concat('in-', CAST(o_orderkey AS STRING)) AS request_id,
+ CASE (o_orderkey + o_custkey) % 4 WHEN 0 THEN '新規付与' WHEN 1 THEN '変更' WHEN 2 THEN '削除' ELSE '緊急付与' END AS request_type_raw,
  concat(' user', CAST(o_custkey AS STRING), '@example.com ') AS principal,
  CASE WHEN o_custkey % 2 = 0 THEN concat('p', CAST(o_custkey % 20 AS STRING)) ELSE concat('folders/', CAST(o_custkey AS STRING)) END AS resource,
- CASE WHEN o_custkey % 17 = 0 THEN 'Viewer' ELSE 'roles/viewer' END AS role,
- CASE o_orderkey % 3 WHEN 0 THEN '恒久' WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) ELSE '31/12/2001' END AS expires_raw,
+ CASE WHEN o_custkey % 97 = 0 THEN 'Viewer' ELSE 'roles/viewer' END AS role,
+ CASE (o_orderkey + o_custkey) % 5 WHEN 0 THEN '恒久' WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 2 THEN '31/12/2001'
+  WHEN 3 THEN concat(CAST(year(o_orderdate) AS STRING), '-', CAST(month(o_orderdate) AS STRING), '-', CAST(day(o_orderdate) AS STRING)) ELSE 'permanent' END AS expires_raw,
  'need access' AS reason, o_orderdate AS requested_at
-FROM {orders} WHERE o_orderkey % 40 = 0""",
+FROM {orders}""",
 }
 
 
@@ -201,7 +219,7 @@ class TableSet:
     def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return base_table(self.spark, self.sf_dir, name)
-        if self.stored is not None and os.path.isdir(os.path.join(self.stored, name)):
+        if self.stored is not None and path_exists(self.spark, os.path.join(self.stored, name)):
             return self.spark.read.parquet(os.path.join(self.stored, name))
         template = FIXTURES[name]
         refs = {dep: self[dep] for dep in _deps(template)}

@@ -1,9 +1,9 @@
 """Nested collector documents shaped from the flat fixtures (FIXTURES.md §C).
 
 They stand in for API responses: policy documents, asset search rows and
-group documents.  Members are spread over documents by ``length(member) % 8``
-(as an API pages them), so no document holds a whole resource's or group's
-membership.
+group documents.  Members are dealt over documents by the first three hex
+digits of their SHA-256 (as an API pages them), so a document holds about
+1/4096 of a resource's or group's members.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ def _prefixed_member(email, ptype):
             .otherwise(F.concat(F.lit("user:"), email)))
 
 
+def _page(member: str):
+    return F.substring(F.sha2(member, 256), 1, 3)
+
+
 def policy_docs(perm: DataFrame) -> DataFrame:
     """struct(resource, asset_type, policy.bindings[].{role, members[]}) per (resource, page)."""
     members = perm.select("resource_name", "resource_type", "role",
@@ -26,7 +30,7 @@ def policy_docs(perm: DataFrame) -> DataFrame:
     extra = (perm.select("resource_name", "resource_type").distinct()
              .select("resource_name", "resource_type", F.lit("roles/viewer").alias("role"),
                      F.explode(F.array(F.lit("allUsers"), F.lit("deleted:user:x@example.com"))).alias("member")))
-    allm = members.unionByName(extra).distinct().withColumn("page", F.length("member") % 8)
+    allm = members.unionByName(extra).distinct().withColumn("page", _page("member"))
     per_role = allm.groupBy("resource_name", "resource_type", "page", "role").agg(
         F.array_sort(F.collect_list("member")).alias("members"))
     docs = per_role.groupBy("resource_name", "resource_type", "page").agg(
@@ -58,7 +62,7 @@ def asset_rows(inventory: DataFrame) -> DataFrame:
 def group_docs(memberships: DataFrame) -> DataFrame:
     """groupKey.id, displayName, memberships[] per (group, page) of the membership rows."""
     m = memberships.select("group_email", "member_email", "membership_type").distinct() \
-        .withColumn("page", F.length("member_email") % 8)
+        .withColumn("page", _page("member_email"))
     item = F.struct(F.struct(F.col("member_email").alias("id")).alias("preferredMemberKey"),
                     F.array(F.struct(F.col("membership_type").alias("name"))).alias("roles"))
     docs = m.groupBy("group_email", "page").agg(F.array_sort(F.collect_list(item)).alias("memberships"))

@@ -1,13 +1,19 @@
 """Table writers (#8-13, #15-17): the only library code that touches storage.
 
 Conventions:
-* every table is parquet, partitioned by a snapshot/event date and sorted
-  within partitions on its clustering keys (the reference's DAY partitioning
-  + clustering), so date filters prune folders and key filters use row-group
+* a table is ``<root>/<table>/versions/<version>/p_date=<day>/*.parquet``,
+  sorted within files on its clustering keys (the reference's DAY partitioning
+  and clustering), so date filters prune folders and key filters use row-group
   min/max statistics;
-* a full replace never overwrites the folder being read: it writes a new
-  version folder and then rewrites the one-line ``_CURRENT`` pointer table
-  (last step) — readers use :func:`read_current`;
+* the current version is named by the newest entry of ``<table>/_pointers``.
+  A full replace writes a new version folder and then creates a new pointer
+  entry, an empty file whose name carries a number and the version: entries
+  are created at once and never rewritten, so a reader sees the old version or
+  the new one, never neither;
+* an append adds files to the current version (the first append creates it),
+  so replaced and appended rows are read together;
+* rows are rebalanced by day before a write: small days share a task and a hot
+  day is split by AQE, so neither tasks x days small files nor one huge task;
 * row counts come from ``DataFrame.observe`` on the write itself (no second
   pass over the data).
 """
@@ -17,20 +23,21 @@ from __future__ import annotations
 import datetime as _dt
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ts
 
-POINTER = "_CURRENT"
+POINTERS = "_pointers"
+VERSIONS = "versions"
 
 # table -> (timestamp column for the DAY partition, clustering keys)
 TABLE_LAYOUT: dict[str, tuple[str, list[str]]] = {
     "iam_access_requests": ("requested_at", ["status", "principal_email", "role"]),
     "iam_access_request_history": ("event_at", ["request_id"]),
-    "iam_access_change_log": ("executed_at", ["request_id"]),
+    "iam_access_change_log": ("executed_at", ["request_id", "result"]),
     "iam_policy_permissions": ("assessment_timestamp", ["principal_email", "resource_name", "role"]),
     "iam_policy_bindings_raw_history": ("assessment_timestamp", ["principal_email", "resource_name", "role"]),
     "iam_permission_bindings_history": ("recorded_at", ["principal_email", "resource_name", "iam_role"]),
@@ -41,56 +48,119 @@ TABLE_LAYOUT: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def write_partitioned(df: DataFrame, path: str, date_col: str | None, sort_cols: Sequence[str] = (),
-                      mode: str = "append") -> int:
-    """#17: write with a DAY partition on ``date_col`` and in-partition clustering; returns rows written.
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of the store that ``path`` lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-    No repartition by date: one day may hold a large share of the rows, so
-    each task writes its own slice of every day it holds.
-    """
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return bool(fs.exists(at))
+
+
+def _observed(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+    """``df`` with its rows counted by the action that runs it, and a function that gives the number.
+
+    Where the optimizer finds the plan empty it drops the count as well, and the metrics have no columns."""
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
     out = df.observe(obs, F.count(F.lit(1)).alias("n"))
-    w_cols = []
+    return out, lambda: int(obs.get["n"]) if obs._jo.getRow().schema() is not None else 0
+
+
+def write_partitioned(df: DataFrame, path: str, date_col: str | None, sort_cols: Sequence[str] = (),
+                      mode: str = "append") -> int:
+    """#17: write with a DAY partition on ``date_col`` and in-file clustering; returns rows written."""
+    out, rows = _observed(df)
+    days = []
     if date_col:
-        out = out.withColumn("p_date", F.col(date_col).cast("date"))
-        w_cols = ["p_date"]
-    if w_cols or sort_cols:
-        out = out.sortWithinPartitions(*w_cols, *sort_cols)
+        out = out.withColumn("p_date", F.col(date_col).cast("date")).hint("rebalance", "p_date")
+        days = ["p_date"]
+    if days or sort_cols:
+        out = out.sortWithinPartitions(*days, *sort_cols)
     writer = out.write.mode(mode)
-    if w_cols:
-        writer = writer.partitionBy(*w_cols)
+    if days:
+        writer = writer.partitionBy(*days)
     writer.parquet(path)
-    return int(obs.get.get("n", 0))
+    return rows()
 
 
-def write_table(df: DataFrame, root: str, table: str, mode: str = "append") -> int:
+def _write_version(df: DataFrame, root: str, table: str, version: str) -> int:
     date_col, keys = TABLE_LAYOUT.get(table, (None, []))
-    present = [k for k in keys if k in df.columns]
-    return write_partitioned(df, os.path.join(root, table), date_col if date_col in df.columns else None,
-                             present, mode)
+    return write_partitioned(df.drop("p_date"), os.path.join(root, table, VERSIONS, version), date_col if date_col in df.columns else None,
+                             [k for k in keys if k in df.columns])
+
+
+def _pointers(spark: SparkSession, root: str, table: str) -> list[str]:
+    fs, at = _files(spark, os.path.join(root, table, POINTERS))
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _point_to(spark: SparkSession, root: str, table: str, version: str) -> None:
+    """Create the next pointer entry; of two made at once, the larger name is current."""
+    names = _pointers(spark, root, table)
+    number = int(names[-1].split(".")[0]) + 1 if names else 1
+    fs, at = _files(spark, os.path.join(root, table, POINTERS, f"{number:012d}.{version}"))
+    if not fs.createNewFile(at):
+        raise FileExistsError(f"pointer entry exists: {at}")
+
+
+def current_version(spark: SparkSession, root: str, table: str) -> str | None:
+    """The version that readers see, or None where the table has never been written."""
+    names = _pointers(spark, root, table)
+    return names[-1].split(".", 1)[1] if names else None
+
+
+def table_exists(spark: SparkSession, root: str, table: str) -> bool:
+    return current_version(spark, root, table) is not None
+
+
+def _new_version() -> str:
+    return f"v-{_dt.datetime.now(_dt.timezone.utc).strftime('%Y%m%d%H%M%S')}-{uuid.uuid4().hex[:8]}"
+
+
+def write_table(df: DataFrame, root: str, table: str) -> int:
+    """Append rows to the table's current version; the first append creates it."""
+    spark = df.sparkSession
+    version = current_version(spark, root, table)
+    if version is None:
+        return replace_snapshot(df, root, table)
+    return _write_version(df, root, table, version)
+
+
+def append_new(df: DataFrame, root: str, table: str, keys: Sequence[str], **same: str) -> int:
+    """Append the rows whose ``keys`` the table lacks, so a job that is run again adds nothing twice.
+
+    ``same`` are column values that all rows share (an execution id, say): only stored rows with them are compared."""
+    spark = df.sparkSession
+    if table_exists(spark, root, table):
+        have = read_current(spark, root, table)
+        for column, value in same.items():
+            have = have.where(F.col(column) == value)
+        have = have.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+        match = F.lit(True)
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        df = df.join(have, match, "left_anti")
+    return write_table(df, root, table)
 
 
 def replace_snapshot(df: DataFrame, root: str, table: str) -> int:
     """#8: full replace; an empty input leaves an empty (truncated) table.  Returns rows written."""
-    version = f"v-{_dt.datetime.now(_dt.timezone.utc).strftime('%Y%m%d%H%M%S')}-{uuid.uuid4().hex[:8]}"
-    base = os.path.join(root, table)
-    n = write_table(df, os.path.join(base, "versions"), version, mode="overwrite")
-    spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite") \
-        .text(os.path.join(base, POINTER))
+    version = _new_version()
+    n = _write_version(df, root, table, version)
+    if n == 0:  # partitioned writes of no rows leave no file to take the schema from
+        df.drop("p_date").limit(0).coalesce(1).write.mode("append").parquet(os.path.join(root, table, VERSIONS, version))
+    _point_to(df.sparkSession, root, table, version)
     return n
 
 
 def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Read the table version named by the pointer (or the plain folder for append tables)."""
-    base = os.path.join(root, table)
-    try:
-        version = spark.read.text(os.path.join(base, POINTER)).first()
-    except Exception:  # noqa: BLE001 - no pointer: an append-only table
-        version = None
-    if version is not None:
-        return spark.read.parquet(os.path.join(base, "versions", version[0].strip()))
-    return spark.read.parquet(base)
+    """The rows of the current version (with ``p_date`` where the table is partitioned)."""
+    version = current_version(spark, root, table)
+    if version is None:
+        raise FileNotFoundError(f"table {table} has not been written under {root}")
+    return spark.read.parquet(os.path.join(root, table, VERSIONS, version))
 
 
 def replace_permissions_snapshot(df: DataFrame, root: str) -> int:
@@ -141,7 +211,7 @@ def prepare_job_report(df: DataFrame) -> DataFrame:
     out = df
     for c in ("counts", "details"):
         if c in out.columns and dict(out.dtypes)[c] != "string":
-            out = out.withColumn(c, F.to_json(c))
+            out = out.withColumn(c, F.to_json(c, {"ignoreNullFields": "false"}))
     return out
 
 
@@ -160,16 +230,13 @@ def export_view(df: DataFrame, path: str, placeholder: str = "(no rows)") -> str
     """#16: CSV export with headers; an empty view gets one placeholder row.
 
     Written as parallel part files (each with a header) instead of funnelling
-    the view through one task.
+    the view through one task; the row count is observed on the write.
     """
-    first = df.columns[0]
-    empty = len(df.take(1)) == 0
-    out = df
-    if empty:
-        spark = df.sparkSession
-        row = {c: None for c in df.columns}
-        row[first] = placeholder
-        out = spark.createDataFrame([tuple(row[c] for c in df.columns)],
-                                    ", ".join(f"`{c}` string" for c in df.columns))
+    spark = df.sparkSession
+    out, rows = _observed(df)
     out.write.mode("overwrite").option("header", True).csv(path)
+    if rows() == 0:
+        row = tuple(placeholder if i == 0 else None for i in range(len(df.columns)))
+        spark.createDataFrame([row], ", ".join(f"`{c}` string" for c in df.columns)).coalesce(1) \
+            .write.mode("overwrite").option("header", True).csv(path)
     return path
