@@ -46,10 +46,10 @@ def flatten_policy_bindings(policy_docs: DataFrame, execution_id: str, as_of: st
 
 
 def policy_collection_counts(policy_docs: DataFrame) -> DataFrame:
-    """#2: policies (distinct resources) and bindings (members) seen by the flatten."""
+    """#2: policy results and bindings (members) seen by the flatten, as the collector counts them."""
     members = F.aggregate(F.coalesce(F.col("policy.bindings"), F.array()), F.lit(0).cast("long"),
                           lambda acc, b: acc + F.coalesce(F.size(b["members"]), F.lit(0)).cast("long"))
-    return policy_docs.agg(F.count_distinct("resource").alias("policies"),
+    return policy_docs.agg(F.count(F.lit(1)).alias("policies"),
                            F.coalesce(F.sum(members), F.lit(0).cast("long")).alias("bindings"))
 
 
@@ -141,7 +141,7 @@ REQUEST_COLUMNS = ["request_group_id", "request_id", "request_type", "principal_
 def _expires(raw):
     r = F.coalesce(raw, F.lit(""))
     permanent = (r == "") | (r == K.PERMANENT_JA) | F.upper(r).contains(K.PERMANENT_EN)
-    parsed = F.try_to_timestamp(r, F.lit("yyyy-MM-dd")).cast("date")
+    parsed = F.try_to_timestamp(r, F.lit("yyyy-M-d")).cast("date")
     at_end = F.try_to_timestamp(F.concat(F.date_format(parsed, "yyyy-MM-dd"), F.lit(" 23:59:59")),
                                 F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
     expires = F.when(permanent, F.lit(None).cast("timestamp_ntz")).otherwise(at_end)
@@ -172,8 +172,8 @@ def intake_requests(batch: DataFrame, requester: str, as_of: str | _dt.datetime)
     role = F.trim(F.coalesce(F.col("role"), F.lit("")))
     bad_role = (role != "") & ~role.startswith("roles/")
     flagged = batch.withColumn("_bad", F.when(bad_role, F.concat(F.lit("Invalid role: "), role)))
-    group_err = flagged.groupBy("request_group_id").agg(F.min("_bad").alias("_group_error"))
-    j = flagged.join(group_err, "request_group_id", "left")
+    group_err = flagged.filter(F.col("_bad").isNotNull()).groupBy(F.col("request_group_id").alias("_group")).agg(F.min("_bad").alias("_group_error"))
+    j = flagged.join(group_err, F.col("request_group_id").eqNullSafe(F.col("_group")), "left").drop("_group")
     rejected = j.filter(F.col("_group_error").isNotNull()).select(
         "request_group_id", "request_id", F.col("_group_error").alias("error"))
     ok = j.filter(F.col("_group_error").isNull())

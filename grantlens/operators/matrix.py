@@ -1,30 +1,30 @@
 """Permission matrices (#57-59): pivot roles into columns.
 
 The pivot schema depends on the data, so the role list is resolved first:
-either passed in, or read as a distinct list whose size is checked before it
-reaches the driver (a matrix with more role columns than ``max_roles`` is
-refused rather than silently truncated).
+passed in (the role master knows it), or read as a distinct list.  It holds
+one string a role, whatever the number of bindings.  The long form
+(:func:`permission_matrix_long`) has one row per cell and needs no list, for
+matrices with more roles than a table should have columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .latest import newest_per_key
 
-MAX_ROLE_COLUMNS = 2000
+def role_values(history: DataFrame, col: str = "iam_role") -> list[str]:
+    """Sorted distinct non-empty role ids (bounded by the number of roles, not of rows)."""
+    distinct = history.select(col).filter(F.col(col).isNotNull() & (F.col(col) != "")).distinct()
+    return sorted(r[0] for r in distinct.collect())
 
 
-def role_values(history: DataFrame, col: str = "iam_role", max_roles: int = MAX_ROLE_COLUMNS) -> list[str]:
-    """Sorted distinct non-empty role ids; raises if more than ``max_roles``."""
-    distinct = history.select(col).filter(F.col(col).isNotNull() & (F.col(col) != "")).distinct()
-    got = [r[0] for r in distinct.limit(max_roles + 1).collect()]
-    if len(got) > max_roles:
-        raise ValueError(f"more than {max_roles} distinct roles; pass an explicit role list")
-    return sorted(got)
+def _pivot(df: DataFrame, keys: list[str], col: str, values: Sequence[str], cell: Callable[[Column], Column]) -> DataFrame:
+    """One aggregate per listed value; unlike ``pivot`` without a limit on their number."""
+    return df.groupBy(*keys).agg(*(cell(F.col(col) == v).alias(v) for v in values))
 
 
 def role_column_list(history: DataFrame, col: str = "iam_role") -> DataFrame:
@@ -34,22 +34,34 @@ def role_column_list(history: DataFrame, col: str = "iam_role") -> DataFrame:
                      F.array_join(F.array_sort(F.collect_list(col)), ",").alias("role_columns"))
 
 
+def newest_cells(history: DataFrame) -> DataFrame:
+    """#64: the newest row per (resource_id, principal, role).
+
+    Ties on recorded_at fall back to the larger execution-independent key
+    (status, resource_name, principal_type) so the pick is deterministic."""
+    return newest_per_key(history, ["resource_id", "principal", "iam_role"],
+                          ["recorded_at", "status", "resource_name", "principal_type"])
+
+
+def permission_matrix_long(history: DataFrame) -> DataFrame:
+    """#57 in long form: one row per filled cell (resource, principal, role) with its status."""
+    return (newest_cells(history).filter(F.col("iam_role").isNotNull() & (F.col("iam_role") != ""))
+            .groupBy("resource_name", "resource_id", "principal", "principal_type", "iam_role").agg(F.max("status").alias("status")))
+
+
 def permission_matrix_status(history: DataFrame, roles: Sequence[str] | None = None) -> DataFrame:
     """#57: newest row per (resource_id, principal, role); roles pivoted to MAX(status).
 
     ``history`` has the permission-history report columns (resource_name,
     resource_id, principal, principal_type, iam_role, status, recorded_at).
-    Ties on recorded_at fall back to the larger execution-independent key
-    (status, resource_name, principal_type) so the pick is deterministic.
     """
     roles = list(roles) if roles is not None else role_values(history)
-    newest = newest_per_key(history, ["resource_id", "principal", "iam_role"],
-                            ["recorded_at", "status", "resource_name", "principal_type"])
+    newest = newest_cells(history)
     if not roles:
         return newest.groupBy("resource_name", "resource_id", "principal", "principal_type").agg(
             F.lit(None).cast("string").alias("NO_ROLE"))
-    return (newest.groupBy("resource_name", "resource_id", "principal", "principal_type")
-            .pivot("iam_role", roles).agg(F.max("status")))
+    return _pivot(newest, ["resource_name", "resource_id", "principal", "principal_type"], "iam_role", roles,
+                  lambda here: F.max(F.when(here, F.col("status"))))
 
 
 def permission_matrix_count(history: DataFrame, roles: Sequence[str] | None = None,
@@ -67,7 +79,5 @@ def permission_matrix_count(history: DataFrame, roles: Sequence[str] | None = No
         roles = role_values(src, "role_short")
     else:
         roles = sorted({r[len("roles/"):] if r.startswith("roles/") else r for r in roles})
-    counted = (src.groupBy("principal", "resource_id").pivot("role_short", roles)
-               .agg(F.count(F.when(F.col("principal") != "", F.col("principal")))))
-    return counted.select("principal", "resource_id",
-                          *[F.coalesce(F.col(f"`{r}`"), F.lit(0).cast("long")).alias(r) for r in roles])
+    return _pivot(src, ["principal", "resource_id"], "role_short", roles,
+                  lambda here: F.count(F.when(here & (F.col("principal") != ""), F.lit(1))))

@@ -9,6 +9,7 @@ cascade over the whole batch: first matching rule wins, exactly as the loop's
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ def normalize_reviews(raw: DataFrame, batch_col: str | None = None) -> DataFrame
         # one batch: a one-row global aggregate (partial, map-side), broadcast back
         errs = df.agg(F.min("_bad").alias("batch_error")).withColumn("_b", F.lit(0))
         return df.withColumn("_b", F.lit(0)).join(F.broadcast(errs), "_b", "left").drop("_bad", "_b")
-    errs = df.groupBy(batch_col).agg(F.min("_bad").alias("batch_error"))
-    return df.join(errs, batch_col, "left").drop("_bad")
+    errs = df.filter(F.col("_bad").isNotNull()).groupBy(F.col(batch_col).alias("_batch")).agg(F.min("_bad").alias("batch_error"))
+    return df.join(errs, F.col(batch_col).eqNullSafe(F.col("_batch")), "left").drop("_bad", "_batch")
 
 
 def review_decisions(updates: DataFrame, req: DataFrame, actor_source: str = "SHEET_BULK_REVIEW",
@@ -65,8 +66,8 @@ def review_decisions(updates: DataFrame, req: DataFrame, actor_source: str = "SH
         u = u.withColumn("seq", F.lit(0).cast("long"))
     batch_key = [batch_col] if batch_col else []
     if batch_col:
-        has_id = u.groupBy(batch_col).agg(F.max(F.col("_id") != "").alias("_batch_has_id"))
-        u = u.join(has_id, batch_col, "left").filter(F.col("_batch_has_id")).drop("_batch_has_id")
+        has_id = u.filter(F.col("_id") != "").select(F.col(batch_col).alias("_batch")).distinct()
+        u = u.join(has_id, F.col(batch_col).eqNullSafe(F.col("_batch")), "left_semi")
     snap = req.select(F.col("request_id").alias("_id"), F.col("status").alias("_old"),
                       F.col("approver_email").alias("_approver"), F.lit(True).alias("_found"))
     j = u.join(snap, "_id", "left")
@@ -91,23 +92,33 @@ def review_decisions(updates: DataFrame, req: DataFrame, actor_source: str = "SH
     d = d.withColumn("outcome", F.when(F.col("error_code").isNull(), F.lit("UPDATED"))
                      .when(F.col("error_code") == "NO_STATUS_CHANGE", F.lit("SKIPPED"))
                      .otherwise(F.lit("ERROR")))
-    # keep-first for duplicate ids among the updates of one batch
-    first = Window.partitionBy(*batch_key, "_id", "outcome").orderBy(F.col("seq").asc(), F.col("_new").asc(),
-                                                                     F.col("_rr").asc(), actor.asc())
-    d = d.withColumn("_rank", F.when(F.col("outcome") == "UPDATED", F.row_number().over(first)))
+    # keep-first for duplicate ids among the updates of one batch; other outcomes need no window
+    first = Window.partitionBy(*batch_key, "_id").orderBy(F.col("seq").asc(), F.col("_new").asc(), F.col("_rr").asc(), actor.asc())
+    updated = d.filter(F.col("outcome") == "UPDATED").withColumn("_rank", F.row_number().over(first))
     dup = F.col("_rank") > 1
-    d = (d.withColumn("outcome", F.when(dup, F.lit("SKIPPED")).otherwise(F.col("outcome")))
-          .withColumn("error_code", F.when(dup, F.lit("DUPLICATE_IN_BATCH")).otherwise(F.col("error_code"))))
-    keep = [batch_col] if batch_col and batch_col not in ("request_id",) else []
+    updated = (updated.withColumn("outcome", F.when(dup, F.lit("SKIPPED")).otherwise(F.col("outcome")))
+               .withColumn("error_code", F.when(dup, F.lit("DUPLICATE_IN_BATCH")).otherwise(F.col("error_code"))).drop("_rank"))
+    d = updated.unionByName(d.filter(F.col("outcome") != "UPDATED"))
+    own = {"request_id", "status", "old_status", "reject_reason", "actor_email", "outcome", "error_code", "error_message", "seq"}
+    keep = [batch_col] if batch_col and batch_col not in own else []
     return d.select(*keep, F.col("_id").alias("request_id"), F.col("_new").alias("status"),
                     F.col("_old").alias("old_status"), F.col("_rr").alias("reject_reason"),
-                    F.col("actor_email"), "outcome", "error_code", "error_message")
+                    F.col("actor_email"), "seq", "outcome", "error_code", "error_message")
+
+
+def applied_updates(decisions: DataFrame) -> DataFrame:
+    """The one update per request that counts: of several batches the first by (seq, status, reason, actor).
+
+    Both #80 and #81 use it, so the stored status and the logged event always agree."""
+    upd = decisions.filter(F.col("outcome") == "UPDATED")
+    order = [F.col("seq")] if "seq" in decisions.columns else []
+    first = Window.partitionBy("request_id").orderBy(*order, "status", "reject_reason", "actor_email")
+    return upd.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1).drop("_nth")
 
 
 def apply_status_updates(req: DataFrame, decisions: DataFrame, as_of: str | _dt.datetime) -> DataFrame:
     """#80: new request table: status, updated_at and (for APPROVED) approved_at = as_of."""
-    delta = decisions.filter(F.col("outcome") == "UPDATED").select(
-        "request_id", F.col("status").alias("_new")).dropDuplicates(["request_id"])
+    delta = applied_updates(decisions).select("request_id", F.col("status").alias("_new"))
     j = req.join(delta, "request_id", "left")
     hit = F.col("_new").isNotNull()
     now = ts(as_of)
@@ -128,7 +139,7 @@ def apply_status_updates(req: DataFrame, decisions: DataFrame, as_of: str | _dt.
 def status_change_events(req: DataFrame, decisions: DataFrame, as_of: str | _dt.datetime,
                          actor_source: str = "SHEET_BULK_REVIEW") -> DataFrame:
     """#81: one STATUS_CHANGED history row per applied update (deterministic history_id)."""
-    upd = decisions.filter(F.col("outcome") == "UPDATED").select(
+    upd = applied_updates(decisions).select(
         "request_id", F.col("status").alias("new_status"), "old_status", "reject_reason", "actor_email")
     r = req.select("request_id", "request_group_id", "reason", "request_type", "principal_email", "resource_name",
                    "role", "requester_email", "approver_email")
@@ -186,50 +197,87 @@ def execution_plan(req: DataFrame, ids: DataFrame, log: DataFrame, scope: DataFr
 
 
 def policy_diff(bindings: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """#83: apply GRANT/REVOKE changes to a binding set, per change -> SUCCESS / SKIPPED.
+    """#83: apply GRANT/REVOKE changes one after the other, per change -> SUCCESS / SKIPPED.
 
     ``bindings``: resource_name, role, member, condition (NULL = unconditioned).
-    ``changes``: request_id, action, resource_name, role, principal_email.
+    ``changes``: request_id, action, resource_name, role, principal_email and
+    optionally approved_at; they run in the order (approved_at, request_id).
     GRANT only looks at the unconditioned binding; REVOKE removes the member
-    from every binding of the role, conditioned or not.  Every change is
-    judged against the same input snapshot; a repeated identical change is
-    SKIPPED after its first (smallest request_id) occurrence.
-    Returns (new_bindings, results).
+    from every binding of the role, conditioned or not.  What a change finds
+    is what the change before it on the same (resource, role, member) left:
+    after a GRANT the plain binding is there, after a REVOKE none is; only the
+    first change looks at the snapshot.  Returns (new_bindings, results).
     """
-    ch = changes.select("request_id", normalize_action(F.coalesce(F.col("action"), F.lit(""))).alias("action"),
-                        "resource_name", "role", member_identifier(F.col("principal_email")).alias("member"))
     key = ["resource_name", "role", "member"]
-    plain = bindings.filter(F.col("condition").isNull()).select(*key).distinct().withColumn("_plain", F.lit(True))
-    anyb = bindings.select(*key).distinct().withColumn("_any", F.lit(True))
-    j = ch.join(plain, key, "left").join(anyb, key, "left")
-    first = Window.partitionBy("action", *key).orderBy("request_id")
-    changed = (((F.col("action") == K.GRANT) & F.col("_plain").isNull())
-               | ((F.col("action") == K.REVOKE) & F.col("_any").isNotNull()))
-    j = j.withColumn("_rank", F.row_number().over(first))
-    changed = changed & (F.col("_rank") == 1)
+    at = F.col("approved_at") if "approved_at" in changes.columns else F.lit(None).cast("timestamp_ntz")
+    ch = changes.select("request_id", at.alias("_at"), normalize_action(F.coalesce(F.col("action"), F.lit(""))).alias("action"),
+                        "resource_name", "role", member_identifier(F.col("principal_email")).alias("member"))
+    state = bindings.groupBy(*key).agg(F.bool_or(F.col("condition").isNull()).alias("_plain"), F.lit(True).alias("_any"))
+    order = Window.partitionBy(*key).orderBy(F.col("_at").asc_nulls_first(), "request_id")
+    j = ch.withColumn("_before", F.lag("action").over(order)).withColumn("_after", F.lead("action").over(order)).join(state, key, "left")
+    first = F.col("_before").isNull()
+    plain = F.when(first, F.coalesce("_plain", F.lit(False))).otherwise(F.col("_before") == K.GRANT)
+    some = F.when(first, F.coalesce("_any", F.lit(False))).otherwise(F.col("_before") == K.GRANT)
+    changed = F.when(F.col("action") == K.GRANT, ~plain).otherwise((F.col("action") == K.REVOKE) & some)
+    j = j.withColumn("changed", changed)
     results = j.select("request_id", "action", F.col("resource_name").alias("target"), "role", "member",
-                       F.when(changed, F.lit(K.SUCCESS)).otherwise(F.lit(K.SKIPPED)).alias("result"),
-                       changed.alias("changed"))
-    revoked = results.filter((F.col("action") == K.REVOKE) & F.col("changed")).select(
-        F.col("target").alias("resource_name"), "role", "member").distinct()
-    granted = results.filter((F.col("action") == K.GRANT) & F.col("changed")).select(
-        F.col("target").alias("resource_name"), "role", "member", F.lit(None).cast("string").alias("condition"))
-    kept = bindings.select(*key, "condition").join(revoked, key, "left_anti")
+                       F.when(F.col("changed"), F.lit(K.SUCCESS)).otherwise(F.lit(K.SKIPPED)).alias("result"), "changed")
+    # per key: a revocation clears the snapshot's bindings, and the last action says whether the plain one is there
+    end = j.groupBy(*key).agg(F.bool_or(F.col("action") == K.REVOKE).alias("_cleared"),
+                              F.max(F.when(F.col("_after").isNull(), F.col("action"))).alias("_last"),
+                              F.bool_or(F.coalesce("_plain", F.lit(False))).alias("_had"))
+    kept = bindings.select(*key, "condition").join(end.filter("_cleared"), key, "left_anti")
+    granted = end.filter((F.col("_last") == K.GRANT) & (F.col("_cleared") | ~F.col("_had"))) \
+        .select(*key, F.lit(None).cast("string").alias("condition"))
     return kept.unionByName(granted), results
 
 
-def policy_fingerprint(bindings: DataFrame) -> DataFrame:
-    """#84: order-independent digest of each resource's binding set.
+EXECUTOR = "iam-executor"
 
-    XOR of per-binding 60-bit hashes plus the count, hashed with SHA-256: a
-    partial aggregate, so a large policy is never gathered into one row.
+
+def execute_approved(req: DataFrame, ids: DataFrame, log: DataFrame, scope: DataFrame, bindings: DataFrame,
+                     as_of: str | _dt.datetime, execution_id: str, executed_by: str = EXECUTOR) -> tuple[DataFrame, DataFrame]:
+    """Gate -> policy diff -> change log: the rows that executing ``ids`` adds to the change log, and the new bindings.
+
+    NOT_FOUND ids leave no row; gated ids leave a SKIPPED or FAILED row; the
+    others run in order of approval, SUCCESS where they change the policy and
+    SKIPPED where it is as wanted already.  ``before_hash`` and ``after_hash``
+    are the digests (#84) of the resource's bindings before and after the
+    batch; gated rows have none.
+    """
+    plan = execution_plan(req, ids, log, scope).filter(F.col("decision") != "NOT_FOUND")
+    run = plan.filter(F.col("decision") == "EXECUTE").select("request_id", "action")
+    changes = run.join(req.select("request_id", "resource_name", "role", "principal_email", "approved_at"), "request_id")
+    after, diff = policy_diff(bindings, changes)
+    before_hash = policy_fingerprint(bindings).withColumnRenamed("policy_hash", "before_hash")
+    after_hash = policy_fingerprint(after).withColumnRenamed("policy_hash", "after_hash")
+    j = (plan.join(diff.select("request_id", F.col("result").alias("_diff")), "request_id", "left")
+         .join(before_hash.withColumnRenamed("resource_name", "target"), "target", "left")
+         .join(after_hash.withColumnRenamed("resource_name", "target"), "target", "left"))
+    ran = F.col("decision") == "EXECUTE"
+    rows = j.select(
+        F.lit(execution_id).alias("execution_id"), "request_id", "action", "target",
+        F.when(ran, F.col("_diff")).otherwise(F.col("result")).alias("result"), "error_code",
+        F.when(F.col("error_code").isNotNull(), F.col("reason")).alias("error_message"),
+        F.when(ran, F.col("before_hash")).alias("before_hash"), F.when(ran, F.col("after_hash")).alias("after_hash"),
+        F.lit(executed_by).alias("executed_by"), ts(as_of).alias("executed_at"))
+    return rows, after
+
+
+def policy_fingerprint(bindings: DataFrame, buckets: int = 1024) -> DataFrame:
+    """#84: order-independent SHA-256 digest of each resource's binding set.
+
+    Row digests are dealt into ``buckets`` by their leading bits; a bucket's
+    digest is the SHA-256 of its sorted row digests, the policy's the SHA-256
+    of its sorted bucket digests.  So one row holds a thousandth of a large
+    policy, and any edit changes the result.
     """
     rows = bindings.select("resource_name", "role", "member", "condition").distinct()
-    h = F.conv(F.substring(F.sha2(F.concat_ws("|", "role", "member", F.coalesce("condition", F.lit(""))), 256), 1, 15),
-               16, 10).cast("long")
-    agg = rows.groupBy("resource_name").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"))
-    return agg.select("resource_name", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("x").cast("string")),
-                                              256).alias("policy_hash"))
+    digest = F.sha2(F.to_json(F.array("role", "member", F.coalesce(F.concat(F.lit("="), F.col("condition")), F.lit("")))), 256)
+    bucket = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    part = rows.select("resource_name", digest.alias("digest")).groupBy("resource_name", bucket.alias("bucket")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("part"))
+    return part.groupBy("resource_name").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), ""), 256).alias("policy_hash"))
 
 
 def binding_rows(perm: DataFrame) -> DataFrame:
@@ -242,15 +290,18 @@ def binding_rows(perm: DataFrame) -> DataFrame:
 
 
 def revoke_expired(req: DataFrame, perm: DataFrame, bindings: DataFrame, as_of: str | _dt.datetime,
-                   execution_id: str) -> dict[str, DataFrame]:
-    """#86: expired grants -> change-log rows, status decisions, history and the job summary.
+                   execution_id: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """#86: expired grants -> change-log rows, status decisions, history, remaining bindings and the job summary.
+
+    ``keep`` may store the decided rows (write and read back), so that a caller
+    who needs several of the results decides once.
 
     Not active -> SKIPPED, REVOKED_ALREADY_GONE.  Active -> REVOKE diff:
     SUCCESS -> REVOKED, SKIPPED -> REVOKED_ALREADY_GONE, otherwise REVOKE_FAILED.
     """
     exp = expired_grants(req, perm, as_of)
     active = exp.filter(F.col("is_permission_active"))
-    _, diff = policy_diff(bindings, active.select("request_id", F.lit(K.REVOKE).alias("action"), "resource_name",
+    left, diff = policy_diff(bindings, active.select("request_id", F.lit(K.REVOKE).alias("action"), "resource_name",
                                                   "role", "principal_email"))
     d = exp.join(diff.select("request_id", F.col("result").alias("_diff")), "request_id", "left")
     result = F.when(~F.col("is_permission_active"), F.lit(K.SKIPPED)).otherwise(F.coalesce(F.col("_diff"), F.lit(K.FAILED)))
@@ -258,7 +309,7 @@ def revoke_expired(req: DataFrame, perm: DataFrame, bindings: DataFrame, as_of:
                   .when(F.col("_diff") == K.SUCCESS, F.lit(K.REVOKED))
                   .when(F.col("_diff") == K.SKIPPED, F.lit(K.REVOKED_ALREADY_GONE))
                   .otherwise(F.lit(K.REVOKE_FAILED)))
-    d = d.withColumn("result", result).withColumn("new_status", new_status)
+    d = keep(d.withColumn("result", result).withColumn("new_status", new_status))
     log = d.select(F.lit(execution_id).alias("execution_id"), "request_id", F.lit(K.REVOKE).alias("action"),
                    F.col("resource_name").alias("target"), "result",
                    F.when(~F.col("is_permission_active"), F.lit('{"reason":"Already gone"}')).alias("details"),
@@ -267,7 +318,7 @@ def revoke_expired(req: DataFrame, perm: DataFrame, bindings: DataFrame, as_of:
                          F.lit("").alias("reject_reason"), F.lit("SYSTEM_AUTO_REVOKE").alias("actor_email"),
                          F.when(F.col("status") == F.col("new_status"), F.lit("SKIPPED"))
                          .otherwise(F.lit("UPDATED")).alias("outcome"))
-    return {"log": log, "decisions": decisions,
+    return {"log": log, "decisions": decisions, "bindings": left,
             "requests": apply_status_updates(req, decisions, as_of),
             "history": status_change_events(req, decisions, as_of, SYSTEM_BATCH),
             "summary": job_outcome_summary(d)}
@@ -329,13 +380,13 @@ def classify_job_failure(errors: DataFrame) -> DataFrame:
 # --- composition --------------------------------------------------------------------
 
 def bulk_review(raw: DataFrame, req: DataFrame, log: DataFrame, scope: DataFrame,
-                as_of: str | _dt.datetime, batch_col: str = "request_id") -> DataFrame:
+                as_of: str | _dt.datetime, batch_col: str = "submission_id") -> DataFrame:
     """#87: normalise -> decide -> gate approved ids; one output row per review line.
 
-    Batches with an unknown status are rejected whole (``BATCH_REJECTED``).
+    A submission with an unknown status is rejected whole (``BATCH_REJECTED``).
     Accepted lines: ERROR/SKIPPED decisions fail; UPDATED non-APPROVED lines
     succeed; UPDATED APPROVED lines succeed unless the execution gate fails
-    (OUT_OF_SCOPE) — lines that pass the gate are marked for execution.
+    (OUT_OF_SCOPE) - lines that pass the gate are marked for execution.
     """
     n = normalize_reviews(raw, batch_col)
     rejected = n.filter(F.col("batch_error").isNotNull()).select(
@@ -343,9 +394,11 @@ def bulk_review(raw: DataFrame, req: DataFrame, log: DataFrame, scope: DataFrame
         F.col("batch_error").alias("error_message"), F.lit(None).cast("string").alias("execution_decision"))
     ok = n.filter(F.col("batch_error").isNull()).drop("batch_error", "status_raw")
     dec = review_decisions(ok, req, "SHEET_BULK_REVIEW", batch_col)
+    # the gate needs the requests of approved lines only, with the status that the review gives them
+    final = applied_updates(dec).select("request_id", F.col("status").alias("_final"))
     approved = dec.filter((F.col("outcome") == "UPDATED") & (F.col("status") == K.APPROVED)).select("request_id")
-    req_after = apply_status_updates(req, dec, as_of)
-    plan = execution_plan(req_after, approved, log, scope).select(
+    after = req.join(final, "request_id").withColumn("status", F.col("_final")).drop("_final")
+    plan = execution_plan(after, approved, log, scope).select(
         "request_id", F.col("decision").alias("execution_decision"), F.col("result").alias("_exec_result"),
         F.col("error_code").alias("_exec_code"), F.col("reason").alias("_exec_reason"))
     j = dec.join(plan, "request_id", "left")

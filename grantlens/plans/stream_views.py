@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..streaming import alerts as st
 from .reconcile_views import RECONCILE_STATE_CTE, _reconcile
 from .registry import register
+from .report_views import IDS_SQL, REVIEW_SQL
 
 
 @register("stream_history_ingest", "SELECT * FROM iam_access_request_history")
@@ -14,7 +15,10 @@ def q_stream_history_ingest(t):
     """#93: audit events re-sent by retries (every STATUS_CHANGED row twice) de-duplicated by history_id."""
     hist = t["iam_access_request_history"]
     resent = hist.unionByName(hist.filter(F.col("event_type") == "STATUS_CHANGED"))
-    return st.run_available_now(resent, "history", st.dedupe_history)
+    _, stream = st.stage_as_files(resent, "history")
+    out = st._scratch(t.spark, "history-out")
+    st.stream_history_ingest(stream, out, st._scratch(t.spark, "history-ckpt"), available_now=True).awaitTermination()
+    return t.spark.read.parquet(out).select(*hist.columns)
 
 
 @register("stream_break_glass_alerts", """
@@ -42,31 +46,16 @@ def q_stream_reconcile_alerts(t):
     return st.run_available_now(_reconcile(t), "reconcile", st.reconcile_alerts, mode="complete")
 
 
-@register("stream_request_status_refresh", """
-WITH lcl AS (
-  SELECT request_id, result FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id
-      ORDER BY executed_at DESC, execution_id DESC, result DESC, action DESC) AS rn
-    FROM iam_access_change_log) WHERE rn = 1),
-ids AS (SELECT DISTINCT trim(request_id) AS request_id FROM review_updates WHERE trim(request_id) <> ''),
-actual AS (SELECT DISTINCT principal_email, resource_name, role FROM iam_policy_permissions)
-SELECT r.request_id, COALESCE(l.result, '未実行') AS execution_result,
-  CASE WHEN l.result IS NULL THEN '未確認'
-    WHEN r.request_type = 'REVOKE' AND a.principal_email IS NULL THEN '反映済み'
-    WHEN r.request_type = 'REVOKE' AND a.principal_email IS NOT NULL THEN '未反映'
-    WHEN r.request_type != 'REVOKE' AND a.principal_email IS NOT NULL THEN '反映済み'
-    WHEN r.request_type != 'REVOKE' AND a.principal_email IS NULL THEN '未反映'
-    ELSE '未確認' END AS final_reflection
-FROM iam_access_requests r JOIN ids ON r.request_id = ids.request_id
-LEFT JOIN lcl l ON r.request_id = l.request_id
-LEFT JOIN actual a ON r.principal_email = a.principal_email AND r.resource_name = a.resource_name AND r.role = a.role""")
+@register("stream_request_status_refresh", REVIEW_SQL.format(
+    req=f"(SELECT * FROM iam_access_requests WHERE request_id IN {IDS_SQL})") + """
+SELECT request_id, execution_result, final_reflection FROM refl""")
 def q_stream_request_status_refresh(t):
     """#96: verdict refresh driven by a stream of edited request ids (foreachBatch)."""
     spark = t.spark
     _, ids_stream = st.stage_as_files(t["review_updates"].select("request_id"), "refresh-ids")
     out = st._scratch(spark, "refresh-out")
-    q = st.stream_request_status_refresh(ids_stream, t["iam_access_requests"], t["iam_access_change_log"],
-                                         t["iam_policy_permissions"], out, st._scratch(spark, "refresh-ckpt"),
-                                         available_now=True)
+    q = st.stream_request_status_refresh(
+        ids_stream, lambda: (t["iam_access_requests"], t["iam_access_change_log"], t["iam_policy_permissions"]),
+        out, st._scratch(spark, "refresh-ckpt"), available_now=True)
     q.awaitTermination()
     return spark.read.parquet(out).select("request_id", "execution_result", "final_reflection")

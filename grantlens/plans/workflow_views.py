@@ -6,28 +6,26 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import member_identifier
 from ..operators import ingest, scope as sc, workflow as wf
-from .ingest_views import REQUESTER
+from .ingest_views import REQUESTER, _inventory
 from .reconcile_views import NOW
 from .registry import AS_OF, RUN_ID, register
 
 TARGET_ORG = "1"
 
-ANCESTORS_SQL = """WITH RECURSIVE walk(node, up, hops) AS (
-  SELECT resource_id, parent_resource_id, 1 FROM gcp_resource_inventory
-  UNION ALL
-  SELECT w.node, i.parent_resource_id, w.hops + 1
-  FROM walk w JOIN gcp_resource_inventory i ON w.up = i.resource_id
-  WHERE w.hops < 32 AND NOT starts_with(w.up, 'organizations/')
+ANCESTORS_SQL = """WITH RECURSIVE nodes AS (
+  SELECT CASE WHEN resource_type = 'Project' THEN regexp_extract(resource_id, '^projects/(.*)$', 1) ELSE resource_id END AS resource_id,
+    resource_id AS node, parent_resource_id AS parent FROM gcp_resource_inventory
 ),
-last AS (
-  SELECT node, up, hops FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY hops DESC) AS rn FROM walk) WHERE rn = 1
+walk(node, up, hops) AS (
+  SELECT node, parent, 1 FROM nodes
+  UNION ALL
+  SELECT w.node, n.parent, w.hops + 1
+  FROM walk w JOIN nodes n ON w.up = n.node
+  WHERE NOT starts_with(w.up, 'organizations/')
 ),
 anc AS (
-  SELECT node AS resource_id,
-    CASE WHEN starts_with(up, 'organizations/') THEN up END AS organization,
-    CASE WHEN starts_with(up, 'organizations/') THEN hops END AS depth
-  FROM last
+  SELECT n.resource_id, n.node, o.up AS organization, CAST(o.hops AS BIGINT) AS depth
+  FROM nodes n LEFT JOIN (SELECT * FROM walk WHERE starts_with(up, 'organizations/')) o ON n.node = o.node
 )"""
 
 
@@ -46,14 +44,17 @@ res AS (
     SELECT CASE WHEN trim(resource) = '' OR starts_with(trim(resource), 'projects/')
                      OR starts_with(trim(resource), 'folders/') OR starts_with(trim(resource), 'organizations/')
                 THEN trim(resource) ELSE 'projects/' || trim(resource) END
-    FROM intake_batch WHERE request_group_id NOT IN (
+    FROM intake_batch WHERE COALESCE(request_group_id, '') NOT IN (
       SELECT request_group_id FROM intake_batch
-      WHERE trim(COALESCE(role, '')) <> '' AND NOT starts_with(trim(role), 'roles/')))
+      WHERE trim(COALESCE(role, '')) <> '' AND NOT starts_with(trim(role), 'roles/') AND request_group_id IS NOT NULL)
+    AND NOT (request_group_id IS NULL AND EXISTS (SELECT 1 FROM intake_batch WHERE request_group_id IS NULL
+      AND trim(COALESCE(role, '')) <> '' AND NOT starts_with(trim(role), 'roles/')))
+  )
 ),
 sc0 AS (
   SELECT r.resource_name, trim(regexp_extract(r.resource_name, '^[^/]*/(.*)$', 1)) AS pid, a.organization
   FROM res r LEFT JOIN anc a
-    ON a.resource_id = 'projects/' || trim(regexp_extract(r.resource_name, '^[^/]*/(.*)$', 1))
+    ON a.node = 'projects/' || trim(regexp_extract(r.resource_name, '^[^/]*/(.*)$', 1))
 ),
 scope AS (
   SELECT resource_name, CASE
@@ -70,13 +71,13 @@ scope AS (
 
 
 def _scope(t):
-    return sc.scope_check(_scope_resources(t), t["gcp_resource_inventory"], target_org=TARGET_ORG)
+    return sc.scope_check(_scope_resources(t), _inventory(t), target_org=TARGET_ORG)
 
 
 @register("resolve_ancestors", ANCESTORS_SQL + " SELECT * FROM anc")
 def q_resolve_ancestors(t):
-    """#50: organisation and depth of every inventory node (pointer doubling)."""
-    return sc.resolve_ancestors(t["gcp_resource_inventory"])
+    """#50: organisation and depth of every node of the normalised inventory (pointer doubling)."""
+    return sc.resolve_ancestors(_inventory(t))
 
 
 @register("scope_check", SCOPE_SQL + " SELECT resource_name, scope_error IS NULL AS in_scope, scope_error FROM scope")
@@ -98,73 +99,84 @@ def q_scope_check_project_mode(t):
     return sc.scope_check(t["iam_access_requests"], target_project="p3")
 
 
-REVIEW_DECISIONS_SQL = """
-u AS (SELECT trim(COALESCE(request_id, '')) AS rid, upper(trim(COALESCE(status, ''))) AS new,
-             trim(COALESCE(reject_reason, '')) AS rr, actor_email FROM {src}),
-j AS (SELECT u.*, r.status AS old, r.approver_email, r.request_id IS NOT NULL AS found
-      FROM u LEFT JOIN iam_access_requests r ON u.rid = r.request_id),
-c AS (SELECT *, CASE
-        WHEN rid = '' THEN 'INVALID_REQUEST_ID' WHEN new = '' THEN 'INVALID_STATUS'
-        WHEN NOT found THEN 'NOT_FOUND' WHEN COALESCE(old, '') = new THEN 'NO_STATUS_CHANGE'
-        WHEN new = 'REJECTED' AND rr = '' THEN 'MISSING_REJECT_REASON'
-        WHEN new IN ('APPROVED', 'REJECTED') AND trim(COALESCE(approver_email, '')) = '' THEN 'MISSING_APPROVER'
-        WHEN new IN ('APPROVED', 'REJECTED') AND lower(COALESCE(actor_email, '')) <> lower(trim(COALESCE(approver_email, '')))
-          THEN 'FORBIDDEN' END AS error_code FROM j),
+REVIEWS_SQL = """
+n AS (
+  SELECT trim(COALESCE(request_id, '')) AS request_id,
+    CASE trim(COALESCE(status, '')) WHEN '申請中' THEN 'PENDING' WHEN '承認済' THEN 'APPROVED' WHEN '却下' THEN 'REJECTED'
+      WHEN '取消' THEN 'CANCELLED' ELSE upper(trim(COALESCE(status, ''))) END AS status,
+    trim(COALESCE(reject_reason, '')) AS reject_reason, actor_email, submission_id, seq, trim(COALESCE(status, '')) AS status_raw
+  FROM review_updates),
+bad AS (SELECT COALESCE(submission_id, '<none>') AS sub, min('invalid status: ' || status_raw) AS batch_error
+        FROM n WHERE status NOT IN ('PENDING','APPROVED','REJECTED','CANCELLED') GROUP BY ALL),
+nn AS (SELECT n.*, bad.batch_error FROM n LEFT JOIN bad ON COALESCE(n.submission_id, '<none>') = bad.sub)"""
+
+#: Rules are tried one after the other per line; a line takes the first that applies.
+REVIEW_DECISIONS_SQL = REVIEWS_SQL + """,
+ok AS (SELECT * FROM nn WHERE batch_error IS NULL
+       AND COALESCE(submission_id, '<none>') IN (SELECT COALESCE(submission_id, '<none>') FROM nn WHERE request_id <> '')),
+j AS (SELECT ok.*, r.status AS old, trim(COALESCE(r.approver_email, '')) AS approver, r.request_id IS NOT NULL AS found
+      FROM ok LEFT JOIN iam_access_requests r ON ok.request_id = r.request_id),
+rule(nth, error_code) AS (VALUES (1, 'INVALID_REQUEST_ID'), (2, 'INVALID_STATUS'), (3, 'NOT_FOUND'), (4, 'NO_STATUS_CHANGE'),
+  (5, 'MISSING_REJECT_REASON'), (6, 'MISSING_APPROVER'), (7, 'FORBIDDEN')),
+hit AS (SELECT j.*, list_position([request_id = '', status = '', NOT found, COALESCE(old, '') = status, status = 'REJECTED' AND reject_reason = '',
+          status IN ('APPROVED', 'REJECTED') AND approver = '',
+          status IN ('APPROVED', 'REJECTED') AND lower(COALESCE(actor_email, '')) <> lower(approver)], TRUE) AS nth FROM j),
+c AS (SELECT hit.*, rule.error_code AS code,
+        CASE WHEN rule.nth IS NULL THEN row_number() OVER (PARTITION BY submission_id, request_id, rule.nth
+          ORDER BY seq, status, reject_reason, COALESCE(actor_email, '')) END AS turn
+      FROM hit LEFT JOIN rule ON hit.nth = rule.nth),
 dec AS (
-  SELECT rid AS request_id, new AS status, old AS old_status, rr AS reject_reason, actor_email,
-    CASE WHEN error_code IS NULL THEN 'UPDATED' WHEN error_code = 'NO_STATUS_CHANGE' THEN 'SKIPPED' ELSE 'ERROR' END AS outcome,
-    error_code,
-    CASE error_code WHEN 'INVALID_REQUEST_ID' THEN 'request_id is required' WHEN 'INVALID_STATUS' THEN 'status is required'
-      WHEN 'NOT_FOUND' THEN 'request_id not found: ' || rid
+  SELECT submission_id, request_id, status, old AS old_status, reject_reason, actor_email, seq,
+    CASE WHEN turn = 1 THEN 'UPDATED' WHEN turn > 1 OR code = 'NO_STATUS_CHANGE' THEN 'SKIPPED' ELSE 'ERROR' END AS outcome,
+    CASE WHEN turn > 1 THEN 'DUPLICATE_IN_BATCH' ELSE code END AS error_code,
+    CASE code WHEN 'INVALID_REQUEST_ID' THEN 'request_id is required' WHEN 'INVALID_STATUS' THEN 'status is required'
+      WHEN 'NOT_FOUND' THEN 'request_id not found: ' || request_id
       WHEN 'MISSING_REJECT_REASON' THEN 'reject_reason is required when status is REJECTED'
       WHEN 'MISSING_APPROVER' THEN 'approver_email is empty. Cannot approve or reject without an assigned approver.'
       WHEN 'FORBIDDEN' THEN 'only approver can set APPROVED/REJECTED' END AS error_message
-  FROM c)"""
+  FROM c),
+applied AS (SELECT * FROM dec WHERE outcome = 'UPDATED'
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY seq, status, reject_reason, actor_email NULLS FIRST) = 1)"""
+
+
+def _accepted(t):
+    """Normalised review lines of the submissions without an unknown status."""
+    n = wf.normalize_reviews(t["review_updates"], "submission_id")
+    return n.filter(F.col("batch_error").isNull()).drop("batch_error", "status_raw")
 
 
 def _decisions(t):
-    return wf.review_decisions(t["review_updates"], t["iam_access_requests"], "SHEET_BULK_REVIEW")
+    return wf.review_decisions(_accepted(t), t["iam_access_requests"], "SHEET_BULK_REVIEW", "submission_id")
 
 
-@register("review_decisions", "WITH " + REVIEW_DECISIONS_SQL.format(src="review_updates").strip() + " SELECT * FROM dec")
+@register("review_decisions", "WITH " + REVIEW_DECISIONS_SQL.strip() + " SELECT * FROM dec")
 def q_review_decisions(t):
-    """#78: review cascade over the sheet's update rows."""
+    """#78: review cascade over the accepted submissions."""
     return _decisions(t)
 
 
-@register("normalize_reviews", """
-WITH n AS (
-  SELECT trim(COALESCE(request_id, '')) AS request_id,
-    CASE trim(COALESCE(status, '')) WHEN '申請中' THEN 'PENDING' WHEN '承認済' THEN 'APPROVED' WHEN '却下' THEN 'REJECTED'
-      WHEN '取消' THEN 'CANCELLED' ELSE upper(trim(COALESCE(status, ''))) END AS status,
-    trim(COALESCE(reject_reason, '')) AS reject_reason, actor_email, trim(COALESCE(status, '')) AS status_raw
-  FROM review_updates),
-b AS (SELECT actor_email, min(CASE WHEN status NOT IN ('PENDING','APPROVED','REJECTED','CANCELLED')
-                                   THEN 'invalid status: ' || status_raw END) AS batch_error
-      FROM n GROUP BY actor_email)
-SELECT n.*, b.batch_error FROM n JOIN b ON n.actor_email = b.actor_email""")
+@register("normalize_reviews", "WITH " + REVIEWS_SQL.strip() + " SELECT * FROM nn")
 def q_normalize_reviews(t):
-    """#79: label normalisation; one bad status rejects the reviewer's whole batch."""
-    return wf.normalize_reviews(t["review_updates"], "actor_email")
+    """#79: label normalisation; one bad status rejects its whole submission."""
+    return wf.normalize_reviews(t["review_updates"], "submission_id")
 
 
 REQ_COLS = ("request_id, request_group_id, request_type, principal_email, resource_name, role, reason, expires_at, "
             "requester_email, approver_email, status, requested_at, approved_at, ticket_ref, created_at, updated_at")
 
 
-@register("apply_status_updates", "WITH " + REVIEW_DECISIONS_SQL.format(src="review_updates").strip() + f"""
+@register("apply_status_updates", "WITH " + REVIEW_DECISIONS_SQL.strip() + f"""
 SELECT r.request_id, r.request_group_id, r.request_type, r.principal_email, r.resource_name, r.role, r.reason,
   r.expires_at, r.requester_email, r.approver_email, COALESCE(d.status, r.status) AS status, r.requested_at,
   CASE WHEN d.status = 'APPROVED' THEN {NOW} ELSE r.approved_at END AS approved_at, r.ticket_ref, r.created_at,
   CASE WHEN d.status IS NOT NULL THEN {NOW} ELSE r.updated_at END AS updated_at
-FROM iam_access_requests r LEFT JOIN (SELECT DISTINCT request_id, status FROM dec WHERE outcome = 'UPDATED') d
-  ON r.request_id = d.request_id""")
+FROM iam_access_requests r LEFT JOIN applied d ON r.request_id = d.request_id""")
 def q_apply_status_updates(t):
     """#80: request table after applying the review decisions."""
     return wf.apply_status_updates(t["iam_access_requests"], _decisions(t), AS_OF)
 
 
-@register("status_change_events", "WITH " + REVIEW_DECISIONS_SQL.format(src="review_updates").strip() + f"""
+@register("status_change_events", "WITH " + REVIEW_DECISIONS_SQL.strip() + f"""
 SELECT sha256(concat_ws('|', d.request_id, 'STATUS_CHANGED', d.status, CAST({NOW} AS VARCHAR))) AS history_id,
   d.request_id, r.request_group_id, 'STATUS_CHANGED' AS event_type, COALESCE(d.old_status, '') AS old_status,
   d.status AS new_status, COALESCE(r.reason, '') AS reason_snapshot, COALESCE(r.request_type, '') AS request_type,
@@ -174,7 +186,7 @@ SELECT sha256(concat_ws('|', d.request_id, 'STATUS_CHANGED', d.status, CAST({NOW
   {NOW} AS event_at,
   CASE WHEN d.reject_reason <> '' THEN '{{"note":"Bulk status update","reject_reason":"' || d.reject_reason || '"}}'
        ELSE '{{"note":"Bulk status update"}}' END AS details
-FROM dec d JOIN iam_access_requests r ON d.request_id = r.request_id WHERE d.outcome = 'UPDATED'""".replace("{{", "{").replace("}}", "}"))
+FROM applied d JOIN iam_access_requests r ON d.request_id = r.request_id""".replace("{{", "{").replace("}}", "}"))
 def q_status_change_events(t):
     """#81: STATUS_CHANGED audit rows of the applied updates."""
     return wf.status_change_events(t["iam_access_requests"], _decisions(t), AS_OF)
@@ -209,11 +221,11 @@ FROM plan"""
 
 
 @register("execution_plan", EXEC_PLAN_SQL.format(
-    ids="(SELECT request_id FROM review_updates WHERE upper(trim(status)) = 'APPROVED')",
+    ids="(SELECT request_id FROM review_updates WHERE upper(trim(status)) IN ('APPROVED', '承認済'))",
     req="iam_access_requests") + PLAN_SELECT)
 def q_execution_plan(t):
     """#82: execution gate for the ids approved on the review sheet."""
-    ids = t["review_updates"].filter(F.upper(F.trim("status")) == "APPROVED").select("request_id")
+    ids = wf.normalize_reviews(t["review_updates"], "submission_id").filter(F.col("status") == "APPROVED").select("request_id")
     return wf.execution_plan(t["iam_access_requests"], ids, t["iam_access_change_log"], _scope(t))
 
 
@@ -227,21 +239,27 @@ b AS (SELECT DISTINCT resource_name, role, member, CASE WHEN length(member) % 9
     ELSE lower(principal_type) || ':' || principal_email END AS member
   FROM iam_policy_permissions))"""
 
-DIFF_SQL = "WITH " + BINDINGS_SQL.strip() + """,
+#: The changes of a key are replayed one by one: each step sees what the step before it left.
+DIFF_SQL = "WITH RECURSIVE " + BINDINGS_SQL.strip() + """,
 ch AS (SELECT request_id, CASE WHEN upper(COALESCE(request_type, '')) = 'REVOKE' THEN 'REVOKE' ELSE 'GRANT' END AS action,
          resource_name, role,
          CASE WHEN strpos(principal_email, ':') > 0 THEN principal_email
               WHEN suffix(principal_email, 'gserviceaccount.com') THEN 'serviceAccount:' || principal_email
-              ELSE 'user:' || principal_email END AS member
+              ELSE 'user:' || principal_email END AS member, approved_at
        FROM iam_access_requests WHERE status = 'APPROVED'),
-res AS (
-  SELECT ch.request_id, ch.action, ch.resource_name AS target, ch.role, ch.member,
-    ((ch.action = 'GRANT' AND NOT EXISTS (SELECT 1 FROM b WHERE b.resource_name = ch.resource_name AND b.role = ch.role
-                                           AND b.member = ch.member AND b.condition IS NULL))
-     OR (ch.action = 'REVOKE' AND EXISTS (SELECT 1 FROM b WHERE b.resource_name = ch.resource_name AND b.role = ch.role
-                                           AND b.member = ch.member)))
-    AND ROW_NUMBER() OVER (PARTITION BY ch.action, ch.resource_name, ch.role, ch.member ORDER BY ch.request_id) = 1 AS changed
-  FROM ch)
+turn AS (SELECT *, row_number() OVER (PARTITION BY resource_name, role, member ORDER BY approved_at NULLS FIRST, request_id) AS n FROM ch),
+start AS (SELECT t.*, COALESCE(bool_or(b.condition IS NULL) FILTER (WHERE b.member IS NOT NULL), FALSE) AS plain, count(b.member) > 0 AS has_any
+          FROM turn t LEFT JOIN b ON t.resource_name = b.resource_name AND t.role = b.role AND t.member = b.member
+          WHERE t.n = 1 GROUP BY ALL),
+replay AS (
+  SELECT request_id, action, resource_name, role, member, n, plain, has_any,
+    CASE WHEN action = 'GRANT' THEN NOT plain ELSE has_any END AS changed, action = 'GRANT' AS left_plain, action = 'REVOKE' AS cleared FROM start
+  UNION ALL
+  SELECT t.request_id, t.action, t.resource_name, t.role, t.member, t.n, r.left_plain, r.left_plain,
+    CASE WHEN t.action = 'GRANT' THEN NOT r.left_plain ELSE r.left_plain END, t.action = 'GRANT', r.cleared OR t.action = 'REVOKE'
+  FROM replay r JOIN turn t ON t.resource_name = r.resource_name AND t.role = r.role AND t.member = r.member AND t.n = r.n + 1
+),
+final AS (SELECT * FROM replay QUALIFY row_number() OVER (PARTITION BY resource_name, role, member ORDER BY n DESC) = 1)
 """
 
 
@@ -249,33 +267,34 @@ def _diff(t):
     bindings = wf.binding_rows(t["iam_policy_permissions"]).withColumn(
         "condition", F.when(F.length("member") % 9 == 0, F.lit("expiring"))).distinct()
     changes = t["iam_access_requests"].filter(F.col("status") == "APPROVED").select(
-        "request_id", F.col("request_type").alias("action"), "resource_name", "role", "principal_email")
+        "request_id", F.col("request_type").alias("action"), "resource_name", "role", "principal_email", "approved_at")
     return wf.policy_diff(bindings, changes), bindings
 
 
 @register("policy_diff_results", DIFF_SQL + """
-SELECT request_id, action, target, role, member, CASE WHEN changed THEN 'SUCCESS' ELSE 'SKIPPED' END AS result, changed
-FROM res""")
+SELECT request_id, action, resource_name AS target, role, member, CASE WHEN changed THEN 'SUCCESS' ELSE 'SKIPPED' END AS result, changed
+FROM replay""")
 def q_policy_diff_results(t):
-    """#83: per approved request: SUCCESS (policy changed) or SKIPPED (no diff)."""
+    """#83: per approved request, in order of approval: SUCCESS (policy changed) or SKIPPED (no diff)."""
     return _diff(t)[0][1]
 
 
 @register("policy_diff_bindings", DIFF_SQL + """
 SELECT resource_name, role, member, condition FROM b
-WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.action = 'REVOKE' AND res.changed AND res.target = b.resource_name
-                  AND res.role = b.role AND res.member = b.member)
+WHERE NOT EXISTS (SELECT 1 FROM final f WHERE f.cleared AND f.resource_name = b.resource_name AND f.role = b.role AND f.member = b.member)
 UNION ALL
-SELECT target, role, member, CAST(NULL AS VARCHAR) FROM res WHERE action = 'GRANT' AND changed""")
+SELECT resource_name, role, member, CAST(NULL AS VARCHAR) FROM final f WHERE left_plain AND (cleared OR NOT EXISTS (
+  SELECT 1 FROM b WHERE b.condition IS NULL AND f.resource_name = b.resource_name AND f.role = b.role AND f.member = b.member))""")
 def q_policy_diff_bindings(t):
-    """#83: binding set after applying every approved change."""
+    """#83: binding set after applying every approved change in order."""
     return _diff(t)[0][0]
 
 
-@register("policy_fingerprint", "WITH " + BINDINGS_SQL.strip() + """
-SELECT resource_name, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(bit_xor(CAST('0x' ||
-  substr(sha256(concat_ws('|', role, member, COALESCE(condition, ''))), 1, 15) AS BIGINT)) AS VARCHAR))) AS policy_hash
-FROM b GROUP BY resource_name""")
+@register("policy_fingerprint", "WITH " + BINDINGS_SQL.strip() + """,
+row_digest AS (SELECT resource_name, sha256(CAST(to_json([role, member, COALESCE('=' || condition, '')]) AS VARCHAR)) AS digest FROM b),
+part AS (SELECT resource_name, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % 1024 AS bucket, sha256(string_agg(digest, '' ORDER BY digest)) AS part
+         FROM row_digest GROUP BY ALL)
+SELECT resource_name, sha256(string_agg(part, '' ORDER BY part)) AS policy_hash FROM part GROUP BY resource_name""")
 def q_policy_fingerprint(t):
     """#84: order-independent digest of each resource's policy."""
     return wf.policy_fingerprint(_diff(t)[1])
@@ -357,21 +376,9 @@ def q_job_outcome_summary(t):
     return _revoke(t)["summary"]
 
 
-BULK_HEAD = """
-n AS (
-  SELECT trim(COALESCE(request_id, '')) AS request_id,
-    CASE trim(COALESCE(status, '')) WHEN '申請中' THEN 'PENDING' WHEN '承認済' THEN 'APPROVED' WHEN '却下' THEN 'REJECTED'
-      WHEN '取消' THEN 'CANCELLED' ELSE upper(trim(COALESCE(status, ''))) END AS status,
-    trim(COALESCE(reject_reason, '')) AS reject_reason, actor_email, trim(COALESCE(status, '')) AS status_raw
-  FROM review_updates),
-nb AS (SELECT request_id, min(CASE WHEN status NOT IN ('PENDING','APPROVED','REJECTED','CANCELLED')
-                                   THEN 'invalid status: ' || status_raw END) AS batch_error FROM n GROUP BY request_id),
-nn AS (SELECT n.*, nb.batch_error FROM n JOIN nb ON n.request_id = nb.request_id),
-okb AS (SELECT * FROM nn WHERE batch_error IS NULL AND request_id <> ''),
-""" + REVIEW_DECISIONS_SQL.format(src="okb").strip() + """,
+BULK_HEAD = REVIEW_DECISIONS_SQL.strip() + """,
 req_after AS (SELECT r.* REPLACE (COALESCE(d.status, r.status) AS status) FROM iam_access_requests r
-              LEFT JOIN (SELECT DISTINCT request_id, status FROM dec WHERE outcome = 'UPDATED') d
-              ON r.request_id = d.request_id)"""
+              LEFT JOIN applied d ON r.request_id = d.request_id)"""
 
 
 def _bulk_sql() -> str:
@@ -399,7 +406,7 @@ def _bulk(t):
 
 @register("bulk_review", _bulk_sql())
 def q_bulk_review(t):
-    """#87: bulk review, one submission per review line: normalise, decide, gate execution."""
+    """#87: bulk review of whole submissions: normalise, decide, gate execution."""
     return _bulk(t)
 
 

@@ -1,9 +1,9 @@
 """Structured Streaming jobs (#93-96).
 
 The transformations are plain DataFrame functions, so the same code runs on
-a streaming DataFrame (``readStream``) and on a batch one.  Stateful steps are
-bounded by a watermark; the reconcile alert is an aggregation whose state is
-one row per (day, issue type).
+a streaming DataFrame (``readStream``) and on a batch one.  Audit events are
+compared with the stored table, so none is lost for being late; the reconcile
+alert is an aggregation whose state is one row per (day, issue type).
 """
 
 from __future__ import annotations
@@ -12,31 +12,44 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as K
 from ..operators.reports import request_reflection_status
 from ..session import checkpoint_dir
+from ..sources.sinks import path_exists
 
 ERROR_RESULTS = ["FAILED", "FAILED_PERMISSION"]
 
 
-def dedupe_history(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """#93: drop re-sent audit events (same history_id) within the watermark delay."""
-    return (events.withColumn("_wm", F.col("event_at").cast("timestamp"))
-            .withWatermark("_wm", delay)
-            .dropDuplicatesWithinWatermark(["history_id"])
-            .drop("_wm"))
+def new_events(events: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """#93: one row per history_id, without those that ``stored`` has.
 
+    No event is too late: the comparison is with the table, not with a watermark's state.  Of stored rows only
+    the event days that the batch touches are read (the table is partitioned by ``event_date``)."""
+    first = Window.partitionBy("history_id").orderBy("event_at", "request_id", "event_type")
+    rows = (events.withColumn("event_date", F.col("event_at").cast("date"))
+            .withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1).drop("_nth"))
+    if stored is None:
+        return rows
+    have = stored.select("event_date", "history_id")
+    return rows.join(have, (rows["event_date"].eqNullSafe(have["event_date"])) & (rows["history_id"] == have["history_id"]), "left_anti")
 
-def stream_history_ingest(stream: DataFrame, path: str, checkpoint: str, delay: str = "1 hour",
-                          available_now: bool = False) -> StreamingQuery:
-    """#93: append de-duplicated audit events to a date-partitioned table."""
-    out = dedupe_history(stream, delay).withColumn("event_date", F.col("event_at").cast("date"))
-    w = (out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-         .partitionBy("event_date").outputMode("append"))
+
+def stream_history_ingest(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """#93: append audit events once each to a date-partitioned table, however late they come.
+
+    The table is read anew in each micro-batch, so a batch that is run again after a failure adds only
+    what the first try did not commit."""
+    def append(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = batch.withColumn("event_date", F.lit(None).cast("date")).schema
+        stored = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
+        new_events(batch, stored).hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+
+    w = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
@@ -64,12 +77,16 @@ def reconcile_alerts(issues: DataFrame, window: str = "1 day") -> DataFrame:
         F.lit(K.RECONCILE_MARK).alias("marker"))
 
 
-def stream_request_status_refresh(ids_stream: DataFrame, req: DataFrame, log: DataFrame, perm: DataFrame,
+def stream_request_status_refresh(ids_stream: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]],
                                   path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """#96: for every micro-batch of edited request ids, append their reflection verdicts."""
+    """#96: for every micro-batch of edited request ids, write their reflection verdicts.
+
+    ``tables`` returns (requests, change log, permissions) and is called for each batch, so verdicts follow the
+    tables as they are then.  A batch writes its own ``epoch=<n>`` folder by overwrite: run again, it replaces
+    its rows."""
     def refresh(batch: DataFrame, epoch_id: int) -> None:
-        out = request_reflection_status(req, log, perm, batch).withColumn("epoch", F.lit(epoch_id))
-        out.write.mode("append").parquet(path)
+        out = request_reflection_status(*tables(), batch)
+        out.write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch_id}"))
 
     w = ids_stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="15 minutes")

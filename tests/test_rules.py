@@ -119,24 +119,117 @@ def test_execution_gate(spark):
                    "missing": ("NOT_FOUND", None, False)}
 
 
-def test_policy_diff(spark):
+def test_policy_diff_replays_changes_in_order(spark):
     b = spark.createDataFrame([("projects/p1", "roles/viewer", "user:a@x", None),
                                ("projects/p1", "roles/viewer", "user:c@x", "cond"),
-                               ("projects/p1", "roles/editor", "user:c@x", None)],
+                               ("projects/p1", "roles/editor", "user:c@x", None),
+                               ("projects/p1", "roles/owner", "user:k@x", None)],
                               "resource_name string, role string, member string, condition string")
-    ch = spark.createDataFrame([("1", "GRANT", "projects/p1", "roles/viewer", "a@x"),    # present -> SKIPPED
-                                ("2", "GRANT", "projects/p1", "roles/viewer", "c@x"),    # only conditioned -> add
-                                ("3", "REVOKE", "projects/p1", "roles/viewer", "c@x"),   # conditioned removed
-                                ("4", "REVOKE", "projects/p1", "roles/owner", "a@x"),    # absent -> SKIPPED
-                                ("5", "grant", "projects/p1", "roles/editor", "n@x"),
-                                ("6", "GRANT", "projects/p1", "roles/editor", "n@x")],   # GRANT twice -> SKIPPED
-                               "request_id string, action string, resource_name string, role string, principal_email string")
-    new, res = wf.policy_diff(b, ch)
+    at = [d(f"2024-01-{n:02d}") for n in range(1, 20)]
+    ch = spark.createDataFrame([("1", "GRANT", "roles/viewer", "a@x", at[0]),    # present -> SKIPPED
+                                ("2", "GRANT", "roles/viewer", "c@x", at[1]),    # only conditioned -> add
+                                ("3", "REVOKE", "roles/viewer", "c@x", at[2]),   # removes both
+                                ("4", "REVOKE", "roles/owner", "a@x", at[3]),    # absent -> SKIPPED
+                                ("5", "grant", "roles/editor", "n@x", at[4]),
+                                ("6", "GRANT", "roles/editor", "n@x", at[5]),    # GRANT twice -> SKIPPED
+                                ("8", "GRANT", "roles/editor", "z@x", at[6]),    # granted, then revoked: absent in the end
+                                ("7", "REVOKE", "roles/editor", "z@x", at[7]),
+                                ("9", "GRANT", "roles/owner", "k@x", at[9]),     # revoked, then granted: there in the end
+                                ("10", "REVOKE", "roles/owner", "k@x", at[8])],
+                               "request_id string, action string, role string, principal_email string, approved_at timestamp_ntz")
+    from pyspark.sql import functions as F
+    new, res = wf.policy_diff(b, ch.withColumn("resource_name", F.lit("projects/p1")))
     assert {r.request_id: r.result for r in res.collect()} == {
-        "1": "SKIPPED", "2": "SUCCESS", "3": "SUCCESS", "4": "SKIPPED", "5": "SUCCESS", "6": "SKIPPED"}
+        "1": "SKIPPED", "2": "SUCCESS", "3": "SUCCESS", "4": "SKIPPED", "5": "SUCCESS", "6": "SKIPPED",
+        "7": "SUCCESS", "8": "SUCCESS", "9": "SUCCESS", "10": "SUCCESS"}
     assert sorted((r.role, r.member, r.condition) for r in new.collect()) == sorted([
         ("roles/viewer", "user:a@x", None), ("roles/editor", "user:c@x", None),
-        ("roles/viewer", "user:c@x", None), ("roles/editor", "user:n@x", None)])
+        ("roles/editor", "user:n@x", None), ("roles/owner", "user:k@x", None)])
+
+
+def test_policy_fingerprint_properties(spark):
+    from pyspark.sql import functions as F
+    schema = "resource_name string, role string, member string, condition string"
+    rows = [("p", f"roles/{i % 7}", f"user:{i}@x", None if i % 3 else "c") for i in range(300)]
+    of = lambda x: wf.policy_fingerprint(spark.createDataFrame(x, schema)).first().policy_hash
+    base = of(rows)
+    assert base == of(rows[::-1]) == of(rows + rows[:5]) and len(base) == 64
+    edits = [rows[1:], rows + [("p", "roles/0", "user:new@x", None)], [("p", "roles/0", "user:0@x", None)] + rows[1:],
+             [("p", "roles/0", "user:0@x", "")] + rows[1:], [("p", "roles/0,user:0@x", "", "c")] + rows[1:]]
+    assert len({base, *map(of, edits)}) == 6
+    assert F is not None
+
+
+def test_execute_approved_scenarios(spark):
+    req = _req(spark, [dict(request_id="new", principal_email="a@x", status="APPROVED", approved_at=d("2024-01-02")),
+                       dict(request_id="same", principal_email="b@x", status="APPROVED", approved_at=d("2024-01-03")),
+                       dict(request_id="pend", principal_email="c@x", status="PENDING"),
+                       dict(request_id="out", principal_email="d@x", status="APPROVED", resource_name="projects/other"),
+                       dict(request_id="done", principal_email="e@x", status="APPROVED"),
+                       dict(request_id="gone", principal_email="b@x", role="roles/editor", status="APPROVED", request_type="REVOKE")])
+    ids = spark.createDataFrame([(x,) for x in ("new", "same", "pend", "out", "done", "gone", "missing")], "request_id string")
+    log = spark.createDataFrame([("done", "SUCCESS")], "request_id string, result string")
+    b = spark.createDataFrame([("projects/p1", "roles/viewer", "user:b@x", None)], "resource_name string, role string, member string, condition string")
+    rows, after = wf.execute_approved(req, ids, log, sc.scope_check(req, target_project="p1"), b, AS_OF, "run")
+    got = {r.request_id: r for r in rows.collect()}
+    assert {k: (r.result, r.error_code) for k, r in got.items()} == {
+        "new": ("SUCCESS", None), "same": ("SKIPPED", None), "pend": ("SKIPPED", None), "out": ("FAILED", "OUT_OF_SCOPE"),
+        "done": ("SKIPPED", None), "gone": ("SKIPPED", None)}
+    digest = lambda x: wf.policy_fingerprint(x).first().policy_hash
+    assert (got["new"].before_hash, got["new"].after_hash) == (digest(b), digest(after)) and digest(b) != digest(after)
+    assert got["new"].executed_by == wf.EXECUTOR and got["out"].before_hash is None
+    assert sorted(r.member for r in after.collect()) == ["user:a@x", "user:b@x"]
+
+
+def test_null_batch_keys(spark):
+    from grantlens.operators import ingest
+    req = _req(spark, [dict(request_id="r1", principal_email="a@x", status="PENDING")])
+    ups = spark.createDataFrame([("r1", "却下", "no", "boss@example.com", None, 1), ("r1", "取消", "", "boss@example.com", "s2", 2),
+                                 ("r1", "bogus", "", "x", "s3", 1), ("r1", "承認済", "", "x", "s3", 2)],
+                                "request_id string, status string, reject_reason string, actor_email string, submission_id string, seq int")
+    n = wf.normalize_reviews(ups, "submission_id")
+    assert {(r.submission_id, r.status): r.batch_error for r in n.collect()} == {
+        (None, "REJECTED"): None, ("s2", "CANCELLED"): None, ("s3", "BOGUS"): "invalid status: bogus", ("s3", "APPROVED"): "invalid status: bogus"}
+    dec = wf.review_decisions(n.filter("batch_error is null"), req, batch_col="submission_id")
+    assert {(r.submission_id, r.outcome) for r in dec.collect()} == {(None, "UPDATED"), ("s2", "UPDATED")}
+    # two submissions touch one request: the first counts, in the table and in the log alike
+    assert [r.status for r in wf.apply_status_updates(req, dec, AS_OF).collect()] == ["REJECTED"]
+    assert [r.new_status for r in wf.status_change_events(req, dec, AS_OF).collect()] == ["REJECTED"]
+    null_reviewer = spark.createDataFrame([("r1", "bogus", "", None)], "request_id string, status string, reject_reason string, actor_email string")
+    assert wf.normalize_reviews(null_reviewer, "actor_email").first().batch_error == "invalid status: bogus"
+    batch = spark.createDataFrame([(None, "1", "新規付与", "a@x", "p1", "Owner", "2024-1-5", "r"), ("g", "2", "新規付与", "a@x", "p1", "roles/viewer", "2024-1-5", "r")],
+                                  "request_group_id string, request_id string, request_type_raw string, principal string, resource string, "
+                                  "role string, expires_raw string, reason string")
+    ok, bad = ingest.intake_requests(batch, "me@x", AS_OF)
+    assert [r.request_id for r in bad.collect()] == ["1"]
+    assert [(r.request_id, r.expires_at, r.parse_warning) for r in ok.collect()] == [("2", d("2024-01-05 23:59:59"), False)]
+
+
+def test_ancestors_of_any_depth(spark):
+    chain = [(f"folders/{i}", f"folders/{i + 1}") for i in range(40)] + [("folders/40", "organizations/7"), ("projects/deep", "folders/0"),
+             ("folders/x", "folders/y"), ("folders/y", "folders/z"), ("folders/z", "folders/x"), ("projects/loop", "folders/x"), ("projects/none", None),
+             ("projects/lost", "folders/missing")]
+    inv = spark.createDataFrame(chain, "resource_id string, parent_resource_id string")
+    got = {r.node: (r.organization, r.depth) for r in sc.resolve_ancestors(inv).collect()}
+    assert len(got) == len(chain) and got["projects/deep"] == ("organizations/7", 42) and got["folders/40"] == ("organizations/7", 1)
+    assert all(got[n] == (None, None) for n in ("projects/loop", "folders/x", "projects/none", "projects/lost"))
+
+
+def test_scope_over_normalised_inventory_and_snapshots(spark):
+    schema = "resource_type string, resource_id string, parent_resource_id string, assessed_at timestamp_ntz"
+    inv = spark.createDataFrame([("Project", "a", "folders/1", d("2024-01-01")), ("Project", "a", "organizations/9", d("2024-01-02")),
+                                 ("Folder", "folders/1", "organizations/1", d("2024-01-01"))], schema)
+    res = spark.createDataFrame([("projects/a",)], "resource_name string")
+    assert sc.scope_check(res, inv, target_org="9").first().in_scope  # the newest snapshot's parent
+    assert not sc.scope_check(res, inv, target_org="1").first().in_scope
+
+
+def test_matrix_with_more_roles_than_a_pivot_allows(spark):
+    from grantlens.operators import matrix
+    rows = [("projects/p", "p", "a@x", "USER", f"roles/r{i:05d}", "ok", d("2024-01-01")) for i in range(2100)]
+    hist = spark.createDataFrame(rows, "resource_name string, resource_id string, principal string, principal_type string, iam_role string, status string, recorded_at timestamp_ntz")
+    assert len(matrix.permission_matrix_status(hist).columns) == 2104
+    assert matrix.permission_matrix_long(hist).count() == 2100
 
 
 def test_scope_modes(spark):
