@@ -90,7 +90,7 @@ def latest_snapshot(df: DataFrame, ts_col: str) -> DataFrame:
     folders are skipped.
     """
     newest = df.agg(F.max(F.struct(F.col(ts_col), F.col("execution_id"))).alias("m")).scalar()
-    out = df.filter(F.struct(F.col(ts_col), F.col("execution_id")) == newest)
+    out = df.filter((F.col(ts_col) == newest.getField(ts_col)) & (F.col("execution_id") == newest.getField("execution_id")))
     if "p_date" in df.columns:
         out = out.filter(F.col("p_date") == newest.getField(ts_col).cast("date"))
     return out

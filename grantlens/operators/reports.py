@@ -184,19 +184,19 @@ def sheet_permission_history(bindings_hist: DataFrame, req: DataFrame, log: Data
                              status_master: DataFrame, role_master: DataFrame) -> DataFrame:
     """#43: latest history snapshot with request, status, role-name and latest-run context.
 
-    Latest snapshot = newest (recorded_at, execution_id); the one-row id is
-    broadcast.  Status and role masters are bounded lookup tables and are
-    broadcast too; requests and the latest-run table join by request_id.
+    Latest snapshot = newest (recorded_at, execution_id).  Bindings without a
+    request (every unmanaged one) join nothing, so they are kept out of the
+    joins by request_id, where they would all be one key.
     """
     snap = latest_snapshot(bindings_hist, "recorded_at")
     r = req.select("request_id", "expires_at", F.col("status").alias("request_status"))
-    sm = F.broadcast(status_master.select(F.col("status_code").alias("request_status"),
-                                          F.col("status_ja").alias("_sm_status_ja")))
-    rm = F.broadcast(role_master.select(F.col("role_id").alias("iam_role"), "role_name_ja"))
+    sm = status_master.select(F.col("status_code").alias("request_status"), F.col("status_ja").alias("_sm_status_ja"))
+    rm = role_master.select(F.col("role_id").alias("iam_role"), "role_name_ja")
     lcl = latest_execution_per_request(log).select(
         "request_id", F.col("action").alias("last_action"), F.col("result").alias("last_result"))
-    j = (snap.join(r, "request_id", "left").join(sm, "request_status", "left")
-         .join(rm, "iam_role", "left").join(lcl, "request_id", "left"))
+    known = (snap.filter(F.col("request_id").isNotNull()).join(r, "request_id", "left")
+             .join(sm, "request_status", "left").join(lcl, "request_id", "left"))
+    j = known.unionByName(snap.filter(F.col("request_id").isNull()), allowMissingColumns=True).join(rm, "iam_role", "left")
     return j.select(
         "resource_name", "resource_id", F.col("principal_email").alias("principal"), "principal_type", "iam_role",
         F.coalesce(F.col("role_name_ja"), F.regexp_replace("iam_role", r"^roles/", "")).alias("display_role_name"),
@@ -230,7 +230,7 @@ def sheet_requests_review(req: DataFrame, log: DataFrame, perm: DataFrame, statu
 
     Bindings are de-duplicated to distinct triples first (fix 2.11-g).
     """
-    sm = F.broadcast(status_master.select(F.col("status_code").alias("status"), "status_ja"))
+    sm = status_master.select(F.col("status_code").alias("status"), "status_ja")
     j = _reflection(req, log, perm).join(sm, "status", "left")
     return j.select("request_group_id", "request_id", "request_type", "principal_email", "resource_name", "role",
                     "reason", "expires_at", "requester_email", "approver_email",
@@ -239,11 +239,12 @@ def sheet_requests_review(req: DataFrame, log: DataFrame, perm: DataFrame, statu
 
 
 def request_reflection_status(req: DataFrame, log: DataFrame, perm: DataFrame, ids: DataFrame) -> DataFrame:
-    """#45: the same verdict for an id set; both sides are semi-joined to the ids first."""
+    """#45: the same verdict for an id set; log and bindings are semi-joined to the chosen requests first."""
     keys = ids.select(F.trim(F.col("request_id")).alias("request_id")).filter(F.col("request_id") != "").distinct()
     r = req.join(keys, "request_id", "left_semi")
     lg = log.join(keys, "request_id", "left_semi")
-    return _reflection(r, lg, perm).select("request_id", "execution_result", "final_reflection")
+    near = perm.join(r.select(*TRIPLE).distinct(), TRIPLE, "left_semi")
+    return _reflection(r, lg, near).select("request_id", "execution_result", "final_reflection")
 
 
 def pending_request_pull(req: DataFrame, hist: DataFrame, existing_ids: DataFrame, tz: str = "UTC") -> DataFrame:

@@ -41,11 +41,11 @@ def bindings_history_snapshot(perm: DataFrame, req: DataFrame, status_master: Da
                               execution_id: str, as_of: str | _dt.datetime) -> DataFrame:
     """#42: bindings + newest request context + status label + review date (17 columns).
 
-    The status master is a fixed list of statuses (seven rows), so it is
-    broadcast; the request context is joined by triple with a shuffle.
+    The request context is joined by triple with a shuffle; the status master
+    is a short list that AQE broadcasts by its measured size.
     """
     ctx = newest_request_context(req)
-    sm = F.broadcast(status_master.select(F.col("status_code").alias("status"), "status_ja"))
+    sm = status_master.select(F.col("status_code").alias("status"), "status_ja")
     j = (perm.select("resource_name", "principal_email", "principal_type", "role")
          .join(ctx, TRIPLE, "left")
          .join(sm, "status", "left"))

@@ -210,6 +210,7 @@ class TableSet:
         self.sf_dir = sf_dir
         self.stored = stored
         self._cache: dict[str, DataFrame] = {}
+        self.stored_once: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
