@@ -24,42 +24,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, id_and_text, stored, text_batches, text_buffer
-from .tokens import encoder
+from .tokens import encoder, id_dtype
 
 K1, B = 1.2, 0.75
 TOKENS = "doc_id long, doc_tokens long, rare_1 int, rare_2 int, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
-    """One row per document with all ids (little-endian unsigned 32-bit) and the two rarest terms of its tail."""
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, window: int, dtype: str) -> DataFrame:
+    """One row per document with all ids (little-endian, of ``dtype``) and the two rarest terms of its tail."""
     schema, arrow = arrow_schema(TOKENS)
-    end = np.array([end_id], "<u4").tobytes()
+    end, size = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, dtype=dtype).encode
         for batch in batches:
             ids = [x + end for x in encode(["" if t is None else t for t in batch.column(1).to_pylist()])]
             rare = []
             for x in ids:
-                tail = np.frombuffer(x, "<u4")[len(x) // 4 // window * window:]
+                tail = np.frombuffer(x, dtype)[len(x) // size // window * window:]
                 first = int(tail.max()) if len(tail) else -1
                 rest = tail[tail < first] if len(tail) else tail
                 rare.append((first, int(rest.max()) if len(rest) else -1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([r[0] for r in rare], pa.int32()),
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // size for x in ids], pa.int64()), pa.array([r[0] for r in rare], pa.int32()),
                                               pa.array([r[1] for r in rare], pa.int32()), pa.array(ids, pa.binary())], schema=arrow)
 
     return id_and_text(docs).mapInArrow(run, schema)
 
 
-def _tails(batch_ids: pa.Array, window: int) -> list[np.ndarray]:
+def _tails(batch_ids: pa.Array, window: int, dtype: str) -> list[np.ndarray]:
     data, offsets = text_buffer(batch_ids)
-    flat = np.frombuffer(data.tobytes(), "<u4")
-    at = offsets // 4
+    flat = np.frombuffer(data.tobytes(), dtype)
+    at = offsets // np.dtype(dtype).itemsize
     return [flat[a + (b - a) // window * window:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def term_statistics(tokens: DataFrame, window: int) -> tuple[dict[int, int], int, float]:
+def term_statistics(tokens: DataFrame, window: int, dtype: str) -> tuple[dict[int, int], int, float]:
     """(units that hold each term, number of units, their mean length), over the tails of all documents.
 
     A task sends one row per term it met; the result has one entry per vocabulary id at most."""
@@ -68,7 +68,7 @@ def term_statistics(tokens: DataFrame, window: int) -> tuple[dict[int, int], int
     def run(batches):
         held, units, length = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
-            for tail in _tails(batch.column(0), window):
+            for tail in _tails(batch.column(0), window, dtype):
                 if len(tail):
                     terms = np.unique(tail).astype(np.int64)
                     if terms[-1] >= len(held):
@@ -177,8 +177,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, q
     """
     spark = docs.sparkSession
     text_batches(spark)
-    tokens = stored(tokenised(docs, tokenizer, end_id, window), "tokens")
-    counts, n_units, mean = term_statistics(tokens, window)
+    dtype = id_dtype(tokenizer)
+    tokens = stored(tokenised(docs, tokenizer, end_id, window, dtype), "tokens")
+    counts, n_units, mean = term_statistics(tokens, window, dtype)
     total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
     size = max(counts, default=0) + 1
     idf = np.zeros(size, np.float32)
@@ -198,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, q
             nonlocal made
             at, out = 0, []
             for (doc_id, n, first, ids), a, size in pieces:
-                out.append((doc_id, first + a, size, ids[a:a + size].tobytes(), n, base + made, at))
+                out.append((doc_id, first + a, size, ids[a:a + size].astype("<u4").tobytes(), n, base + made, at))
                 at += size
             made += 1
             return out
@@ -215,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, q
         for batch in batches:
             full = []
             for doc_id, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids = np.frombuffer(ids.as_py(), "<u4")
+                ids = np.frombuffer(ids.as_py(), dtype)
                 cut = n // window * window
                 for a in range(0, cut, window):
                     full += sequence([((doc_id, n, a, ids[a:a + window]), 0, window)])

@@ -1,70 +1,143 @@
-"""Whole-text token ids by the ``tokenizers`` library, with a word memo.
-
-Both byte-pair tokenizers used here split a text before every space that
-follows a visible character, so the ids of a text are the ids of its
-space-led words one after the other.  Each Python worker keeps the ids of
-words it has met (as bytes) and asks the library only for new words.  Texts in
-which a cut could be unsafe (a space after another white-space or unusual
-character) go to the library whole, so the ids are always the library's.
+"""Whole-text token ids by the ``tokenizers`` library, with a memo of words.
+
+Both byte-pair tokenizers used here cut a text before a space or newline that
+stands alone between visible characters, so the ids of a text are those of
+its lines and space-led words one after the other.  Each Python worker keeps
+the ids of words it has met, as bytes, and asks the library only for others:
+its model where the word is plain letters (the normaliser and the byte
+alphabet then work letter by letter, and are taken from the library), its
+``encode`` otherwise.  Texts in which a cut could be unsafe (other white
+space, runs of spaces or newlines, unusual characters) go to ``encode`` whole.
+So the ids are always the library's.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-#: A space may be cut off when the character before it is surely visible.
-_UNSAFE = re.compile("(?:^|[^\x21-\x7e¡-ᙿⰀ-ⷿぁ-퟿]) ")
-_ENCODERS: dict[tuple[str, int], WordMemo] = {}
+#: Spaces, newlines, and characters that are visible whatever the Unicode version.
+_SAFE = re.compile("[ \n!-~¡-ᙿⰀ-⿟ぁ-퟿]*")
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?]*)")
+_ENCODERS: dict[tuple[str, int, str], WordMemo] = {}
+
+
+class _Run(Exception):
+    """A space or newline does not stand alone."""
+
+
+class _Words(dict):
+    """word -> ids of ``lead + word``; new words are kept while there is room."""
+
+    def __init__(self, memo: WordMemo, lead: str, room: int):
+        super().__init__()
+        self.memo, self.lead, self.room = memo, lead, room
+
+    def __missing__(self, word: str) -> bytes:
+        if not word:
+            raise _Run
+        memo = self.memo
+        plain = _PLAIN.fullmatch(word) if memo.by_letter else None
+        if plain is None:
+            ids = memo.ask(self.lead + word)
+        elif plain[2]:
+            ids = self[plain[1]] + memo.ends[plain[2]]
+        else:
+            ids = memo.letters(self.lead, word)
+        if len(self) < self.room:
+            self[word] = ids
+        return ids
+
+
+class _Ends(dict):
+    """Ids of punctuation that ends a word."""
+
+    def __init__(self, memo: WordMemo):
+        super().__init__()
+        self.memo = memo
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.memo.ask(text)
+        if len(text) < 4:
+            self[text] = ids
+        return ids
 
 
 class WordMemo:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned integers of ``dtype``."""
 
-    def __init__(self, path: str, entries: int):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, entries: int, dtype: str = "<u4"):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.entries = entries
-        self.known: dict[str, bytes] = {}
+        if self.library.get_vocab_size() > np.iinfo(dtype).max + 1:
+            raise ValueError(f"ids of {path} do not fit {dtype}")
+        self.code = {"<u2": "H", "<u4": "I"}[dtype] if sys.byteorder == "little" else None
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        normal = self.library.normalizer
+        one = lambda c: alphabet.pre_tokenize_str(normal.normalize_str(c) if normal else c)[0][0]
+        self.table = {ord(c): one(c) for c in _LETTERS}
+        self.space = alphabet.pre_tokenize_str(" ")[0][0]
+        self.by_letter = False
+        self.ends = _Ends(self)
+        self.newline = self.ask("\n")
+        # the way by letters is taken only where it gives what encode gives, with the space kept or dropped
+        samples = ["a", "The", "été", "ÀÖØÿß", "straße", "Internationalization", "x" * 40]
+        for space in (self.space, ""):
+            self.space = space
+            if all(self.letters(lead, w) == self.ask(lead + w) for w in samples for lead in ("", " ")):
+                self.by_letter = True
+                break
+        self.led, self.first = _Words(self, " ", entries), _Words(self, "", entries // 8)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def ask(self, text: str) -> bytes:
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def letters(self, lead: str, word: str) -> bytes:
+        text = word.translate(self.table)
+        return self._bytes([t.id for t in self.library.model.tokenize(self.space + text if lead else text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        cut, whole = [], []
-        for i, t in enumerate(texts):
-            (whole if _UNSAFE.search(t) else cut).append(i)
-        split = [texts[i].split(" ") for i in cut]
-        known, new = self.known, set()
-        for words in split:
-            new.update(words[1:])
-        new.difference_update(known)
-        fresh = list(new)
-        if len(known) + len(fresh) > self.entries:  # a bound on memory, not on texts: later words are asked again
-            known = {w: known[w] for words in split for w in words[1:] if w in known}
-            self.known = {}
-        known.update(zip(fresh, self._ask([f" {w}" for w in fresh])))
-        if self.known is not known and len(known) <= self.entries:
-            self.known = known
-        heads = self._ask([words[0] for words in split])
-        for i, words, head in zip(cut, split, heads):
-            words[0] = None
-            out[i] = b"".join([head, *map(known.__getitem__, words[1:])])
-        for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
-            out[i] = ids
+        led, first, whole = self.led.__getitem__, self.first.__getitem__, []
+        for i, text in enumerate(texts):
+            try:
+                if _SAFE.fullmatch(text) is None:
+                    raise _Run
+                lines = []
+                for line in text.split("\n"):
+                    words = line.split(" ")
+                    lines.append(first(words[0]) + b"".join(map(led, words[1:])))
+                out[i] = self.newline.join(lines)
+            except _Run:
+                whole.append(i)
+        found = self.library.encode_batch([texts[i] for i in whole], add_special_tokens=False)
+        for i, e in zip(whole, found):
+            out[i] = self._bytes(e.ids)
         return out
 
 
-def encoder(path: str, entries: int = 600_000) -> WordMemo:
+def encoder(path: str, entries: int = 1_000_000, dtype: str = "<u4") -> WordMemo:
     """The worker's encoder for a vocabulary file (kept between batches and tasks)."""
-    key = (path, entries)
+    key = (path, entries, dtype)
     if key not in _ENCODERS:
-        _ENCODERS[key] = WordMemo(path, entries)
+        _ENCODERS[key] = WordMemo(path, entries, dtype)
     return _ENCODERS[key]
+
+
+def id_dtype(path: str) -> str:
+    """The smallest of the unsigned types that holds the vocabulary's ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
