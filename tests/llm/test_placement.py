@@ -39,7 +39,7 @@ def test_sharding(spark, docs, rows, odd_docs, no_docs):
 def test_slot_map_versions(spark):
     path = shared_path(spark, "test-map")
     rng = np.random.default_rng(4)
-    sizes = {n: (int(s), 1) for n, s in enumerate(rng.pareto(1.5, 1000) * 1000 + 1)}
+    sizes = {n: (int(s), 1) for n, s in enumerate(rng.pareto(3.0, 1000) * 1000 + 1)}
     slots.store_map(spark, path, 1, slots.first_map(1000, 8))
     first = slots.load_map(spark, path, 1)
     assert first == [n % 8 for n in range(1000)]
