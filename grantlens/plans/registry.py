@@ -51,7 +51,7 @@ def with_fixtures(sql: str) -> str:
 
 def _load_all() -> None:
     from . import (ingest_views, master_views, reconcile_views, report_views,  # noqa: F401
-                   stream_views, workflow_views)
+                   storage_views, stream_views, workflow_views)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
