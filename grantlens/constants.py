@@ -110,3 +110,6 @@ HINT_GENERIC = "Check Cloud Run logs for details."
 
 ISSUE_OPEN = "OPEN"
 ISSUE_CLOSED = "CLOSED"
+PARTIAL_COLLECTION_MESSAGE = ("One or more principal sources could not be collected. "
+                              "See details.warnings for source-level errors.")
+PARTIAL_COLLECTION_HINT = "Verify Admin SDK / Cloud Identity / IAM permissions and enabled APIs."

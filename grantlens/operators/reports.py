@@ -108,13 +108,14 @@ def principal_audit_trail(hist: DataFrame, email: str) -> DataFrame:
 
 
 def break_glass_audit(req: DataFrame, log: DataFrame) -> DataFrame:
-    """#28: emergency GRANT/CHANGE requests with every execution attempt (left join)."""
+    """#28: emergency GRANT/CHANGE requests with every execution attempt (left join), newest request first."""
     bg = req.filter(F.col("request_type").isin(K.GRANT, K.CHANGE) & F.col("reason").contains(K.EMERGENCY_REASON_PREFIX))
     lg = log.select("request_id", F.col("result").alias("execution_result"), "executed_at")
     return (bg.select("requested_at", "request_id", "requester_email", "resource_name", "role", "reason")
             .join(lg, "request_id", "left")
             .select("requested_at", "request_id", "requester_email", "resource_name", "role", "reason",
-                    "execution_result", "executed_at"))
+                    "execution_result", "executed_at")
+            .orderBy(F.col("requested_at").desc(), F.col("request_id").desc(), F.col("executed_at").desc()))
 
 
 def recent_failed_executions(log: DataFrame, as_of: str | _dt.datetime, n_days: int = 7) -> DataFrame:

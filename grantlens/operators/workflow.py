@@ -357,7 +357,9 @@ def principal_collection_outcome(runs: DataFrame, warnings: DataFrame, run_col:
     j = runs.select(run_col).distinct().join(w, run_col, "left").fillna(0, ["warnings"])
     return j.select(run_col, "warnings",
                     F.when(F.col("warnings") > 0, F.lit(K.PARTIAL_SUCCESS)).otherwise(F.lit(K.SUCCESS)).alias("result"),
-                    F.when(F.col("warnings") > 0, F.lit("PARTIAL_COLLECTION")).alias("error_code"))
+                    F.when(F.col("warnings") > 0, F.lit("PARTIAL_COLLECTION")).alias("error_code"),
+                    F.when(F.col("warnings") > 0, F.lit(K.PARTIAL_COLLECTION_MESSAGE)).alias("error_message"),
+                    F.when(F.col("warnings") > 0, F.lit(K.PARTIAL_COLLECTION_HINT)).alias("hint"))
 
 
 def classify_job_failure(errors: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..streaming import alerts as st
 from .reconcile_views import RECONCILE_STATE_CTE, _reconcile
 from .registry import register
 from .report_views import IDS_SQL, REVIEW_SQL
+from .workflow_views import EXEC_PLAN_SQL, _scope
 
 
 @register("stream_history_ingest", "SELECT * FROM iam_access_request_history")
@@ -21,12 +22,16 @@ def q_stream_history_ingest(t):
     return t.spark.read.parquet(out).select(*hist.columns)
 
 
-@register("stream_break_glass_alerts", """
+@register("stream_break_glass_alerts", EXEC_PLAN_SQL.format(ids="iam_access_requests", req="iam_access_requests") + """
 SELECT '[BREAK-GLASS]' AS marker, request_id, principal_email, role, resource_name, reason, requested_at
-FROM iam_access_requests WHERE status = 'APPROVED' AND reason LIKE '%[緊急]%'""")
+FROM iam_access_requests WHERE strpos(reason, '[緊急]') > 0 AND request_id IN (SELECT request_id FROM plan WHERE decision = 'EXECUTE')""")
 def q_stream_break_glass_alerts(t):
-    """#94: break-glass approvals from the request stream."""
-    return st.run_available_now(t["iam_access_requests"], "breakglass", st.break_glass_alerts)
+    """#94: emergency requests that the gate lets run, from the request stream."""
+    _, stream = st.stage_as_files(t["iam_access_requests"], "breakglass")
+    out = st._scratch(t.spark, "breakglass-out")
+    st.stream_break_glass_alerts(stream, lambda: (t["iam_access_change_log"], _scope(t)), out, st._scratch(t.spark, "breakglass-ckpt"),
+                                 available_now=True).awaitTermination()
+    return t.spark.read.parquet(out).drop("epoch")
 
 
 @register("stream_error_alerts", """

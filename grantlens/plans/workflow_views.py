@@ -428,7 +428,9 @@ w AS (SELECT CAST(occurred_at AS DATE) AS run_date, count(*) AS n FROM iam_pipel
       WHERE job_type = 'PRINCIPAL_COLLECTION' AND result <> 'SUCCESS' GROUP BY 1)
 SELECT r.run_date, CAST(COALESCE(w.n, 0) AS BIGINT) AS warnings,
   CASE WHEN COALESCE(w.n, 0) > 0 THEN 'PARTIAL_SUCCESS' ELSE 'SUCCESS' END AS result,
-  CASE WHEN COALESCE(w.n, 0) > 0 THEN 'PARTIAL_COLLECTION' END AS error_code
+  CASE WHEN COALESCE(w.n, 0) > 0 THEN 'PARTIAL_COLLECTION' END AS error_code,
+  CASE WHEN COALESCE(w.n, 0) > 0 THEN 'One or more principal sources could not be collected. See details.warnings for source-level errors.' END AS error_message,
+  CASE WHEN COALESCE(w.n, 0) > 0 THEN 'Verify Admin SDK / Cloud Identity / IAM permissions and enabled APIs.' END AS hint
 FROM runs r LEFT JOIN w ON r.run_date = w.run_date""")
 def q_principal_collection_outcome(t):
     """#62: per daily principal collection: warnings -> PARTIAL_SUCCESS."""

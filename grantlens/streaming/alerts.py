@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as K
 from ..operators.reports import request_reflection_status
+from ..operators.workflow import execution_plan
 from ..session import checkpoint_dir
 from ..sources.sinks import path_exists
 
@@ -54,13 +55,27 @@ def stream_history_ingest(stream: DataFrame, path: str, checkpoint: str, availab
     return w.start()
 
 
-def break_glass_alerts(requests: DataFrame) -> DataFrame:
-    """#94: emergency (break-glass) approvals, as the [BREAK-GLASS] log line carries them."""
-    return (requests.filter((F.col("status") == K.APPROVED) & F.col("reason").contains(K.EMERGENCY_REASON_PREFIX))
+def break_glass_alerts(requests: DataFrame, log: DataFrame, scope: DataFrame) -> DataFrame:
+    """#94: emergency (break-glass) requests that the execution gate lets run, as the [BREAK-GLASS] log line carries them."""
+    plan = execution_plan(requests, requests.select("request_id"), log, scope).filter("break_glass").select("request_id")
+    return (requests.join(plan, "request_id", "left_semi")
             .select(F.lit(K.BREAK_GLASS_MARK).alias("marker"), "request_id", "principal_email", "role",
                     "resource_name", "reason", "requested_at"))
 
 
+def stream_break_glass_alerts(stream: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame]], path: str, checkpoint: str,
+                              available_now: bool = False) -> StreamingQuery:
+    """#94: alerts of each micro-batch of requests; ``tables`` gives (change log, scope) as they are then.
+
+    A batch writes its own ``epoch=<n>`` folder by overwrite, so run again it alerts once."""
+    def alert(batch: DataFrame, epoch_id: int) -> None:
+        break_glass_alerts(batch, *tables()).write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch_id}"))
+
+    w = stream.writeStream.foreachBatch(alert).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
 def error_alerts(log: DataFrame) -> DataFrame:
     """#95: execution results at severity ERROR."""
     return (log.filter(F.col("result").isin(*ERROR_RESULTS))
