@@ -32,21 +32,30 @@ class Forest:
 def connected_components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of longs -> one row ``(node, component)`` for each node, component = smallest node reachable.
 
-    Each round gives a node the smallest label among its own and its
-    neighbours', then the label that this label's node has (pointer jumping),
-    until no label changes.  Labels are written to the shared folder each
-    round, so lineage stays short and the joins read stored tables, whose
-    skewed keys AQE can split.  Minima are combined before the shuffle.
+    Each round maps every node to the smallest among itself and its
+    neighbours, and on to where that one maps (pointer jumping), then contracts
+    the links: ends become what they map to, loops and repeats go.  So a round
+    leaves at most half the nodes, and links inside a group vanish at once.
+    The smallest node of a group maps to itself in every round and gives the
+    component.  Each round's tables are written to the shared folder, so
+    lineage stays short and joins read stored tables, whose skewed keys AQE
+    can split; minima are combined before the shuffle.
     """
-    both = links.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"))
-    both = stored(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
-    labels = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), "labels")
-    while True:
-        near = (both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("label")), "other")
-                .groupBy("node").agg(F.min("label").alias("best")))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "best").alias("label"))
-        above = labels.select(F.col("node").alias("label"), F.col("component").alias("jump"))
-        new = stored(hooked.join(above, "label").select("node", "was", F.least("label", "jump").alias("component")), "labels")
-        labels = new.select("node", "component")
-        if new.where("component <> was").isEmpty():
-            return labels
+    def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
+        df = df.where(F.col(a) != F.col(b))
+        return stored(df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "links")
+
+    edges, total = ordered(links, "a", "b"), None
+    while total is None or not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        up = both.groupBy("node").agg(F.least("node", F.min("other")).alias("up"))
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("jump"))
+        up = stored(up.join(above, "up").select("node", "jump"), "labels")
+        if total is None:
+            total = up.select("node", F.col("jump").alias("component"))
+        else:
+            later = up.select(F.col("node").alias("component"), "jump")
+            total = stored(total.join(later, "component", "left").select("node", F.coalesce("jump", "component").alias("component")), "labels")
+        ends = edges.join(up.select(F.col("node").alias("a"), F.col("jump").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("jump").alias("y")), "b")
+        edges = ordered(ends, "x", "y")
+    return total

@@ -11,9 +11,9 @@ list of all pairs of a group is made.  Buckets of at most ``small`` classes
 give their pairs, less those that a 1-bit sketch of the signature shows to be
 too far apart.  Larger buckets
 are sifted by the same sketch in chunks.  Members with few candidates give
-their pairs too.  Those with many are in a dense group: classes are sorted by
-their largest bucket and cut into blocks, and two blocks that hold candidates
-are compared at once, as one product of their shingle matrices, which returns
+their pairs too.  Those with many are in a dense group: they are dealt into
+blocks by the smallest member of their dense buckets, so a group fills few
+blocks, and two blocks that share a dense bucket are compared at once, as one product of their shingle matrices, which returns
 a spanning forest of the links found.  So a bucket of thousands of near copies
 sends rows in proportion to its members, and no pair of candidates stays
 undecided.
@@ -27,7 +27,6 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,87 +158,56 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _blocks(texts: DataFrame, rows: int, size: int) -> DataFrame:
-    """(block, nodes, texts): ``texts`` (main, node, text) sorted by main bucket and cut into bounded blocks."""
-    schema, arrow = arrow_schema("block long, nodes array<long>, texts array<string>")
-
-    def run(batches):
-        base, made, nodes, held, used, now = TaskContext.get().partitionId() << 32, 0, [], [], 0, None
-
-        def emit():
-            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([nodes], arrow.field("nodes").type), pa.array([held], arrow.field("texts").type)], schema=arrow)
-
-        for batch in batches:
-            for main, node, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if nodes and (len(nodes) >= rows or used >= size or (main != now and 16 * len(nodes) >= rows)):
-                    yield emit()
-                    nodes, held, used, made = [], [], 0, made + 1
-                now = main
-                nodes.append(node)
-                held.append(text)
-                used += len(text)
-        if nodes:
-            yield emit()
-
-    return texts.repartitionByRange("main", "node").sortWithinPartitions("main", "node").select("main", "node", "text").mapInArrow(run, schema)
+    """(block, nodes, texts): ``texts`` (node, main, text) with equal main, dealt by a hash into blocks of
+    about ``rows`` texts and ``size`` bytes."""
+    texts = texts.withColumn("bytes", F.octet_length("text"))
+    parts = texts.groupBy("main").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("bytes") / size)).alias("parts"))
+    block = F.xxhash64("main", F.pmod(F.xxhash64("node"), "parts"))
+    return (texts.join(parts, "main").groupBy(block.alias("block"))
+            .agg(F.collect_list(F.struct("node", "text")).alias("held"))
+            .select("block", F.col("held.node").alias("nodes"), F.col("held.text").alias("texts")))
 
 
 def _chunks(members: DataFrame, rows: int) -> DataFrame:
-    """(chunk, key, low, high, ...): the members of each bucket by set size, in chunks with their smallest and largest size."""
-    schema, arrow = arrow_schema("chunk long, key long, low long, high long, nodes array<long>, sizes array<long>, blocks array<long>, sketches array<long>")
-
-    def run(batches):
-        base, made, held, now = TaskContext.get().partitionId() << 32, 0, [], None
-
-        def emit():
-            n, node, block, sketch = zip(*held)
-            row = [base + made, now, n[0], n[-1], node, n, block, [w for x in sketch for w in x]]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, arrow.types)], schema=arrow)
-
-        for batch in batches:
-            for key, *member in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (key != now or len(held) >= rows):
-                    yield emit()
-                    held, made = [], made + 1
-                now = key
-                held.append(member)
-        if held:
-            yield emit()
-
-    by = ["key", "n", "node"]
-    return members.repartitionByRange(*by).sortWithinPartitions(*by).select("key", "n", "node", "block", "sketch").mapInArrow(run, schema)
+    """(key, chunk, members): each bucket's members dealt by a hash into chunks of about ``rows``."""
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / rows))
+    return members.withColumn("chunk", chunk).groupBy("key", "chunk").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("members"))
 
 
 def _sift_chunks(chunks: DataFrame, percent: int, room: int, few: int) -> DataFrame:
-    """(a, b, dense) for members of one bucket whose sizes and sketches allow a link.
+    """(a, b, dense) from the members of each bucket whose sizes and sketches allow a link.
 
-    A member with at most ``few`` of them in a pair of chunks gives its pairs (dense false); pairs
-    between members with more give the two blocks that hold them, once (dense true)."""
+    A member with at most ``few`` of them in a pair of chunks, or an eighth of the chunk, gives its pairs (a, b)
+    with dense false.  Of pairs between members with more, the members are given as (node, bucket), dense true."""
     schema, arrow = arrow_schema("a long, b long, dense boolean")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
-                node, size, block, sketch, node_2, size_2, block_2, sketch_2 = (batch.column(c)[i].values.to_numpy() for c in range(2, 10))
-                x, y = sketch.view(_U).reshape(len(node), -1), sketch_2.view(_U).reshape(len(node_2), -1)
+                key, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                (node, size, x), (node_2, size_2, y) = (_columns(batch.column(c)[i].values) for c in (2, 3))
                 differ = np.zeros((len(node), len(node_2)), np.int16)
                 for w in range(x.shape[1]):
                     differ += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
                 ok = (differ <= room) & (100 * np.minimum(size[:, None], size_2) >= percent * np.maximum(size[:, None], size_2))
                 if same:
                     np.fill_diagonal(ok, False)
-                scarce = ok & ((ok.sum(axis=1) <= few)[:, None] | (ok.sum(axis=0) <= few)[None, :])
+                scarce = ok & ((ok.sum(axis=1) <= max(few, len(node_2) // 8))[:, None] | (ok.sum(axis=0) <= max(few, len(node) // 8))[None, :])
                 p, q = np.nonzero(np.triu(scarce) if same else scarce)
                 a, b = node[p], node_2[q]
-                p, q = np.nonzero(np.triu(ok & ~scarce) if same else ok & ~scarce)
-                meet = np.unique(np.stack([np.minimum(block[p], block_2[q]), np.maximum(block[p], block_2[q])], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), meet[:, 0]])), pa.array(np.concatenate([np.maximum(a, b), meet[:, 1]])),
-                                                  pa.array(np.arange(len(a) + len(meet)) >= len(a))], schema=arrow)
+                many = ok & ~scarce
+                dense = np.union1d(node[many.any(axis=1)], node_2[many.any(axis=0)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), dense])), pa.array(np.concatenate([np.maximum(a, b), np.full(len(dense), key)])),
+                                                  pa.array(np.arange(len(a) + len(dense)) >= len(a))], schema=arrow)
 
-    fields = ("nodes", "sizes", "blocks", "sketches")
-    right = chunks.select("key", F.col("chunk").alias("other"), F.col("low").alias("low_2"), F.col("high").alias("high_2"), *(F.col(f).alias(f"{f}_2") for f in fields))
-    pairs = chunks.join(right, "key").where(f"chunk <= other and 100 * least(high, high_2) >= {percent} * greatest(low, low_2)")
-    return pairs.select("chunk", "other", *fields, *(f"{f}_2" for f in fields)).repartition("chunk", "other").mapInArrow(run, schema)
+    right = chunks.select("key", F.col("chunk").alias("other"), F.col("members").alias("members_2"))
+    pairs = chunks.join(right, "key").where("chunk <= other").select("key", (F.col("chunk") == F.col("other")).alias("same"), "members", "members_2")
+    return pairs.repartition("key", F.xxhash64(F.col("members")[0]["node"], F.col("members_2")[0]["node"])).mapInArrow(run, schema)
+
+
+def _columns(members: pa.StructArray) -> tuple[np.ndarray, ...]:
+    node, size = (members.field(f).to_numpy() for f in ("node", "n"))
+    return node, size, members.field("sketch").flatten().to_numpy().view(_U).reshape(len(node), -1)
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -330,16 +298,17 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32
              .where(differ <= sketch_room(bands * rows, percent)).select(F.col("node").alias("a"), "b"))
 
     many = members.where(F.col("size") > small)
-    main = many.groupBy("node").agg(F.max(F.struct("size", "key")).alias("main"))
-    text_batches(spark, 64)
-    blocks = stored(_blocks(texts.join(main, "node"), block_rows, block_bytes), "blocks")
-    place = blocks.select("block", F.explode("nodes").alias("node"))
-    text_batches(spark, 4096)
-    chunks = stored(_chunks(many.join(place, "node").join(reps.select("node", "n", "sketch"), "node"), chunk_rows), "chunks")
     text_batches(spark, 4)
-    near = stored(_sift_chunks(chunks, percent, sketch_room(bands * rows, percent), small), "sifted")
+    chunks = _chunks(many.join(reps.select("node", "n", "sketch"), "node"), chunk_rows)
+    near = stored(_sift_chunks(stored(chunks, "chunks"), percent, sketch_room(bands * rows, percent), small), "sifted")
     pairs = pairs.unionByName(near.where("not dense").select("a", "b")).distinct()
-    links = _compare_blocks(near.where("dense").select(F.col("a").alias("block"), F.col("b").alias("other")).distinct(), blocks, width, percent)
+    dense = stored(near.where("dense").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct(), "dense")
+    leaders = dense.groupBy("key").agg(F.min("node").alias("leader"))
+    main = dense.join(leaders, "key").groupBy("node").agg(F.min("leader").alias("main"))
+    blocks = stored(_blocks(texts.join(main, "node"), block_rows, block_bytes), "blocks")
+    held = blocks.select("block", F.explode("nodes").alias("node")).join(dense, "node").select("block", "key").distinct()
+    meet = held.join(held.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct()
+    links = _compare_blocks(meet, blocks, width, percent)
     text_batches(spark)
     links = links.unionByName(_confirm(pairs, texts, width, percent))
     labels = connected_components(links)
