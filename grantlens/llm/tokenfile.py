@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import arrow_schema, id_and_text, text_batches
-from .tokens import encoder
+from .tokens import encoder, id_dtype
 
 SEGMENT_IDS = 1 << 19
 SEGMENTS = "part int, segment int, first_id long, last_id long, n_docs long, n_tokens long, part_start long, payload binary"
@@ -55,15 +55,18 @@ def read_document(payload: bytes, nth: int) -> np.ndarray:
     return values[begin - first * simple8b.BLOCK:][:int(sizes[nth])]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS,
+                 memo_words: int = 450_000) -> None:
     """Encode every whole text (null: empty), append ``end_id`` and write the segments to ``path``.
 
-    Rows without doc_id come last; rows with equal doc_id are ordered by a hash of their text."""
+    Rows without doc_id come last; rows with equal doc_id are ordered by a hash of their text.  ``memo_words``
+    bounds the words whose ids a Python worker keeps (about 300 bytes each)."""
     text_batches(docs.sparkSession)
     schema, arrow = arrow_schema(SEGMENTS)
+    dtype = id_dtype(tokenizer)
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, memo_words, dtype).encode
         part = TaskContext.get().partitionId()
         state = {"segment": 0, "start": 0}
         ids, tokens, held = [], [], 0
@@ -80,7 +83,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
             texts = batch.column(1).to_pylist()
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(["" if t is None else t for t in texts])):
                 ids.append(doc_id)
-                tokens.append(np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(np.uint32))
+                tokens.append(np.append(np.frombuffer(raw, dtype), np.uint32(end_id)).astype(np.uint32))
                 held += len(tokens[-1])
                 if held >= segment_ids:
                     yield emit()
