@@ -95,10 +95,14 @@ class RuleModel:
     weights: dict[Rule, float]
 
     def score(self) -> Column:
-        total = F.lit(self.intercept)
-        for rule, weight in sorted(self.weights.items(), key=lambda x: sorted(x[0])):
-            total = total + F.when(holds(rule), F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        """The lambda binds the statistics once, so a filter on the score cannot copy them into every rule."""
+        def of(stats: Column) -> Column:
+            total = F.lit(self.intercept)
+            for rule, weight in sorted(self.weights.items(), key=lambda x: sorted(x[0])):
+                total = total + F.when(holds(rule, lambda n: stats[n]), F.lit(weight)).otherwise(F.lit(0.0))
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+        return F.transform(F.array("stats"), of)[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int = 30, depth: int = 3, penalty: float = 5e-4, seed: int = 7) -> RuleModel:
