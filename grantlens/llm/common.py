@@ -32,13 +32,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that carry whole texts, and let Python workers import this package
-    from the driver's path (on a cluster it is installed there, shipped or on a shared PYTHONPATH)."""
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from the driver's path (on a cluster it is installed there,
+    shipped or on a shared PYTHONPATH)."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def text_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bound the Arrow batches that carry whole texts, and let Python workers import this package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

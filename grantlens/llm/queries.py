@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, minhash, packing, rules, slots, superkmer, tokencount, tokenfile, vecjoin
+from . import decontam, linededup, merkle, minhash, packing, rules, slots, superkmer, tokencount, tokenfile, vecjoin
 from .common import shared_path
 
 
@@ -81,8 +81,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, per lang and over all; every third text is folded with its A-Z lower-cased."""
+    out = merkle.manifest(_table(spark, sf_dir, "documents"), tampered=merkle.lowered_every_third())
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "n_siblings")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_dedup, op4_sharding, op5_token_files, op6_minhash_dedup, op7_line_dedup, op8_quality_classifier, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_dedup, op4_sharding, op5_token_files, op6_minhash_dedup, op7_line_dedup, op8_quality_classifier, op9_token_counts, op10_substring_dedup,
+                                      op11_merkle_manifest)}
 
 
 #: Lines are unnested with their document; a key's documents are counted and its largest doc_id kept.
