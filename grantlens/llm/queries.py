@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, merkle, minhash, packing, rules, slots, superkmer, tokencount, tokenfile, vecjoin
+from . import decontam, linededup, merkle, minhash, packing, phrases, rules, slots, superkmer, tokencount, tokenfile, vecjoin
 from .common import shared_path
 
 
@@ -87,9 +87,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "n_siblings")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 phrases of 2 to 3 words of each language over all documents."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"), width=3, min_count=10, share=50, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_dedup, op4_sharding, op5_token_files, op6_minhash_dedup, op7_line_dedup, op8_quality_classifier, op9_token_counts, op10_substring_dedup,
-                                      op11_merkle_manifest)}
+                                      op11_merkle_manifest, op13_collocations)}
 
 
 #: Lines are unnested with their document; a key's documents are counted and its largest doc_id kept.
@@ -109,5 +114,39 @@ FROM keyed LEFT JOIN repeated USING (key) GROUP BY doc_id
 """
 
 
+#: Phrases of each length are extracted and counted by themselves; products are 128-bit integers.
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+), place AS (
+  SELECT lang, unnest(w) AS w1, unnest(list_concat(w[2:], [''])) AS w2, unnest(list_concat(w[3:], ['', ''])) AS w3 FROM words
+), f AS (
+  SELECT lang, 1 AS m, w1 AS phrase, count(*) AS n FROM place WHERE w1 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM place WHERE w1 IS NOT NULL AND w2 <> '' GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM place WHERE w1 IS NOT NULL AND w3 <> '' GROUP BY ALL
+), candidate AS (
+  SELECT lang, m, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE m > 1 AND n >= 10
+), cut AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, l.n AS l, r.n AS r,
+    CAST(1000000::HUGEINT * c.a::HUGEINT * c.a::HUGEINT // (l.n::HUGEINT * r.n::HUGEINT) AS BIGINT) AS score
+  FROM (SELECT *, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM candidate, (VALUES (1), (2)) AS size(k) WHERE k < m) c
+  JOIN f l ON l.lang = c.lang AND l.m = c.k AND l.phrase = c.head
+  JOIN f r ON r.lang = c.lang AND r.m = c.m - c.k AND r.phrase = c.rest
+), scored AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[s:s + 1], ' ') AS phrase, max(a) AS longer FROM candidate, (VALUES (1), (2)) AS start(s) WHERE m = 3 GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, t.n, s.score
+FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+JOIN (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang) t ON t.lang = s.lang
+WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op13_collocations": OP13_SQL}
