@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, merkle, minhash, packing, phrases, rules, slots, superkmer, tokencount, tokenfile, vecjoin
+from . import ctw, decontam, linededup, merkle, minhash, packing, phrases, rules, slots, superkmer, tokencount, tokenfile, vecjoin
 from .common import shared_path
 
 
@@ -87,6 +87,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "n_siblings")
 
 
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all whole texts by context-tree weighting, with the add-one unigram base."""
+    out = ctw.score_texts(_table(spark, sf_dir, "documents"), folds=7, held_fold=2)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 2000 phrases of 2 to 3 words of each language over all documents."""
     return phrases.collocations(_table(spark, sf_dir, "documents"), width=3, min_count=10, share=50, top=2000)
@@ -94,7 +100,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_dedup, op4_sharding, op5_token_files, op6_minhash_dedup, op7_line_dedup, op8_quality_classifier, op9_token_counts, op10_substring_dedup,
-                                      op11_merkle_manifest, op13_collocations)}
+                                      op11_merkle_manifest, op12_context_tree, op13_collocations)}
 
 
 #: Lines are unnested with their document; a key's documents are counted and its largest doc_id kept.
