@@ -78,6 +78,7 @@ def chunks(docs: DataFrame, depth: int, chunk_bytes: int) -> DataFrame:
 
     ``rows`` numbers the input rows, since ids may be missing or repeated."""
     schema, arrow = arrow_schema(CHUNK)
+    cut = min(chunk_bytes, BLOCK)
 
     def run(batches):
         import zstandard
@@ -102,8 +103,8 @@ def chunks(docs: DataFrame, depth: int, chunk_bytes: int) -> DataFrame:
                 at, before = 0, b"\n" * depth
                 while at < len(body):
                     end = len(body)
-                    if end - at > chunk_bytes:  # a long text is cut behind a space
-                        end = body.rfind(b" ", at, at + chunk_bytes) + 1 or body.find(b" ", at + chunk_bytes) + 1 or len(body)
+                    if end - at > cut:  # a long text is cut behind a space
+                        end = body.rfind(b" ", at, at + cut) + 1 or body.find(b" ", at + cut) + 1 or len(body)
                     piece = before + body[at:end]
                     held_rows.append((task + row, doc_id, held, len(piece)))
                     data.append(piece)
@@ -162,13 +163,18 @@ class Chunk:
         return add_up(found)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit hash of each word and the piece that it is in."""
-        text = np.where(self.body, self.data, np.uint8(32))
-        starts, ends, first = word_spans(text, self.offsets)
-        return word_hashes(text, starts, ends), np.repeat(np.arange(len(self.sizes)), np.diff(first))
-
-    def distinct_words(self) -> tuple[np.ndarray, np.ndarray]:
-        words, piece = self.words()
+        """A 64-bit hash of each word and the piece that it is in, taken from some pieces at a time."""
+        found, i, n = [(np.zeros(0, _U), np.zeros(0, np.int64))], 0, len(self.sizes)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + BLOCK, side="right")) - 1)
+            begin, end = self.offsets[i], self.offsets[j]
+            text = np.where(self.body[begin:end], self.data[begin:end], np.uint8(32))
+            starts, ends, first = word_spans(text, self.offsets[i:j + 1] - begin)
+            found.append((word_hashes(text, starts, ends), np.repeat(np.arange(i, j), np.diff(first))))
+            i = j
+        return np.concatenate([w for w, _ in found]), np.concatenate([p for _, p in found])
+
+    def distinct_words(self, words: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         learn = ~self.held[piece]
         train, counts = np.unique(words[learn], return_counts=True)
         other = np.unique(words[~learn])
@@ -228,7 +234,7 @@ def requests(stored_chunks: DataFrame, depth: int, split: int, buckets: int) ->
                 row = batch.slice(row, 1).to_pylist()[0]
                 chunk = Chunk(row, depth)
                 out = []
-                for kind, (keys, counts) in ((PAIRS, chunk.distinct_pairs()), (WORDS, chunk.distinct_words())):
+                for kind, (keys, counts) in ((PAIRS, chunk.distinct_pairs()), (WORDS, chunk.distinct_words(*chunk.words()))):
                     order, at = dealt(keys, kind, depth, split, buckets)
                     for b in np.flatnonzero(np.diff(at)).tolist():
                         mine = order[at[b]:at[b + 1]]
@@ -421,8 +427,9 @@ def piece_scores(stored_chunks: DataFrame, replies: DataFrame, depth: int, split
             np.cumsum(sums, out=sums)
             score = sums[chunk.offsets[1:]] - sums[chunk.offsets[:-1]]
             words, piece = chunk.words()
-            known, counts = chunk.distinct_words()
-            c = values(replied, WORDS, known, "<u8")[np.searchsorted(known, words)].astype(float) if len(words) else np.zeros(0)
+            known, _ = chunk.distinct_words(words, piece)
+            counts = values(replied, WORDS, known, "<u8")
+            c = counts[np.searchsorted(known, words)].astype(float) if len(words) else np.zeros(0)
             n = len(chunk.sizes)
             last = (chunk.data[chunk.offsets[1:] - 1] == 10).astype(np.int64)  # the piece with the text's end token
             tokens = np.bincount(piece, minlength=n)
