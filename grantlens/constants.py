@@ -113,3 +113,6 @@ ISSUE_CLOSED = "CLOSED"
 PARTIAL_COLLECTION_MESSAGE = ("One or more principal sources could not be collected. "
                               "See details.warnings for source-level errors.")
 PARTIAL_COLLECTION_HINT = "Verify Admin SDK / Cloud Identity / IAM permissions and enabled APIs."
+
+#: Reason of a refusal where the scope table says nothing about the resource.
+SCOPE_UNKNOWN = "scope is not known for resource: "

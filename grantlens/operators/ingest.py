@@ -54,13 +54,11 @@ def policy_collection_counts(policy_docs: DataFrame) -> DataFrame:
 
 
 def _strip_full_name(raw) -> "F.Column":
+    """Name at the end of a full path, else the path without host and without ``projects/`` before further parts."""
     v = F.trim(F.coalesce(raw, F.lit("")))
-    v = F.regexp_replace(v, r"^//", "")
-    v = F.regexp_replace(v, r"^cloudresourcemanager\.googleapis\.com/", "")
-    slashes = F.length(v) - F.length(F.regexp_replace(v, "/", ""))
-    v = F.when(v.startswith("projects/") & (slashes > 1), F.regexp_replace(v, r"^projects/", "")).otherwise(v)
     tail = F.regexp_extract(v, r"(organizations/\d+|folders/\d+|projects/[^/]+)$", 1)
-    return F.when(tail != "", tail).otherwise(v)
+    path = F.regexp_replace(v, r"^(//)?(cloudresourcemanager\.googleapis\.com/)?(projects/(?=[^/]*/))?", "")
+    return F.coalesce(nullif_empty(tail), path)
 
 
 def _after_first_slash(c):
@@ -76,11 +74,13 @@ def resource_type_short(asset_type) -> "F.Column":
 def normalize_resource_inventory(asset_rows: DataFrame, execution_id: str, as_of: str | _dt.datetime,
                                  scope: str) -> DataFrame:
     """#3: asset search rows -> the 8 columns of the resource inventory history."""
-    rtype = resource_type_short(F.col("asset_type"))
-    name = _strip_full_name(F.col("name"))
-    parent = _strip_full_name(F.col("parent_full_resource_name"))
-    attr_pid = F.trim(F.coalesce(F.col("additional_attributes").getItem("projectId"), F.lit("")))
-    proj_ref = F.trim(F.coalesce(F.col("project"), F.lit("")))
+    # bound in a projection of their own: the id takes them several times, and their patterns must not be copied into it
+    parts = asset_rows.select(
+        resource_type_short(F.col("asset_type")).alias("rtype"), _strip_full_name(F.col("name")).alias("name"),
+        _strip_full_name(F.col("parent_full_resource_name")).alias("parent"), "display_name",
+        F.trim(F.coalesce(F.col("additional_attributes").getItem("projectId"), F.lit(""))).alias("attr_pid"),
+        F.trim(F.coalesce(F.col("project"), F.lit(""))).alias("proj_ref"))
+    rtype, name, parent, attr_pid, proj_ref = (F.col(c) for c in ("rtype", "name", "parent", "attr_pid", "proj_ref"))
     fallback = F.when(name != "", name).otherwise(F.lit("unknown-resource"))
     rid = (F.when(rtype == "Folder", F.when(name != "", name).otherwise(F.lit("unknown-folder")))
            .when((rtype == "Project") & (attr_pid != ""), attr_pid)
@@ -88,9 +88,9 @@ def normalize_resource_inventory(asset_rows: DataFrame, execution_id: str, as_of
            .when((rtype == "Project") & name.startswith("projects/"), _after_first_slash(name))
            .otherwise(fallback))
     display = nullif_empty(F.coalesce(F.col("display_name"), F.lit("")))
-    return asset_rows.select(
+    return parts.withColumn("rid", rid).select(
         F.lit(execution_id).alias("execution_id"), ts(as_of).alias("assessed_at"), rtype.alias("resource_type"),
-        F.coalesce(display, rid).alias("resource_name"), rid.alias("resource_id"),
+        F.coalesce(display, F.col("rid")).alias("resource_name"), F.col("rid").alias("resource_id"),
         parent.alias("parent_resource_id"), name.alias("full_resource_path"),
         F.lit(f"source=cloudasset scope={scope}").alias("note"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import TRIPLE, to_json_keep_nulls, ts
+from .skew import split_join
 
 
 def _interval_hours(h: float) -> Column:
@@ -108,8 +109,7 @@ def reconcile_simple(req: DataFrame, perm: DataFrame, as_of: str | _dt.datetime)
     """
     now = ts(as_of)
     actual = perm.select(*TRIPLE).distinct().withColumn("exists_now", F.lit(True))
-    j = (req.select("request_id", *TRIPLE, "status", "expires_at")
-         .join(actual, TRIPLE, "left")
+    j = (split_join(req.select("request_id", *TRIPLE, "status", "expires_at"), actual, TRIPLE)
          .withColumn("exists_now", F.coalesce("exists_now", F.lit(False))))
     st = F.col("status")
     ex = F.col("exists_now")
@@ -165,6 +165,6 @@ def expired_grants(req: DataFrame, perm: DataFrame, as_of: str | _dt.datetime) -
                          & (F.col("request_type") != K.REVOKE)
                          & F.col("expires_at").isNotNull() & (F.col("expires_at") < now))
     active = perm.select(*TRIPLE).distinct().withColumn("_active", F.lit(True))
-    return (expired.join(active, TRIPLE, "left")
+    return (split_join(expired, active, TRIPLE)
             .select("request_id", "request_type", *TRIPLE, "status", "approved_at", "expires_at", "reason",
                     F.coalesce(F.col("_active"), F.lit(False)).alias("is_permission_active")))

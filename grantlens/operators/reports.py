@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.columns import TRIPLE, days, nullif_empty, role_short_name, role_type, ts, type_label_ja
 from .latest import latest_execution_per_request, latest_snapshot, newest_payload
+from .skew import split_join
 
 JOB_COLLECTION_TYPES = ["RESOURCE_COLLECTION", "PRINCIPAL_COLLECTION", "IAM_POLICY_COLLECTION"]
 
@@ -166,8 +167,7 @@ def inventory_with_requests(perm: DataFrame, req: DataFrame, log: DataFrame) ->
                                  ["request_id", "request_group_id", "status", "requested_at", "approved_at",
                                   "ticket_ref"])
     ctx = newest.join(latest, "request_id", "left")
-    return (perm.select("resource_type", "resource_name", "principal_type", "principal_email", "role")
-            .join(ctx, TRIPLE, "left")
+    return (split_join(perm.select("resource_type", "resource_name", "principal_type", "principal_email", "role"), ctx, TRIPLE)
             .select("resource_type", "resource_name", "principal_type", "principal_email", "role",
                     "request_id", "request_group_id", F.col("status").alias("request_status"),
                     "requested_at", "approved_at", "ticket_ref", "latest_execution_result",
@@ -220,7 +220,7 @@ def _reflection(req: DataFrame, log: DataFrame, perm: DataFrame) -> DataFrame:
     latest = latest_execution_per_request(log).select("request_id", F.col("result").alias("_res"),
                                                       F.col("executed_at").alias("_at"))
     actual = perm.select(*TRIPLE).distinct().withColumn("_present", F.lit(True))
-    j = req.join(latest, "request_id", "left").join(actual, TRIPLE, "left")
+    j = split_join(req, actual, TRIPLE).join(latest, "request_id", "left")
     present = F.coalesce(F.col("_present"), F.lit(False))
     return (j.withColumn("execution_result", F.coalesce(F.col("_res"), F.lit(K.NOT_RUN)))
              .withColumn("final_reflection", _verdict(F.col("_res"), F.col("request_type"), present)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.columns import TRIPLE, regexp_extract_or_null, ts
 from .latest import latest_snapshot, newest_payload
+from .skew import split_join
 
 RAW_HISTORY_COLUMNS = ["execution_id", "assessment_timestamp", "scope", "resource_type",
                        "resource_name", "principal_type", "principal_email", "role"]
@@ -46,9 +47,7 @@ def bindings_history_snapshot(perm: DataFrame, req: DataFrame, status_master: Da
     """
     ctx = newest_request_context(req)
     sm = status_master.select(F.col("status_code").alias("status"), "status_ja")
-    j = (perm.select("resource_name", "principal_email", "principal_type", "role")
-         .join(ctx, TRIPLE, "left")
-         .join(sm, "status", "left"))
+    j = split_join(perm.select("resource_name", "principal_email", "principal_type", "role"), ctx, TRIPLE).join(sm, "status", "left")
     return j.select(
         F.lit(execution_id).alias("execution_id"), ts(as_of).alias("recorded_at"), "resource_name",
         regexp_extract_or_null(F.col("resource_name"), r"^projects/([^/]+)").alias("resource_id"),
@@ -76,7 +75,7 @@ def seed_bindings_history(req: DataFrame, perm: DataFrame, run_id: str, as_of: s
     the reference also joins the change log but selects nothing from it.
     """
     ptype = perm.groupBy("principal_email").agg(F.max("principal_type").alias("principal_type"))
-    r = req.filter(F.col("request_id").isNotNull()).join(ptype, "principal_email", "left")
+    r = split_join(req.filter(F.col("request_id").isNotNull()), ptype, ["principal_email"])
     return r.select(
         F.lit(run_id).alias("execution_id"), ts(as_of).alias("recorded_at"), "resource_name",
         regexp_extract_or_null(F.col("resource_name"), r"^projects/(.+)$").alias("resource_id"),

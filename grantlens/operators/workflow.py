@@ -168,24 +168,31 @@ def execution_plan(req: DataFrame, ids: DataFrame, log: DataFrame, scope: DataFr
     -> already executed (SKIPPED) -> EXECUTE.
 
     ``scope`` is the output of :func:`grantlens.operators.scope.scope_check`.
+    The gate fails closed: a request runs only where its status is APPROVED
+    and its resource is listed as in scope.  A null status is not approved; a
+    resource that is null, blank or not listed is out of scope.
     """
     keys = ids.select(F.trim(F.col("request_id")).alias("request_id")).filter(F.col("request_id") != "").distinct()
     r = req.select("request_id", "request_type", "status", "resource_name", "reason", "principal_email", "role",
                    F.lit(True).alias("_found"))
     ok = log.join(keys, "request_id", "left_semi")
     done = has_success_execution(ok)
-    sc = scope.select("resource_name", "scope_error")
-    j = keys.join(r, "request_id", "left").join(sc, "resource_name", "left").join(done, "request_id", "left")
+    # of several verdicts on one resource the refusal counts
+    sc = scope.groupBy(F.col("resource_name").alias("_scoped")).agg(F.bool_and(F.coalesce("in_scope", F.lit(False))).alias("in_scope"),
+                                                                   F.max("scope_error").alias("scope_error"))
+    j = (keys.join(r, "request_id", "left").join(sc, F.col("resource_name").eqNullSafe(F.col("_scoped")), "left")
+         .join(done, "request_id", "left"))
+    unlisted = F.concat(F.lit(K.SCOPE_UNKNOWN), F.coalesce(F.col("resource_name"), F.lit("")))
     decision = (F.when(F.col("_found").isNull(), F.lit("NOT_FOUND"))
-                .when(F.col("status") != K.APPROVED, F.lit("STATUS_NOT_APPROVED"))
-                .when(F.col("scope_error").isNotNull(), F.lit("OUT_OF_SCOPE"))
+                .when(F.coalesce(F.col("status"), F.lit("")) != K.APPROVED, F.lit("STATUS_NOT_APPROVED"))
+                .when(~F.coalesce(F.col("in_scope"), F.lit(False)), F.lit("OUT_OF_SCOPE"))
                 .when(F.coalesce(F.col("has_success"), F.lit(False)), F.lit("IDEMPOTENT_SKIP"))
                 .otherwise(F.lit("EXECUTE")))
     result = (F.when(decision.isin("STATUS_NOT_APPROVED", "IDEMPOTENT_SKIP"), F.lit(K.SKIPPED))
               .when(decision == "OUT_OF_SCOPE", F.lit(K.FAILED)))
-    reason = (F.when(decision == "STATUS_NOT_APPROVED", F.concat(F.lit("status is "), F.col("status")))
+    reason = (F.when(decision == "STATUS_NOT_APPROVED", F.concat(F.lit("status is "), F.coalesce(F.col("status"), F.lit(""))))
               .when(decision == "IDEMPOTENT_SKIP", F.lit("already executed"))
-              .when(decision == "OUT_OF_SCOPE", F.col("scope_error")))
+              .when(decision == "OUT_OF_SCOPE", F.coalesce(F.col("scope_error"), unlisted)))
     return j.select("request_id", decision.alias("decision"), result.alias("result"),
                     F.when(decision == "OUT_OF_SCOPE", F.lit("OUT_OF_SCOPE")).alias("error_code"),
                     reason.alias("reason"),
@@ -236,21 +243,27 @@ EXECUTOR = "iam-executor"
 
 
 def execute_approved(req: DataFrame, ids: DataFrame, log: DataFrame, scope: DataFrame, bindings: DataFrame,
-                     as_of: str | _dt.datetime, execution_id: str, executed_by: str = EXECUTOR) -> tuple[DataFrame, DataFrame]:
+                     as_of: str | _dt.datetime, execution_id: str, executed_by: str = EXECUTOR,
+                     keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Gate -> policy diff -> change log: the rows that executing ``ids`` adds to the change log, and the new bindings.
 
     NOT_FOUND ids leave no row; gated ids leave a SKIPPED or FAILED row; the
     others run in order of approval, SUCCESS where they change the policy and
     SKIPPED where it is as wanted already.  ``before_hash`` and ``after_hash``
     are the digests (#84) of the resource's bindings before and after the
-    batch; gated rows have none.
+    batch; gated rows have none.  Only the policies of resources that the batch
+    changes are digested.  ``keep`` may store a step that several others take.
     """
-    plan = execution_plan(req, ids, log, scope).filter(F.col("decision") != "NOT_FOUND")
+    plan = keep(execution_plan(req, ids, log, scope).filter(F.col("decision") != "NOT_FOUND"))
     run = plan.filter(F.col("decision") == "EXECUTE").select("request_id", "action")
-    changes = run.join(req.select("request_id", "resource_name", "role", "principal_email", "approved_at"), "request_id")
-    after, diff = policy_diff(bindings, changes)
-    before_hash = policy_fingerprint(bindings).withColumnRenamed("policy_hash", "before_hash")
-    after_hash = policy_fingerprint(after).withColumnRenamed("policy_hash", "after_hash")
+    changes = keep(run.join(req.select("request_id", "resource_name", "role", "principal_email", "approved_at"), "request_id"))
+    touched = changes.select("resource_name").distinct()
+    mine = keep(bindings.join(touched, "resource_name", "left_semi"))
+    left, diff = policy_diff(mine, changes)
+    left = keep(left)
+    after = bindings.join(touched, "resource_name", "left_anti").select(*left.columns).unionByName(left)
+    before_hash = policy_fingerprint(mine).withColumnRenamed("policy_hash", "before_hash")
+    after_hash = policy_fingerprint(left).withColumnRenamed("policy_hash", "after_hash")
     j = (plan.join(diff.select("request_id", F.col("result").alias("_diff")), "request_id", "left")
          .join(before_hash.withColumnRenamed("resource_name", "target"), "target", "left")
          .join(after_hash.withColumnRenamed("resource_name", "target"), "target", "left"))
@@ -382,20 +395,21 @@ def classify_job_failure(errors: DataFrame) -> DataFrame:
 # --- composition --------------------------------------------------------------------
 
 def bulk_review(raw: DataFrame, req: DataFrame, log: DataFrame, scope: DataFrame,
-                as_of: str | _dt.datetime, batch_col: str = "submission_id") -> DataFrame:
+                as_of: str | _dt.datetime, batch_col: str = "submission_id", keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """#87: normalise -> decide -> gate approved ids; one output row per review line.
 
     A submission with an unknown status is rejected whole (``BATCH_REJECTED``).
     Accepted lines: ERROR/SKIPPED decisions fail; UPDATED non-APPROVED lines
     succeed; UPDATED APPROVED lines succeed unless the execution gate fails
     (OUT_OF_SCOPE) - lines that pass the gate are marked for execution.
+    ``keep`` may store a step (write and read back) that several others take.
     """
-    n = normalize_reviews(raw, batch_col)
+    n = keep(normalize_reviews(raw, batch_col))
     rejected = n.filter(F.col("batch_error").isNotNull()).select(
         "request_id", "status", F.lit(False).alias("succeeded"), F.lit("BATCH_REJECTED").alias("error_code"),
         F.col("batch_error").alias("error_message"), F.lit(None).cast("string").alias("execution_decision"))
     ok = n.filter(F.col("batch_error").isNull()).drop("batch_error", "status_raw")
-    dec = review_decisions(ok, req, "SHEET_BULK_REVIEW", batch_col)
+    dec = keep(review_decisions(ok, req, "SHEET_BULK_REVIEW", batch_col))
     # the gate needs the requests of approved lines only, with the status that the review gives them
     final = applied_updates(dec).select("request_id", F.col("status").alias("_final"))
     approved = dec.filter((F.col("outcome") == "UPDATED") & (F.col("status") == K.APPROVED)).select("request_id")

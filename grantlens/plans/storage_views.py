@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest, matrix, reports as rp, workflow as wf
 from ..session import scratch_path
-from ..sources import nested, sinks
+from ..sources import catalogue as cat, nested, sinks
 from .ingest_views import INVENTORY_SQL, _inventory
 from .reconcile_views import NOW
 from .registry import AS_OF, RUN_ID, register
 from .report_views import HISTORY_CTES, _permission_history
-from .workflow_views import DIFF_SQL, EXEC_PLAN_SQL, PLAN_SELECT, _diff, _scope
+from .workflow_views import DIFF_SQL, EXEC_PLAN_SQL, PLAN_SELECT, _diff, _gate_scope
 
 
 def _root(t) -> str:
@@ -79,6 +79,42 @@ def q_table_layout(t):
     return stored.groupBy("p_date").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat("job_type", "result")).alias("first_key"))
 
 
+def _snapshots(t, fixture: str, table: str) -> str:
+    """The fixture's snapshots appended to a history table with a catalogue, in two runs."""
+    root, rows = _root(t), t[fixture]
+    first = F.substring("execution_id", -1, 1) < "5"
+    cat.append_snapshot(rows.filter(first), root, table)
+    cat.append_snapshot(rows.filter(~first), root, table)
+    return root
+
+
+@register("snapshot_catalogue", """
+SELECT execution_id, assessment_timestamp AS snapshot_at, CAST(assessment_timestamp AS DATE) AS p_date, CAST(count(*) AS BIGINT) AS rows
+FROM iam_policy_bindings_raw_history GROUP BY ALL""")
+def q_snapshot_catalogue(t):
+    """#65: the stored snapshots of the raw history, as its catalogue lists them."""
+    root = _snapshots(t, "iam_policy_bindings_raw_history", "iam_policy_bindings_raw_history")
+    return cat.read_catalogue(t.spark, root, "iam_policy_bindings_raw_history").drop("version")
+
+
+@register("permissions_as_of_stored", """
+SELECT *, CAST(assessment_timestamp AS DATE) AS p_date FROM iam_policy_bindings_raw_history
+WHERE assessment_timestamp = (SELECT max(assessment_timestamp) FROM iam_policy_bindings_raw_history WHERE assessment_timestamp <= TIMESTAMP '1996-05-20 00:00:00')""")
+def q_permissions_as_of_stored(t):
+    """#34: who held what on 20 May 1996, from the stored history: the catalogue names the one day to read."""
+    root = _snapshots(t, "iam_policy_bindings_raw_history", "iam_policy_bindings_raw_history")
+    return cat.read_snapshot(t.spark, root, "iam_policy_bindings_raw_history", "1996-05-20 00:00:00")
+
+
+@register("latest_memberships_stored", """
+SELECT *, CAST(assessed_at AS DATE) AS p_date FROM google_group_membership_history
+WHERE assessed_at = (SELECT max(assessed_at) FROM google_group_membership_history)""")
+def q_latest_memberships_stored(t):
+    """#48: the newest stored membership snapshot, found through the catalogue."""
+    root = _snapshots(t, "google_group_membership_history", "google_group_membership_history")
+    return cat.read_snapshot(t.spark, root, "google_group_membership_history")
+
+
 @register("export_view", "SELECT principal_email, principal_name, principal_type, principal_status FROM principal_catalog")
 def q_export_view(t):
     """#16: a view exported as CSV and read back."""
@@ -96,14 +132,14 @@ def q_newest_history_per_cell(t):
 
 
 def _execute_sql() -> str:
-    ids = "(SELECT request_id FROM iam_access_requests WHERE status IN ('APPROVED', 'PENDING'))"
+    ids = "(SELECT request_id FROM gated_requests WHERE status IN ('APPROVED', 'PENDING'))"
     diff = DIFF_SQL[len("WITH RECURSIVE "):].replace("FROM iam_access_requests WHERE status = 'APPROVED')",
-                                                    "FROM iam_access_requests WHERE request_id IN (SELECT request_id FROM plan WHERE decision = 'EXECUTE'))")
+                                                    "FROM gated_requests WHERE request_id IN (SELECT request_id FROM plan WHERE decision = 'EXECUTE'))")
     digest = """
 d{n} AS (SELECT resource_name, sha256(CAST(to_json([role, member, COALESCE('=' || condition, '')]) AS VARCHAR)) AS digest FROM {rows}),
 p{n} AS (SELECT resource_name, sha256(string_agg(digest, '' ORDER BY digest)) AS part FROM d{n} GROUP BY resource_name, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % 1024),
 h{n} AS (SELECT resource_name, sha256(string_agg(part, '' ORDER BY part)) AS hash FROM p{n} GROUP BY resource_name)"""
-    return (EXEC_PLAN_SQL.format(ids=ids, req="iam_access_requests") + ",\n" + diff + """,
+    return (EXEC_PLAN_SQL.format(ids=ids, req="gated_requests") + ",\n" + diff + """,
 gate AS (""" + PLAN_SELECT + """),
 rest AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM final f WHERE f.cleared AND f.resource_name = b.resource_name AND f.role = b.role AND f.member = b.member)
   UNION ALL SELECT resource_name, role, member, CAST(NULL AS VARCHAR) FROM final f WHERE left_plain AND (cleared OR NOT EXISTS (
@@ -122,9 +158,9 @@ WHERE g.decision <> 'NOT_FOUND'""")
 @register("execute_approved", _execute_sql())
 def q_execute_approved(t):
     """Gate, policy diff and change-log rows for every approved or pending request, run as one batch."""
-    req = t["iam_access_requests"]
+    req = t["gated_requests"]
     ids = req.filter("status in ('APPROVED', 'PENDING')").select("request_id")
-    rows, _ = wf.execute_approved(req, ids, t["iam_access_change_log"], _scope(t), _diff(t)[1], AS_OF, RUN_ID)
+    rows, _ = wf.execute_approved(req, ids, t["iam_access_change_log"], _gate_scope(t), _diff(t)[1], AS_OF, RUN_ID, keep=t.keep)
     return rows
 
 

@@ -8,28 +8,34 @@ from ..streaming import alerts as st
 from .reconcile_views import RECONCILE_STATE_CTE, _reconcile
 from .registry import register
 from .report_views import IDS_SQL, REVIEW_SQL
-from .workflow_views import EXEC_PLAN_SQL, _scope
+from .workflow_views import EXEC_PLAN_SQL, _gate_scope
 
 
-@register("stream_history_ingest", "SELECT * FROM iam_access_request_history")
+@register("stream_history_ingest", """
+SELECT * FROM iam_access_request_history
+UNION ALL SELECT * REPLACE (CAST(NULL AS VARCHAR) AS history_id) FROM iam_access_request_history WHERE approver_email IS NULL""")
 def q_stream_history_ingest(t):
-    """#93: audit events re-sent by retries (every STATUS_CHANGED row twice) de-duplicated by history_id."""
+    """#93: audit events in two arrivals: all once with copies, then every status change again with a later time, and events without id."""
     hist = t["iam_access_request_history"]
-    resent = hist.unionByName(hist.filter(F.col("event_type") == "STATUS_CHANGED"))
-    _, stream = st.stage_as_files(resent, "history")
-    out = st._scratch(t.spark, "history-out")
-    st.stream_history_ingest(stream, out, st._scratch(t.spark, "history-ckpt"), available_now=True).awaitTermination()
-    return t.spark.read.parquet(out).select(*hist.columns)
+    nameless = hist.filter("approver_email is null").withColumn("history_id", F.lit(None).cast("string"))
+    changes = hist.filter(F.col("event_type") == "STATUS_CHANGED")
+    source, out, ckpt = (st._scratch(t.spark, f"history-{x}") for x in ("src", "out", "ckpt"))
+    for arrival in (hist.unionByName(changes), changes.withColumn("event_at", F.col("event_at") + F.expr("INTERVAL 3 DAYS")).unionByName(nameless)):
+        arrival.write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(hist.schema).parquet(source)
+        st.stream_history_ingest(stream, out, ckpt, available_now=True).awaitTermination()
+    return st.read_history(t.spark, out).select(*hist.columns)
 
 
-@register("stream_break_glass_alerts", EXEC_PLAN_SQL.format(ids="iam_access_requests", req="iam_access_requests") + """
+@register("stream_break_glass_alerts", EXEC_PLAN_SQL.format(ids="gated_requests", req="gated_requests") + """
 SELECT '[BREAK-GLASS]' AS marker, request_id, principal_email, role, resource_name, reason, requested_at
-FROM iam_access_requests WHERE strpos(reason, '[緊急]') > 0 AND request_id IN (SELECT request_id FROM plan WHERE decision = 'EXECUTE')""")
+FROM gated_requests WHERE strpos(reason, '[緊急]') > 0 AND request_id IN (SELECT request_id FROM plan WHERE decision = 'EXECUTE')""")
 def q_stream_break_glass_alerts(t):
     """#94: emergency requests that the gate lets run, from the request stream."""
-    _, stream = st.stage_as_files(t["iam_access_requests"], "breakglass")
+    _, stream = st.stage_as_files(t["gated_requests"], "breakglass")
     out = st._scratch(t.spark, "breakglass-out")
-    st.stream_break_glass_alerts(stream, lambda: (t["iam_access_change_log"], _scope(t)), out, st._scratch(t.spark, "breakglass-ckpt"),
+    scope = t.keep(_gate_scope(t))  # resolved once a collection, not once a micro-batch
+    st.stream_break_glass_alerts(stream, lambda: (t["iam_access_change_log"], scope), out, st._scratch(t.spark, "breakglass-ckpt"),
                                  available_now=True).awaitTermination()
     return t.spark.read.parquet(out).drop("epoch")
 

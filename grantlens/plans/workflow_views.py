@@ -74,6 +74,18 @@ def _scope(t):
     return sc.scope_check(_scope_resources(t), _inventory(t), target_org=TARGET_ORG)
 
 
+def _gate_scope(t):
+    """Scope verdicts for the gate: the resources of the gated requests but for those that nobody listed."""
+    listed = t["gated_requests"].select("resource_name").filter("resource_name is null or not startswith(resource_name, 'projects/unlisted-')")
+    return sc.scope_check(_scope_resources(t).unionByName(listed), _inventory(t), target_org=TARGET_ORG)
+
+
+GATE_SCOPE_SQL = SCOPE_SQL.replace("SELECT resource_name FROM iam_access_requests\n", """SELECT resource_name FROM iam_access_requests
+    UNION ALL
+    SELECT resource_name FROM gated_requests WHERE resource_name IS NULL OR NOT starts_with(resource_name, 'projects/unlisted-')
+""")
+
+
 @register("resolve_ancestors", ANCESTORS_SQL + " SELECT * FROM anc")
 def q_resolve_ancestors(t):
     """#50: organisation and depth of every node of the normalised inventory (pointer doubling)."""
@@ -192,18 +204,20 @@ def q_status_change_events(t):
     return wf.status_change_events(t["iam_access_requests"], _decisions(t), AS_OF)
 
 
-EXEC_PLAN_SQL = SCOPE_SQL + """,
+#: What is not known to be approved and in scope does not run.
+EXEC_PLAN_SQL = GATE_SCOPE_SQL + """,
 ids AS (SELECT DISTINCT trim(request_id) AS request_id FROM {ids} WHERE trim(request_id) <> ''),
 succ AS (SELECT request_id, bool_or(COALESCE(result = 'SUCCESS', FALSE)) AS has_success
          FROM iam_access_change_log WHERE request_id IN (SELECT request_id FROM ids) GROUP BY request_id),
 pj AS (
   SELECT i.request_id, r.request_id IS NOT NULL AS found, r.request_type, r.status, r.resource_name, r.reason,
-    s.scope_error, COALESCE(x.has_success, FALSE) AS has_success
+    CASE WHEN s.resource_name IS NULL AND s.scope_error IS NULL THEN 'scope is not known for resource: ' || COALESCE(r.resource_name, '')
+      ELSE s.scope_error END AS scope_error, COALESCE(x.has_success, FALSE) AS has_success
   FROM ids i LEFT JOIN {req} r ON i.request_id = r.request_id
-  LEFT JOIN scope s ON r.resource_name = s.resource_name
+  LEFT JOIN scope s ON r.resource_name IS NOT DISTINCT FROM s.resource_name
   LEFT JOIN succ x ON i.request_id = x.request_id),
 plan AS (
-  SELECT request_id, CASE WHEN NOT found THEN 'NOT_FOUND' WHEN status <> 'APPROVED' THEN 'STATUS_NOT_APPROVED'
+  SELECT request_id, CASE WHEN NOT found THEN 'NOT_FOUND' WHEN status IS DISTINCT FROM 'APPROVED' THEN 'STATUS_NOT_APPROVED'
       WHEN scope_error IS NOT NULL THEN 'OUT_OF_SCOPE' WHEN has_success THEN 'IDEMPOTENT_SKIP' ELSE 'EXECUTE' END AS decision,
     resource_name, reason, status, request_type, scope_error, found
   FROM pj)"""
@@ -212,7 +226,7 @@ PLAN_SELECT = """
 SELECT request_id, decision,
   CASE WHEN decision IN ('STATUS_NOT_APPROVED', 'IDEMPOTENT_SKIP') THEN 'SKIPPED' WHEN decision = 'OUT_OF_SCOPE' THEN 'FAILED' END AS result,
   CASE WHEN decision = 'OUT_OF_SCOPE' THEN 'OUT_OF_SCOPE' END AS error_code,
-  CASE WHEN decision = 'STATUS_NOT_APPROVED' THEN 'status is ' || status WHEN decision = 'IDEMPOTENT_SKIP' THEN 'already executed'
+  CASE WHEN decision = 'STATUS_NOT_APPROVED' THEN 'status is ' || COALESCE(status, '') WHEN decision = 'IDEMPOTENT_SKIP' THEN 'already executed'
        WHEN decision = 'OUT_OF_SCOPE' THEN scope_error END AS reason,
   CASE WHEN found THEN (CASE WHEN upper(COALESCE(request_type, '')) = 'REVOKE' THEN 'REVOKE' ELSE 'GRANT' END) END AS action,
   resource_name AS target,
@@ -222,11 +236,11 @@ FROM plan"""
 
 @register("execution_plan", EXEC_PLAN_SQL.format(
     ids="(SELECT request_id FROM review_updates WHERE upper(trim(status)) IN ('APPROVED', '承認済'))",
-    req="iam_access_requests") + PLAN_SELECT)
+    req="gated_requests") + PLAN_SELECT)
 def q_execution_plan(t):
     """#82: execution gate for the ids approved on the review sheet."""
     ids = wf.normalize_reviews(t["review_updates"], "submission_id").filter(F.col("status") == "APPROVED").select("request_id")
-    return wf.execution_plan(t["iam_access_requests"], ids, t["iam_access_change_log"], _scope(t))
+    return wf.execution_plan(t["gated_requests"], ids, t["iam_access_change_log"], _gate_scope(t))
 
 
 BINDINGS_SQL = """
@@ -376,16 +390,16 @@ def q_job_outcome_summary(t):
     return _revoke(t)["summary"]
 
 
-BULK_HEAD = REVIEW_DECISIONS_SQL.strip() + """,
-req_after AS (SELECT r.* REPLACE (COALESCE(d.status, r.status) AS status) FROM iam_access_requests r
+BULK_HEAD = REVIEW_DECISIONS_SQL.strip().replace("FROM ok LEFT JOIN iam_access_requests r", "FROM ok LEFT JOIN gated_requests r") + """,
+req_after AS (SELECT r.* REPLACE (COALESCE(d.status, r.status) AS status) FROM gated_requests r
               LEFT JOIN applied d ON r.request_id = d.request_id)"""
 
 
 def _bulk_sql() -> str:
-    scope_part = SCOPE_SQL[len("WITH RECURSIVE "):]
+    scope_part = GATE_SCOPE_SQL[len("WITH RECURSIVE "):]
     plan_part = EXEC_PLAN_SQL.format(
         ids="(SELECT request_id FROM dec WHERE outcome = 'UPDATED' AND status = 'APPROVED')",
-        req="req_after")[len(SCOPE_SQL):]
+        req="req_after")[len(GATE_SCOPE_SQL):]
     return ("WITH RECURSIVE " + BULK_HEAD.strip() + ",\n" + scope_part + plan_part + """
 SELECT request_id, status, FALSE AS succeeded, 'BATCH_REJECTED' AS error_code, batch_error AS error_message,
   CAST(NULL AS VARCHAR) AS execution_decision FROM nn WHERE batch_error IS NOT NULL
@@ -401,7 +415,7 @@ FROM dec d LEFT JOIN plan p ON d.request_id = p.request_id""")
 
 
 def _bulk(t):
-    return wf.bulk_review(t["review_updates"], t["iam_access_requests"], t["iam_access_change_log"], _scope(t), AS_OF)
+    return wf.bulk_review(t["review_updates"], t["gated_requests"], t["iam_access_change_log"], _gate_scope(t), AS_OF, keep=t.keep)
 
 
 @register("bulk_review", _bulk_sql())

@@ -38,19 +38,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset, a local master (tests) gets a new folder of its own; on
-    a cluster that folder would be local to the driver, so it is an error.
+    Where it is unset, a local master (tests) gets a new folder of its own,
+    which the context keeps for the session's life; on a cluster that folder
+    would be local to the driver, so it is an error.
     """
+    sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
         return configured
-    if not spark.sparkContext.master.startswith("local["):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
-    local = tempfile.mkdtemp(prefix="grantlens-ckpt-")
-    spark.conf.set(CHECKPOINT_CONF, local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="grantlens-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

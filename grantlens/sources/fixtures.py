@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import os
 import string
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
 from .sinks import path_exists
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
@@ -52,6 +54,15 @@ SELECT concat('req-', CAST(o_orderkey AS STRING)) AS request_id,
  o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 48 AS INT) AS updated_at
 FROM {{orders}}""",
 
+    "gated_requests": """
+SELECT request_id, request_group_id, request_type, principal_email,
+ CASE CAST(substr(request_id, 5) AS BIGINT) % 29 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'folders/7' WHEN 3 THEN 'projects/ '
+  WHEN 4 THEN concat('projects/unlisted-', substr(request_id, 5)) WHEN 5 THEN 'organizations/1' ELSE resource_name END AS resource_name,
+ role, reason, expires_at, requester_email, approver_email,
+ CASE WHEN CAST(substr(request_id, 5) AS BIGINT) % 31 = 30 THEN NULL ELSE status END AS status,
+ requested_at, approved_at, ticket_ref, created_at, updated_at
+FROM {iam_access_requests}""",
+
     "iam_policy_permissions": f"""
 SELECT 'organizations/1' AS scope, 'cloudresourcemanager.googleapis.com/Project' AS resource_type,
  concat('projects/p', CAST(o_custkey % 20 AS STRING)) AS resource_name,
@@ -217,6 +228,12 @@ class TableSet:
             self._cache[name] = self._build(name)
         return self._cache[name]
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written to the shared folder and read back: a step that several parts of a query take is run once."""
+        path = scratch_path(self.spark, f"kept-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return base_table(self.spark, self.sf_dir, name)

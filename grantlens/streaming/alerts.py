@@ -1,9 +1,9 @@
 """Structured Streaming jobs (#93-96).
 
 The transformations are plain DataFrame functions, so the same code runs on
-a streaming DataFrame (``readStream``) and on a batch one.  Audit events are
-compared with the stored table, so none is lost for being late; the reconcile
-alert is an aggregation whose state is one row per (day, issue type).
+a streaming DataFrame (``readStream``) and on a batch one.  The ids of audit
+events are keyed state without a watermark, so none is lost for being late; the
+reconcile alert is an aggregation whose state is one row per (day, issue type).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,39 +20,56 @@ from .. import constants as K
 from ..operators.reports import request_reflection_status
 from ..operators.workflow import execution_plan
 from ..session import checkpoint_dir
-from ..sources.sinks import path_exists
 
 ERROR_RESULTS = ["FAILED", "FAILED_PERMISSION"]
 
 
-def new_events(events: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """#93: one row per history_id, without those that ``stored`` has.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    No event is too late: the comparison is with the table, not with a watermark's state.  Of stored rows only
-    the event days that the batch touches are read (the table is partitioned by ``event_date``)."""
-    first = Window.partitionBy("history_id").orderBy("event_at", "request_id", "event_type")
-    rows = (events.withColumn("event_date", F.col("event_at").cast("date"))
-            .withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1).drop("_nth"))
-    if stored is None:
-        return rows
-    have = stored.select("event_date", "history_id")
-    return rows.join(have, (rows["event_date"].eqNullSafe(have["event_date"])) & (rows["history_id"] == have["history_id"]), "left_anti")
+
+def once_per_id(events: DataFrame) -> DataFrame:
+    """#93: the first event of each history_id, and every event without one.
+
+    On a stream the ids that were seen are keyed state without a watermark, so no event is too late and a re-sent
+    one is known whatever its time: a micro-batch looks up its own ids and reads nothing of the stored table.  Of
+    copies within one micro-batch any one is kept.  On a batch the same rule holds within it."""
+    named = events.filter(F.col("history_id").isNotNull()).dropDuplicates(["history_id"])
+    return named.unionByName(events.filter(F.col("history_id").isNull()))
 
 
 def stream_history_ingest(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """#93: append audit events once each to a date-partitioned table, however late they come.
+    """#93: append audit events once each to a table of day partitions, however late they come.
+
+    The ids live in a RocksDB state store under ``checkpoint``, on the executors' disks with their changes in the
+    shared folder, so the state may outgrow memory.  A micro-batch writes its own ``epoch=<n>`` folder by overwrite:
+    run again after a failure, it takes the same ids from the state's version and replaces its own rows, and
+    events without an id are not doubled either.  Read the table with :func:`read_history`."""
+    spark = stream.sparkSession
+    keep = [c for c in stream.columns if c not in ("event_date", "epoch")]
 
-    The table is read anew in each micro-batch, so a batch that is run again after a failure adds only
-    what the first try did not commit."""
     def append(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = batch.withColumn("event_date", F.lit(None).cast("date")).schema
-        stored = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
-        new_events(batch, stored).hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+        rows = batch.withColumn("event_date", F.col("event_at").cast("date")).hint("rebalance", "event_date")
+        rows.write.mode("overwrite").partitionBy("event_date").parquet(os.path.join(path, f"epoch={epoch_id}"))
 
-    w = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    w = once_per_id(stream.select(*keep)).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, ROCKSDB)  # a query takes its own copy of the settings when it starts
+    try:
+        return w.start()
+    finally:
+        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+
+
+def read_history(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """The ingested events with ``event_date`` (and ``epoch``); days outside the range are not read."""
+    rows = spark.read.parquet(path)
+    if first_day is not None:
+        rows = rows.filter(F.col("event_date") >= F.lit(first_day).cast("date"))
+    if last_day is not None:
+        rows = rows.filter(F.col("event_date") <= F.lit(last_day).cast("date"))
+    return rows
 
 
 def break_glass_alerts(requests: DataFrame, log: DataFrame, scope: DataFrame) -> DataFrame:
