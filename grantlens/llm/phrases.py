@@ -6,13 +6,15 @@ never extracted: ``f(w1 w2)`` is the sum of the windows that begin with
 ``w1 w2``, so one Spark ROLLUP over (lang, w1, ..., w_width) sums all prefixes,
 down to the words of a language.
 
-Windows are counted in two steps, since most of them are rare.  A map task
-counts a bounded number at a time and sends them, sorted and compressed, to the
-bucket of their hash; a bucket adds up equal windows.  One window is one row a
-flush, so the words that a third of all documents share do not make a large
-bucket.  There a longest window below ``min_count`` loses its last word (it is
-no candidate, and what remains still counts for its prefixes), which leaves
-fewer rows to the rollup and every sum of a candidate as it is.
+Most windows are rare, and a rare window matters to its prefixes only.  A map
+task counts a bounded number of windows at a time and sends them, sorted and
+compressed, to the bucket of their hash, where equal windows are added up.  One
+below ``min_count`` loses its last word there and goes on to the bucket of what
+is left, with as many rounds as windows have words; frequent ones travel along
+with their prefix, which then stays as it is.  The counts that remain are
+disjoint and sum to the same totals for every prefix of a candidate.  A window
+is one line a flush and a prefix one line a bucket, so the words that a third
+of all documents share do not make a large bucket.
 """
 
 from __future__ import annotations
@@ -42,31 +44,88 @@ def lead_windows(words: list[bytes], width: int):
     return zip(words, *(words[k:] + [b""] * min(k, len(words)) for k in range(1, width)))
 
 
+Counts = dict[str, dict[bytes, int]]
+
+
+def packed_lines(counts: Counts, frequent: dict[str, list[tuple[bytes, int]]], buckets: int, words: int):
+    """(bucket, lang, packed): lines by the bucket of their first ``words`` words: those that count 1, the others, and frequent ones."""
+    import zstandard
+
+    for lang in counts.keys() | frequent.keys():
+        salt = crc32(lang.encode())
+        ones, more, whole = defaultdict(list), defaultdict(list), defaultdict(list)
+        for line, n in counts.get(lang, {}).items():
+            (ones if n == 1 else more)[crc32(line, salt) % buckets].append(line if n == 1 else b"%b\t%d" % (line, n))
+        for line, n in frequent.get(lang, []):
+            whole[crc32(b" ".join(line.split(b" ")[:words]), salt) % buckets].append(b"%b\t%d" % (line, n))
+        for bucket in ones.keys() | more.keys() | whole.keys():
+            parts = [b"\n".join(sorted(part.get(bucket, []))) for part in (ones, more, whole)]
+            yield bucket, lang, zstandard.ZstdCompressor(level=3).compress(b"\n\n".join(parts))
+
+
+def added_up(batches) -> tuple[Counts, dict[str, dict[bytes, int]]]:
+    """The sums of the lines of a bucket by language, and the frequent longer windows that came along."""
+    import zstandard
+
+    sums, frequent = defaultdict(Counter), defaultdict(dict)
+    for batch in batches:
+        for lang, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
+            ones, more, whole = zstandard.ZstdDecompressor().decompress(blob.as_py()).split(b"\n\n")
+            mine = sums[lang]
+            mine.update(ones.split(b"\n") if ones else ())
+            for line in more.split(b"\n") if more else ():
+                window, _, n = line.partition(b"\t")
+                mine[window] += int(n)
+            for line in whole.split(b"\n") if whole else ():
+                window, _, n = line.partition(b"\t")
+                frequent[lang][window] = int(n)
+    return sums, frequent
+
+
+def shortened(sums: Counts, frequent: dict[str, dict[bytes, int]], words: int, min_count: int) -> tuple[Counts, dict[str, list[tuple[bytes, int]]]]:
+    """Windows of ``words`` words below ``min_count`` without their last word, and all frequent ones.
+
+    A window that ends with a pad is no phrase of that length; one that begins a longer frequent one stays."""
+    short, kept = {}, defaultdict(list)
+    for lang in list(sums):
+        longer = frequent.pop(lang, {})
+        kept[lang] += longer.items()
+        begun = {b" ".join(line.split(b" ")[:words]) for line in longer}
+        rest, mine = Counter(), sums.pop(lang)
+        cut = []
+        for line, n in mine.items():
+            if line in begun or (n >= min_count and line[-1:] != b" "):
+                kept[lang].append((line, n))
+            elif n == 1:
+                cut.append(line[:max(line.rfind(b" "), 0)])
+            else:
+                rest[line[:max(line.rfind(b" "), 0)]] += n
+        mine.clear()
+        rest.update(cut)
+        short[lang] = rest
+    for lang, longer in frequent.items():  # their prefixes have no windows of their own
+        kept[lang] += longer.items()
+    return short, kept
+
+
 def longest_windows(docs: DataFrame, width: int, min_count: int, flush_windows: int, bucket_bytes: int) -> DataFrame:
-    """(lang, w1, ..., w_width, n): disjoint counts of windows; see the module's text for those below ``min_count``."""
+    """(lang, w1, ..., w_width, n): disjoint counts of padded windows; those below ``min_count`` are shortened, a language's rare words to pads alone."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    buckets = max(1, -(-total // bucket_bytes))  # by size alone: a flush sends one row a bucket and language
     packed, packed_arrow = arrow_schema("bucket int, lang string, packed binary")
-    names = [f"w{k}" for k in range(1, width + 1)]
-    counted, counted_arrow = arrow_schema("lang string, " + ", ".join(f"{w} string" for w in names) + ", n long")
+    counted, counted_arrow = arrow_schema("lang string, " + ", ".join(f"w{k} string" for k in range(1, width + 1)) + ", n long")
 
-    def send(batches):
-        import zstandard
+    def batch_of(rows, schema) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    def send(batches):
         held: dict[str, Counter] = defaultdict(Counter)
 
         def flush():
-            rows = []
-            for lang, windows in held.items():
-                salt, dealt = crc32(lang.encode()), defaultdict(list)
-                for window, n in windows.items():
-                    line = b" ".join(window).rstrip(b" ")
-                    dealt[crc32(line, salt) % buckets].append(line if n == 1 else b"%b\t%d" % (line, n))
-                for bucket, lines in dealt.items():
-                    lines.sort()
-                    rows.append((bucket, lang, zstandard.ZstdCompressor(level=3).compress(b"\n".join(lines))))
+            lines = {lang: dict(zip(map(b" ".join, windows), windows.values())) for lang, windows in held.items()}
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), packed_arrow)], schema=packed_arrow)
+            return batch_of(packed_lines(lines, {}, buckets, width), packed_arrow)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -78,31 +137,25 @@ def longest_windows(docs: DataFrame, width: int, min_count: int, flush_windows:
         if held:
             yield flush()
 
-    def settle(batches):
-        import zstandard
+    def settle(words: int):
+        def run(batches):
+            yield batch_of(packed_lines(*shortened(*added_up(batches), words, min_count), buckets, words - 1), packed_arrow)
 
-        sums: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
-        for batch in batches:
-            for lang, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
-                mine = sums[lang]
-                for line in zstandard.ZstdDecompressor().decompress(blob.as_py()).split(b"\n"):
-                    window, _, n = line.partition(b"\t")
-                    mine[window] += int(n) if n else 1
-        for lang in list(sums):
-            kept: dict[bytes, int] = defaultdict(int)
-            for window, n in sums.pop(lang).items():
-                if n < min_count and window.count(b" ") == width - 1:
-                    window = window[:window.rindex(b" ")]
-                kept[window] += n
-            items = list(kept.items())
-            for i in range(0, len(items), 50_000):
-                part = items[i:i + 50_000]
-                words = [w + [b""] * (width - len(w)) for w in (k.split(b" ") for k, _ in part)]
-                columns = [pa.array([x.decode("utf-8", "replace") for x in c], pa.string()) for c in zip(*words)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *columns, pa.array([n for _, n in part], pa.int64())], schema=counted_arrow)
+        return run
+
+    def last(batches):
+        rest, kept = shortened(*added_up(batches), 1, min_count)
+        for lang in rest.keys() | kept.keys():
+            lines = kept.get(lang, []) + ([(b"", n)] if (n := sum(rest.get(lang, {}).values())) else [])
+            for i in range(0, len(lines), 50_000):
+                rows = [(lang, *(w.decode("utf-8", "replace") for w in (line.split(b" ") + [b""] * width)[:width]), n) for line, n in lines[i:i + 50_000]]
+                yield batch_of(rows, counted_arrow)
 
     rows = docs.where("text is not null").mapInArrow(send, packed)
-    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(settle, counted)
+    for words in range(width, 0, -1):
+        run, schema = (settle(words), packed) if words > 1 else (last, counted)
+        rows = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run, schema)
+    return rows
 
 
 def phrase_counts(windows: DataFrame, width: int, min_count: int) -> DataFrame:
