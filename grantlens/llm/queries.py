@@ -154,5 +154,40 @@ QUALIFY rank <= 2000
 """
 
 
+def _op11_sql(levels: int = 9, outer: int = 4) -> str:
+    """Trees of up to 8**levels leaves a lang and 8**outer langs, a level each time as a table; DuckDB has no CRC-32, so it is spelt out."""
+    value = "CASE WHEN {c} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
+    fields = " || ".join(value.format(c=c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = ("xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),"
+           " lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)")
+    sql = [f"""WITH shown AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {lower} ELSE text END AS seen FROM documents),
+leaf AS (SELECT doc_id, lang, sha256({fields} || {value.format(c='text')}) AS leaf, sha256({fields} || {value.format(c='seen')}) AS shown FROM shown),
+t0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+n0 AS (SELECT lang, pos, n, leaf AS node FROM t0), f0 AS (SELECT doc_id, lang, leaf, pos, shown AS node, '' AS proof FROM t0)"""]
+
+    def level(k: int, nodes: str, folded: str, key: str) -> str:
+        part = f"{key}, pos // 8"
+        run = f"OVER (PARTITION BY {part} ORDER BY pos ROWS BETWEEN {{}})"
+        return f"""{nodes}{k + 1} AS (SELECT {part} AS pos, max((n + 7) // 8) AS n, CASE WHEN max(n) = 1 THEN min(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node
+  FROM {nodes}{k} GROUP BY {part}),
+s_{nodes}{k} AS (SELECT {key}, pos, n, coalesce(string_agg(node, '') {run.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') AS l,
+  coalesce(string_agg(node, '') {run.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') AS r FROM {nodes}{k}),
+{folded}{k + 1} AS (SELECT f.* REPLACE (f.pos // 8 AS pos, CASE WHEN s.n = 1 THEN f.node ELSE sha256(s.l || f.node || s.r) END AS node, f.proof || s.l || s.r AS proof)
+  FROM {folded}{k} f JOIN s_{nodes}{k} s ON s.{key} IS NOT DISTINCT FROM f.{key} AND s.pos = f.pos)"""
+
+    sql += [level(k, "n", "f", "lang") for k in range(levels)]
+    sql.append(f"""langs AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM n{levels}),
+m0 AS (SELECT 0 AS tree, pos, n, subroot AS node FROM langs),
+g0 AS (SELECT f.doc_id, f.leaf, l.subroot, 0 AS tree, l.pos, f.node, f.proof FROM f{levels} f JOIN langs l ON l.lang IS NOT DISTINCT FROM f.lang)""")
+    sql += [level(k, "m", "g", "tree") for k in range(outer)]
+    return ",\n".join(sql) + f"""
+SELECT g.doc_id, g.leaf, g.subroot, r.node AS root, sha256(g.proof) AS proof_sha256, g.node AS folded_root, g.node = r.node AS verified,
+  CAST(length(g.proof) // 64 AS BIGINT) AS n_siblings FROM g{outer} g, m{outer} r"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op13_collocations": OP13_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op13_collocations": OP13_SQL}
