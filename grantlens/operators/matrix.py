@@ -9,22 +9,30 @@ matrices with more roles than a table should have columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .latest import newest_per_key
 
+
 def role_values(history: DataFrame, col: str = "iam_role") -> list[str]:
     """Sorted distinct non-empty role ids (bounded by the number of roles, not of rows)."""
     distinct = history.select(col).filter(F.col(col).isNotNull() & (F.col(col) != "")).distinct()
     return sorted(r[0] for r in distinct.collect())
 
 
-def _pivot(df: DataFrame, keys: list[str], col: str, values: Sequence[str], cell: Callable[[Column], Column]) -> DataFrame:
-    """One aggregate per listed value; unlike ``pivot`` without a limit on their number."""
-    return df.groupBy(*keys).agg(*(cell(F.col(col) == v).alias(v) for v in values))
+def _pivot(df: DataFrame, keys: list[str], col: str, values: Sequence[str], cell: Column, blank: Column | None = None) -> DataFrame:
+    """Cells by (keys, value) first, then one map a row from which the columns are read.
+
+    The work per input row does not depend on the number of values, and both aggregates combine before they
+    shuffle, so a key or value of many rows is folded where it is read."""
+    cells = df.groupBy(*keys, col).agg(cell.alias("cell"))
+    entries = F.collect_list(F.when(F.col(col).isNotNull(), F.struct(col, "cell")))
+    rows = cells.groupBy(*keys).agg(F.map_from_entries(entries).alias("cells"))
+    read = [F.try_element_at("cells", F.lit(v)) for v in values]
+    return rows.select(*keys, *((F.coalesce(c, blank) if blank is not None else c).alias(v) for c, v in zip(read, values)))
 
 
 def role_column_list(history: DataFrame, col: str = "iam_role") -> DataFrame:
@@ -60,8 +68,7 @@ def permission_matrix_status(history: DataFrame, roles: Sequence[str] | None = N
     if not roles:
         return newest.groupBy("resource_name", "resource_id", "principal", "principal_type").agg(
             F.lit(None).cast("string").alias("NO_ROLE"))
-    return _pivot(newest, ["resource_name", "resource_id", "principal", "principal_type"], "iam_role", roles,
-                  lambda here: F.max(F.when(here, F.col("status"))))
+    return _pivot(newest, ["resource_name", "resource_id", "principal", "principal_type"], "iam_role", roles, F.max("status"))
 
 
 def permission_matrix_count(history: DataFrame, roles: Sequence[str] | None = None,
@@ -79,5 +86,4 @@ def permission_matrix_count(history: DataFrame, roles: Sequence[str] | None = No
         roles = role_values(src, "role_short")
     else:
         roles = sorted({r[len("roles/"):] if r.startswith("roles/") else r for r in roles})
-    return _pivot(src, ["principal", "resource_id"], "role_short", roles,
-                  lambda here: F.count(F.when(here & (F.col("principal") != ""), F.lit(1))))
+    return _pivot(src, ["principal", "resource_id"], "role_short", roles, F.count(F.when(F.col("principal") != "", F.lit(1))), F.lit(0).cast("long"))

@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import datetime as _dt
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ts
-from ..operators import ingest, masters, reconcile, reports, snapshots, workflow
+from ..operators import ingest, intervals, masters, reconcile, reports, snapshots, workflow
 from ..session import scratch_path
-from ..sources import sinks
+from ..sources import catalogue, sinks
 from ..sources.fixtures import TableSet
 
 SEED_TABLES = {
@@ -48,8 +50,13 @@ def run_daily(spark: SparkSession, root: str, as_of: str | _dt.datetime, run_id:
     """Run one day; returns per-step row counts.
 
     Safe to run again with the same ``run_id`` after a failure: appends leave
-    out rows whose keys the table has, replaces make a new version.
+    out rows whose keys the table has (of the run's day only: every row that a
+    run appends has its time), replaces make a new version.  Each job writes
+    one report: SUCCESS with its counts, or FAILED / FAILED_PERMISSION with a
+    hint (#91) before the error is raised.
     """
+    day = {"p_date": str(as_of)[:10]}
+
     def cur(name: str) -> DataFrame:
         return sinks.read_current(spark, root, name)
 
@@ -64,58 +71,84 @@ def run_daily(spark: SparkSession, root: str, as_of: str | _dt.datetime, run_id:
         """One job report per step (#13)."""
         row = spark.createDataFrame([(f"{run_id}-{job}", job, "SUCCESS", numbers)], "execution_id string, job_type string, result string, counts map<string,long>")
         row = sinks.prepare_job_report(row.withColumn("occurred_at", ts(as_of)))
-        sinks.append_new(row, root, "iam_pipeline_job_reports", ["execution_id", "job_type"])
+        sinks.append_new(row, root, "iam_pipeline_job_reports", ["execution_id", "job_type", "result"], **day)
+
+    @contextmanager
+    def job(name: str) -> Iterator[None]:
+        """Report the failure of a job, then let it end the run."""
+        try:
+            yield
+        except Exception as e:
+            status = getattr(e, "http_status", None)
+            error = spark.createDataFrame([(f"{run_id}-{name}", name, type(e).__name__, status)], "execution_id string, job_type string, error_class string, http_status int")
+            row = workflow.classify_job_failure(error).select(
+                "execution_id", "job_type", "result", F.lit("{}").alias("counts"), F.col("error_class").alias("error_code"), "hint", ts(as_of).alias("occurred_at"))
+            sinks.write_table(row, root, "iam_pipeline_job_reports")
+            raise
 
     # 1. revoke expired grants: decided once, then logged, then applied
-    req, perm = cur("iam_access_requests"), cur("iam_policy_permissions")
-    rev = workflow.revoke_expired(req, perm, workflow.binding_rows(perm), as_of, f"{run_id}-revoke", keep)
-    counts["revoke_log"] = sinks.append_new(rev["log"], root, "iam_access_change_log", ["request_id"], execution_id=f"{run_id}-revoke")
-    counts["revoke_history"] = sinks.append_new(sinks.prepare_history_events(rev["history"]), root, "iam_access_request_history", ["history_id"])
-    counts["requests"] = sinks.replace_snapshot(rev["requests"], root, "iam_access_requests")
-    report("EXPIRED_PERMISSION_REVOCATION", logged=counts["revoke_log"])
+    with job("EXPIRED_PERMISSION_REVOCATION"):
+        req, perm = cur("iam_access_requests"), cur("iam_policy_permissions")
+        rev = workflow.revoke_expired(req, perm, workflow.binding_rows(perm), as_of, f"{run_id}-revoke", keep)
+        counts["revoke_log"] = sinks.append_new(rev["log"], root, "iam_access_change_log", ["request_id"], execution_id=f"{run_id}-revoke", **day)
+        counts["revoke_history"] = sinks.append_new(sinks.prepare_history_events(rev["history"]), root, "iam_access_request_history", ["history_id"], **day)
+        counts["requests"] = sinks.replace_snapshot(rev["requests"], root, "iam_access_requests")
+        report("EXPIRED_PERMISSION_REVOCATION", logged=counts["revoke_log"])
 
     # 2. collect: bindings (full replace), inventory, memberships, principals
-    flat = ingest.flatten_policy_bindings(policy_docs, f"{run_id}-iam", as_of, scope)
-    counts["permissions"] = sinks.replace_permissions_snapshot(flat.drop("execution_id"), root)
-    report("IAM_POLICY_COLLECTION", bindings=counts["permissions"])
-    inv = ingest.normalize_resource_inventory(asset_rows, f"{run_id}-res", as_of, scope)
-    counts["inventory"] = sinks.append_new(inv, root, "gcp_resource_inventory_history", ["resource_id"], execution_id=f"{run_id}-res")
-    report("RESOURCE_COLLECTION", resources=counts["inventory"])
-    if group_docs is not None:
-        members = ingest.stamp_snapshot(ingest.flatten_group_memberships(group_docs), f"{run_id}-grp", as_of, "assessed_at")
-        counts["memberships"] = sinks.append_new(members, root, "google_group_membership_history", ["group_email", "member_email"], execution_id=f"{run_id}-grp")
-    catalog = masters.merge_principals(cur("principal_catalog"), masters.dedupe_principals(principals), as_of,
-                                       complete=collection_complete)
-    counts["principal_catalog"] = sinks.replace_snapshot(catalog.drop("affected"), root, "principal_catalog")
-    report("PRINCIPAL_COLLECTION", principals=counts["principal_catalog"])
+    with job("IAM_POLICY_COLLECTION"):
+        flat = ingest.flatten_policy_bindings(policy_docs, f"{run_id}-iam", as_of, scope)
+        counts["permissions"] = sinks.replace_permissions_snapshot(flat.drop("execution_id"), root)
+        report("IAM_POLICY_COLLECTION", bindings=counts["permissions"])
+
+    with job("RESOURCE_COLLECTION"):
+        inv = ingest.normalize_resource_inventory(asset_rows, f"{run_id}-res", as_of, scope)
+        counts["inventory"] = catalogue.append_snapshot(inv, root, "gcp_resource_inventory_history", ["resource_id"], execution_id=f"{run_id}-res", **day)
+        report("RESOURCE_COLLECTION", resources=counts["inventory"])
+
+    with job("PRINCIPAL_COLLECTION"):
+        if group_docs is not None:
+            members = ingest.stamp_snapshot(ingest.flatten_group_memberships(group_docs), f"{run_id}-grp", as_of, "assessed_at")
+            counts["memberships"] = catalogue.append_snapshot(members, root, "google_group_membership_history", ["group_email", "member_email"], execution_id=f"{run_id}-grp", **day)
+        catalog = masters.merge_principals(cur("principal_catalog"), masters.dedupe_principals(principals), as_of,
+                                           complete=collection_complete)
+        counts["principal_catalog"] = sinks.replace_snapshot(catalog.drop("affected"), root, "principal_catalog")
+        report("PRINCIPAL_COLLECTION", principals=counts["principal_catalog"])
 
     # 3. reconcile against the fresh snapshot: close what is gone, append what is not already OPEN
-    req, perm = cur("iam_access_requests"), cur("iam_policy_permissions")
-    detected = keep(reconcile.reconcile(req, perm, as_of))
-    counts["issues_detected"] = detected.count()
-    if sinks.table_exists(spark, root, "iam_reconciliation_issues"):
-        existing = keep(reconcile.resolve_stale_issues(cur("iam_reconciliation_issues").drop("resolved_at", "p_date"), detected, as_of))
-        counts["issues_closed"] = existing.filter(F.col("resolved_at").isNotNull()).count()
-        new = reconcile.reconcile_new_only(detected, existing)
-        everything = existing.unionByName(new.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")))
-        counts["issues"] = sinks.replace_snapshot(everything, root, "iam_reconciliation_issues") - existing.count()
-    else:
-        counts["issues_closed"] = 0
-        counts["issues"] = sinks.write_table(detected.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")), root, "iam_reconciliation_issues")
-    report("IAM_RECONCILIATION", detected=counts["issues_detected"], appended=counts["issues"], closed=counts["issues_closed"])
+    with job("IAM_RECONCILIATION"):
+        req, perm = cur("iam_access_requests"), cur("iam_policy_permissions")
+        detected = keep(reconcile.reconcile(req, perm, as_of))
+        counts["issues_detected"] = detected.count()
+        if sinks.table_exists(spark, root, "iam_reconciliation_issues"):
+            existing = keep(reconcile.resolve_stale_issues(cur("iam_reconciliation_issues").drop("resolved_at", "p_date"), detected, as_of))
+            counts["issues_closed"] = existing.filter(F.col("resolved_at").isNotNull()).count()
+            new = reconcile.reconcile_new_only(detected, existing)
+            everything = existing.unionByName(new.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")))
+            counts["issues"] = sinks.replace_snapshot(everything, root, "iam_reconciliation_issues") - existing.count()
+        else:
+            counts["issues_closed"] = 0
+            counts["issues"] = sinks.write_table(detected.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")), root, "iam_reconciliation_issues")
+        report("IAM_RECONCILIATION", detected=counts["issues_detected"], appended=counts["issues"], closed=counts["issues_closed"])
 
     # 4. history: raw archive + enriched snapshot
-    triple = ["principal_email", "resource_name"]
-    counts["raw_history"] = sinks.append_new(snapshots.archive_raw_bindings(perm, f"{run_id}-raw", as_of), root,
-                                             "iam_policy_bindings_raw_history", [*triple, "role"], execution_id=f"{run_id}-raw")
-    snap = snapshots.bindings_history_snapshot(perm, req, cur("iam_status_master"), f"{run_id}-hist", as_of)
-    counts["bindings_history"] = sinks.append_new(snap, root, "iam_permission_bindings_history", [*triple, "iam_role"], execution_id=f"{run_id}-hist")
+    with job("IAM_BINDINGS_HISTORY_UPDATE"):
+        triple = ["principal_email", "resource_name"]
+        counts["raw_history"] = catalogue.append_snapshot(snapshots.archive_raw_bindings(perm, f"{run_id}-raw", as_of), root,
+                                                 "iam_policy_bindings_raw_history", [*triple, "role"], execution_id=f"{run_id}-raw", **day)
+        snap = snapshots.bindings_history_snapshot(perm, req, cur("iam_status_master"), f"{run_id}-hist", as_of)
+        counts["bindings_history"] = catalogue.append_snapshot(snap, root, "iam_permission_bindings_history", [*triple, "iam_role"], execution_id=f"{run_id}-hist", **day)
+        folded = intervals.store_snapshot(spark, root, perm, as_of)
+        counts["intervals_closed"], counts["intervals_open"] = folded["closed"], folded["open"]
+        report("IAM_BINDINGS_HISTORY_UPDATE", raw=counts["raw_history"], enriched=counts["bindings_history"])
 
     # 5. role discovery
-    role_master = cur("iam_role_master")
-    new_roles = masters.register_roles(reports.unknown_roles(perm, role_master), translations, as_of)
-    merged = role_master.unionByName(new_roles, allowMissingColumns=True)
-    counts["roles_added"] = sinks.replace_snapshot(merged, root, "iam_role_master") - role_master.count()
+    with job("IAM_ROLE_DISCOVERY"):
+        role_master = cur("iam_role_master")
+        new_roles = masters.register_roles(reports.unknown_roles(perm, role_master), translations, as_of)
+        merged = role_master.unionByName(new_roles, allowMissingColumns=True)
+        counts["roles_added"] = sinks.replace_snapshot(merged, root, "iam_role_master") - role_master.count()
+        report("IAM_ROLE_DISCOVERY", added=counts["roles_added"])
     return counts
 
 

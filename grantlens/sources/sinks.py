@@ -45,6 +45,7 @@ TABLE_LAYOUT: dict[str, tuple[str, list[str]]] = {
     "iam_pipeline_job_reports": ("occurred_at", ["job_type", "result"]),
     "gcp_resource_inventory_history": ("assessed_at", ["resource_type", "resource_id"]),
     "google_group_membership_history": ("assessed_at", ["group_email", "member_email"]),
+    "iam_binding_intervals_closed": ("valid_to", ["principal_email", "resource_name", "role"]),
 }
 
 
@@ -131,12 +132,14 @@ def write_table(df: DataFrame, root: str, table: str) -> int:
 def append_new(df: DataFrame, root: str, table: str, keys: Sequence[str], **same: str) -> int:
     """Append the rows whose ``keys`` the table lacks, so a job that is run again adds nothing twice.
 
-    ``same`` are column values that all rows share (an execution id, say): only stored rows with them are compared."""
+    ``same`` are column values that all rows share (an execution id, say, or with ``p_date`` their day): only
+    stored rows with them are compared, and with ``p_date`` only that day's folder is read."""
     spark = df.sparkSession
     if table_exists(spark, root, table):
         have = read_current(spark, root, table)
         for column, value in same.items():
-            have = have.where(F.col(column) == value)
+            if column != "p_date" or column in have.columns:
+                have = have.where(F.col(column) == F.lit(value).cast(have.schema[column].dataType))
         have = have.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
         match = F.lit(True)
         for k in keys:

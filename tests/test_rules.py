@@ -119,6 +119,25 @@ def test_execution_gate(spark):
                    "missing": ("NOT_FOUND", None, False)}
 
 
+def test_the_gate_opens_for_known_resources_only(spark):
+    cols = "request_id string, request_type string, status string, resource_name string, reason string, principal_email string, role string"
+    names = {"in": "projects/p1", "null": None, "blank": "", "folder": "folders/1", "org": "organizations/1", "bare": "projects/",
+             "unlisted": "projects/p9", "twice": "projects/p2"}
+    rows = [(k, "GRANT", "APPROVED", v, "[緊急] x", "a@x", "roles/viewer") for k, v in names.items()]
+    req = spark.createDataFrame(rows + [("nostatus", "GRANT", None, "projects/p1", "x", "a@x", "roles/viewer")], cols)
+    log = spark.createDataFrame([], "request_id string, result string")
+    listed = sc.scope_check(req.filter("request_id not in ('unlisted', 'twice')"), target_project="p1")
+    listed = listed.unionByName(spark.createDataFrame([("projects/p2", True, None), ("projects/p2", False, "no"), ("projects/p8", True, None)], listed.schema))
+    got = {r.request_id: r for r in wf.execution_plan(req, req.select("request_id"), log, listed).collect()}
+    assert {k for k, r in got.items() if r.decision == "EXECUTE"} == {"in"}
+    assert got["nostatus"].decision == "STATUS_NOT_APPROVED" and got["nostatus"].reason == "status is "
+    refused = [k for k in names if k != "in"]
+    assert {(got[k].decision, got[k].result, got[k].error_code, got[k].break_glass) for k in refused} == {("OUT_OF_SCOPE", "FAILED", "OUT_OF_SCOPE", False)}
+    assert all(got[k].reason for k in refused) and got["unlisted"].reason.endswith("projects/p9") and got["twice"].reason == "no"
+    nothing = wf.execution_plan(req, req.select("request_id"), log, listed.limit(0))
+    assert nothing.filter("decision = 'EXECUTE'").isEmpty()
+
+
 def test_policy_diff_replays_changes_in_order(spark):
     b = spark.createDataFrame([("projects/p1", "roles/viewer", "user:a@x", None),
                                ("projects/p1", "roles/viewer", "user:c@x", "cond"),

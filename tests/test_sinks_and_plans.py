@@ -2,12 +2,15 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from grantlens.functions.columns import TRIPLE
+
 from grantlens.operators import reconcile as rc
 from grantlens.operators import reports
 from grantlens.plans import daily
-from grantlens.sources import sinks
+from grantlens.sources import catalogue, sinks
 
 from .conftest import SF_SMALL
 
@@ -47,8 +50,6 @@ def test_replace_then_append_keeps_rows_and_layout(spark, tables, tmp_path):
 
 
 def test_missing_table_is_an_error(spark, tmp_path):
-    import pytest
-
     with pytest.raises(FileNotFoundError):
         sinks.read_current(spark, str(tmp_path), "iam_access_requests")
 
@@ -67,7 +68,7 @@ def test_export_placeholder(spark, tmp_path):
     assert spark.read.option("header", True).csv(path).collect()[0]["a"] == "(no rows)"
 
 
-def test_run_daily(spark, tables, tmp_path):
+def test_run_daily(spark, tables, tmp_path, monkeypatch):
     root = str(tmp_path)
     recent = {"iam_access_requests": "requested_at >= '1998-06-20'", "iam_access_change_log": "executed_at >= '1998-11-01'",
               "iam_access_request_history": "event_at >= '1998-07-25'"}
@@ -82,7 +83,23 @@ def test_run_daily(spark, tables, tmp_path):
     again = daily.run_daily(spark, root, AS_OF, "run1", **daily.demo_inputs(spark, SF_SMALL))
     assert [again[k] for k in ("revoke_log", "revoke_history", "inventory", "memberships", "raw_history", "bindings_history", "issues")] == [0] * 7
     assert again["roles_added"] == 0 and again["issues_detected"] == counts["issues"]
-    assert sinks.read_current(spark, root, "iam_pipeline_job_reports").count() == 5
+    jobs = sinks.read_current(spark, root, "iam_pipeline_job_reports")
+    assert jobs.count() == 7 and jobs.filter("result <> 'SUCCESS'").isEmpty()
+    assert counts["intervals_open"] == sinks.read_current(spark, root, "iam_policy_permissions").select(*TRIPLE).distinct().count()
+    assert catalogue.read_snapshot(spark, root, "iam_policy_bindings_raw_history").count() == counts["permissions"]
+
+    # a job that fails leaves a report with a hint, and the run ends there
+    class GcpPermissionDenied(Exception):
+        pass
+
+    def refuse(*args, **kwargs):
+        raise GcpPermissionDenied("403")
+
+    monkeypatch.setattr(daily.ingest, "normalize_resource_inventory", refuse)
+    with pytest.raises(GcpPermissionDenied):
+        daily.run_daily(spark, root, "2001-08-03 00:00:00", "run2", **daily.demo_inputs(spark, SF_SMALL))
+    failed = sinks.read_current(spark, root, "iam_pipeline_job_reports").filter("result <> 'SUCCESS'").collect()
+    assert [(r.execution_id, r.job_type, r.result) for r in failed] == [("run2-RESOURCE_COLLECTION", "RESOURCE_COLLECTION", "FAILED_PERMISSION")]
 
 
 def test_reconcile_plan_has_no_join(spark, tmp_path):
