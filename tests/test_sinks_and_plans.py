@@ -95,11 +95,11 @@ def test_run_daily(spark, tables, tmp_path, monkeypatch):
     def refuse(*args, **kwargs):
         raise GcpPermissionDenied("403")
 
-    monkeypatch.setattr(daily.ingest, "normalize_resource_inventory", refuse)
+    monkeypatch.setattr(daily.workflow, "revoke_expired", refuse)
     with pytest.raises(GcpPermissionDenied):
         daily.run_daily(spark, root, "2001-08-03 00:00:00", "run2", **daily.demo_inputs(spark, SF_SMALL))
     failed = sinks.read_current(spark, root, "iam_pipeline_job_reports").filter("result <> 'SUCCESS'").collect()
-    assert [(r.execution_id, r.job_type, r.result) for r in failed] == [("run2-RESOURCE_COLLECTION", "RESOURCE_COLLECTION", "FAILED_PERMISSION")]
+    assert [(r.execution_id, r.job_type, r.result) for r in failed] == [("run2-EXPIRED_PERMISSION_REVOCATION", "EXPIRED_PERMISSION_REVOCATION", "FAILED_PERMISSION")]
 
 
 def test_reconcile_plan_has_no_join(spark, tmp_path):
