@@ -25,7 +25,7 @@ MAX_HEAVY, TRACKED = 64, 4096
 SMALL_BYTES = 256 << 20
 
 
-def _source_bytes(df: DataFrame) -> int:
+def source_bytes(df: DataFrame) -> int:
     """Size of the tables that ``df`` reads (an estimate of ``df`` itself multiplies the sides of every join)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
@@ -52,7 +52,7 @@ def split_join(bag: DataFrame, context: DataFrame, keys: Sequence[str], how: str
     Column order is that of the plain join: keys, other columns of ``bag``, other columns of ``context``."""
     if how not in ("left", "inner"):
         raise ValueError(f"split_join keeps the rows of its left side: {how}")
-    if _source_bytes(bag) < small_bytes:
+    if source_bytes(bag) < small_bytes:
         return bag.join(context, list(keys), how)
     partitions = int(bag.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heavy = heavy_keys(bag, keys, partitions)

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import member_identifier, normalize_action, stable_id, ts
+from .digests import LANES, lane_hash, lane_sums, policy_fingerprint, policy_states, with_lanes  # noqa: F401
 from .latest import has_success_execution
+from .prefix import before
 from .reconcile import expired_grants
+from .skew import SMALL_BYTES, split_join
 
 SYSTEM_BATCH = "SYSTEM_BATCH"
 
@@ -203,7 +206,37 @@ def execution_plan(req: DataFrame, ids: DataFrame, log: DataFrame, scope: DataFr
                                F.lit(False)).alias("break_glass"))
 
 
-def policy_diff(bindings: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+POLICY_KEY = ["resource_name", "role", "member"]
+CHANGE_ORDER = ["_at", "request_id", "action"]
+
+
+def _changes(changes: DataFrame) -> DataFrame:
+    at = F.col("approved_at") if "approved_at" in changes.columns else F.lit(None).cast("timestamp_ntz")
+    return changes.select("request_id", at.alias("_at"), normalize_action(F.coalesce(F.col("action"), F.lit(""))).alias("action"),
+                          "resource_name", "role", member_identifier(F.col("principal_email")).alias("member"))
+
+
+def policy_replay(bindings: DataFrame, changes: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Each change with what it finds: ``plain`` (the unconditioned binding is there), ``first_revoke`` (no change
+    before it has removed the snapshot's conditioned bindings) and ``changed``.
+
+    A change is a function on (plain, conditioned): GRANT sets plain, REVOKE
+    clears both.  Such functions compose, and of any stretch only the last
+    action and whether it revokes count, so a key with many changes is cut
+    into segments (:func:`grantlens.operators.prefix.before`)."""
+    state = bindings.groupBy(*POLICY_KEY).agg(F.bool_or(F.col("condition").isNull()).alias("_plain"), F.lit(True).alias("_any"))
+    ch = _changes(changes).withColumn("_revokes", (F.col("action") == K.REVOKE).cast("long"))
+    j = split_join(before(ch, POLICY_KEY, CHANGE_ORDER, last=["action"], sums=["_revokes"], small_bytes=small_bytes), state, POLICY_KEY, small_bytes=small_bytes)
+    first = F.col("action_before").isNull()
+    after_grant = F.col("action_before") == K.GRANT
+    plain = F.when(first, F.coalesce("_plain", F.lit(False))).otherwise(after_grant)
+    some = F.when(first, F.coalesce("_any", F.lit(False))).otherwise(after_grant)
+    return j.select("request_id", "_at", "action", *POLICY_KEY, plain.alias("plain"),
+                    ((F.col("action") == K.REVOKE) & (F.col("_revokes_before") == 0)).alias("first_revoke"),
+                    F.when(F.col("action") == K.GRANT, ~plain).otherwise(some).alias("changed"))
+
+
+def policy_diff(bindings: DataFrame, changes: DataFrame, small_bytes: int = SMALL_BYTES) -> tuple[DataFrame, DataFrame]:
     """#83: apply GRANT/REVOKE changes one after the other, per change -> SUCCESS / SKIPPED.
 
     ``bindings``: resource_name, role, member, condition (NULL = unconditioned).
@@ -211,88 +244,96 @@ def policy_diff(bindings: DataFrame, changes: DataFrame) -> tuple[DataFrame, Dat
     optionally approved_at; they run in the order (approved_at, request_id).
     GRANT only looks at the unconditioned binding; REVOKE removes the member
     from every binding of the role, conditioned or not.  What a change finds
-    is what the change before it on the same (resource, role, member) left:
-    after a GRANT the plain binding is there, after a REVOKE none is; only the
-    first change looks at the snapshot.  Returns (new_bindings, results).
+    is what the changes before it on the same (resource, role, member) left
+    (:func:`policy_replay`).  Returns (new_bindings, results).
     """
-    key = ["resource_name", "role", "member"]
-    at = F.col("approved_at") if "approved_at" in changes.columns else F.lit(None).cast("timestamp_ntz")
-    ch = changes.select("request_id", at.alias("_at"), normalize_action(F.coalesce(F.col("action"), F.lit(""))).alias("action"),
-                        "resource_name", "role", member_identifier(F.col("principal_email")).alias("member"))
-    state = bindings.groupBy(*key).agg(F.bool_or(F.col("condition").isNull()).alias("_plain"), F.lit(True).alias("_any"))
-    order = Window.partitionBy(*key).orderBy(F.col("_at").asc_nulls_first(), "request_id")
-    j = ch.withColumn("_before", F.lag("action").over(order)).withColumn("_after", F.lead("action").over(order)).join(state, key, "left")
-    first = F.col("_before").isNull()
-    plain = F.when(first, F.coalesce("_plain", F.lit(False))).otherwise(F.col("_before") == K.GRANT)
-    some = F.when(first, F.coalesce("_any", F.lit(False))).otherwise(F.col("_before") == K.GRANT)
-    changed = F.when(F.col("action") == K.GRANT, ~plain).otherwise((F.col("action") == K.REVOKE) & some)
-    j = j.withColumn("changed", changed)
+    j = policy_replay(bindings, changes, small_bytes)
     results = j.select("request_id", "action", F.col("resource_name").alias("target"), "role", "member",
                        F.when(F.col("changed"), F.lit(K.SUCCESS)).otherwise(F.lit(K.SKIPPED)).alias("result"), "changed")
     # per key: a revocation clears the snapshot's bindings, and the last action says whether the plain one is there
-    end = j.groupBy(*key).agg(F.bool_or(F.col("action") == K.REVOKE).alias("_cleared"),
-                              F.max(F.when(F.col("_after").isNull(), F.col("action"))).alias("_last"),
-                              F.bool_or(F.coalesce("_plain", F.lit(False))).alias("_had"))
-    kept = bindings.select(*key, "condition").join(end.filter("_cleared"), key, "left_anti")
-    granted = end.filter((F.col("_last") == K.GRANT) & (F.col("_cleared") | ~F.col("_had"))) \
-        .select(*key, F.lit(None).cast("string").alias("condition"))
+    end = _changes(changes).groupBy(*POLICY_KEY).agg(F.bool_or(F.col("action") == K.REVOKE).alias("_cleared"),
+                                                     F.max_by("action", F.struct(*CHANGE_ORDER)).alias("_last"))
+    kept = bindings.select(*POLICY_KEY, "condition").join(end.filter("_cleared"), POLICY_KEY, "left_anti")
+    had = bindings.filter(F.col("condition").isNull()).select(*POLICY_KEY).distinct().withColumn("_had", F.lit(True))
+    granted = end.filter(F.col("_last") == K.GRANT).join(had, POLICY_KEY, "left").filter(F.col("_cleared") | F.col("_had").isNull()) \
+        .select(*POLICY_KEY, F.lit(None).cast("string").alias("condition"))
     return kept.unionByName(granted), results
 
 
+def change_lanes(bindings: DataFrame, replay: DataFrame) -> DataFrame:
+    """What each change that does something adds to its resource's digest state: (resource_name, _at, request_id,
+    action, lanes).  ``replay`` is the outcome of :func:`policy_replay`."""
+    moves = replay.filter("changed and (action = 'GRANT' or plain)").withColumn("condition", F.lit(None).cast("string"))
+    plain = with_lanes(moves, F.when(F.col("action") == K.GRANT, F.lit(1)).otherwise(F.lit(-1)))
+    # conditioned bindings go with the first revocation of their key, one row a key
+    held = bindings.filter(F.col("condition").isNotNull()).select(*POLICY_KEY, "condition").distinct()
+    gone = with_lanes(replay.filter("first_revoke and changed").join(held, POLICY_KEY), F.lit(-1))
+    cols = ["resource_name", "_at", "request_id", "action"]
+    return lane_sums(plain.select(*cols, *LANES).unionByName(gone.select(*cols, *LANES)), *cols)
+
+
+def change_digests(bindings: DataFrame, changes: DataFrame, replay: DataFrame | None = None, states: DataFrame | None = None,
+                   small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """#84: (request_id, before_hash, after_hash) of every change, in the order in which they run.
+
+    The hashes of a resource chain: what one change leaves is what the next one
+    finds, and a change that does nothing has two equal hashes.  ``states`` are
+    stored digest states (:func:`grantlens.operators.digests.policy_states`);
+    without them those of ``bindings`` are taken.  request_id is unique."""
+    replay = policy_replay(bindings, changes, small_bytes) if replay is None else replay
+    states = policy_states(bindings) if states is None else states
+    cols = ["resource_name", "_at", "request_id", "action"]
+    zero = F.lit(0).cast("long")
+    still = replay.select(*cols, *(zero.alias(c) for c in LANES))
+    steps = lane_sums(still.unionByName(change_lanes(bindings, replay)), *cols)
+    run = before(steps, ["resource_name"], CHANGE_ORDER, sums=LANES, small_bytes=small_bytes)
+    base = states.select("resource_name", *(F.col(c).alias(f"_base_{c}") for c in LANES))
+    j = split_join(run, base, ["resource_name"], small_bytes=small_bytes)
+    start = {c: F.coalesce(F.col(f"_base_{c}"), zero) + F.col(f"{c}_before") for c in LANES}
+    return j.select("request_id", lane_hash(list(start.values())).alias("before_hash"),
+                    lane_hash([start[c] + F.col(c) for c in LANES]).alias("after_hash"))
+
+
 EXECUTOR = "iam-executor"
 
 
 def execute_approved(req: DataFrame, ids: DataFrame, log: DataFrame, scope: DataFrame, bindings: DataFrame,
                      as_of: str | _dt.datetime, execution_id: str, executed_by: str = EXECUTOR,
-                     keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+                     keep: Callable[[DataFrame], DataFrame] = lambda df: df, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Gate -> policy diff -> change log: the rows that executing ``ids`` adds to the change log, and the new bindings.
 
     NOT_FOUND ids leave no row; gated ids leave a SKIPPED or FAILED row; the
     others run in order of approval, SUCCESS where they change the policy and
     SKIPPED where it is as wanted already.  ``before_hash`` and ``after_hash``
     are the digests (#84) of the resource's bindings before and after the
-    batch; gated rows have none.  Only the policies of resources that the batch
-    changes are digested.  ``keep`` may store a step that several others take.
+    change itself, so they chain; gated rows have none.  Only the policies of
+    resources that the batch changes are read, and with stored ``states`` only
+    the changed bindings are digested.  ``keep`` may store a step that several
+    others take.
     """
     plan = keep(execution_plan(req, ids, log, scope).filter(F.col("decision") != "NOT_FOUND"))
+    return _execute(plan, req, bindings, as_of, execution_id, executed_by, keep, states)
+
+
+def _execute(plan: DataFrame, req: DataFrame, bindings: DataFrame, as_of: str | _dt.datetime, execution_id: str, executed_by: str,
+             keep: Callable[[DataFrame], DataFrame], states: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     run = plan.filter(F.col("decision") == "EXECUTE").select("request_id", "action")
     changes = keep(run.join(req.select("request_id", "resource_name", "role", "principal_email", "approved_at"), "request_id"))
     touched = changes.select("resource_name").distinct()
     mine = keep(bindings.join(touched, "resource_name", "left_semi"))
     left, diff = policy_diff(mine, changes)
-    left = keep(left)
     after = bindings.join(touched, "resource_name", "left_anti").select(*left.columns).unionByName(left)
-    before_hash = policy_fingerprint(mine).withColumnRenamed("policy_hash", "before_hash")
-    after_hash = policy_fingerprint(left).withColumnRenamed("policy_hash", "after_hash")
     j = (plan.join(diff.select("request_id", F.col("result").alias("_diff")), "request_id", "left")
-         .join(before_hash.withColumnRenamed("resource_name", "target"), "target", "left")
-         .join(after_hash.withColumnRenamed("resource_name", "target"), "target", "left"))
+         .join(change_digests(mine, changes, states=states), "request_id", "left"))
     ran = F.col("decision") == "EXECUTE"
     rows = j.select(
         F.lit(execution_id).alias("execution_id"), "request_id", "action", "target",
         F.when(ran, F.col("_diff")).otherwise(F.col("result")).alias("result"), "error_code",
         F.when(F.col("error_code").isNotNull(), F.col("reason")).alias("error_message"),
-        F.when(ran, F.col("before_hash")).alias("before_hash"), F.when(ran, F.col("after_hash")).alias("after_hash"),
-        F.lit(executed_by).alias("executed_by"), ts(as_of).alias("executed_at"))
+        "before_hash", "after_hash", F.lit(executed_by).alias("executed_by"), ts(as_of).alias("executed_at"))
     return rows, after
 
 
-def policy_fingerprint(bindings: DataFrame, buckets: int = 1024) -> DataFrame:
-    """#84: order-independent SHA-256 digest of each resource's binding set.
-
-    Row digests are dealt into ``buckets`` by their leading bits; a bucket's
-    digest is the SHA-256 of its sorted row digests, the policy's the SHA-256
-    of its sorted bucket digests.  So one row holds a thousandth of a large
-    policy, and any edit changes the result.
-    """
-    rows = bindings.select("resource_name", "role", "member", "condition").distinct()
-    digest = F.sha2(F.to_json(F.array("role", "member", F.coalesce(F.concat(F.lit("="), F.col("condition")), F.lit("")))), 256)
-    bucket = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    part = rows.select("resource_name", digest.alias("digest")).groupBy("resource_name", bucket.alias("bucket")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("part"))
-    return part.groupBy("resource_name").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), ""), 256).alias("policy_hash"))
-
-
 def binding_rows(perm: DataFrame) -> DataFrame:
     """Current bindings as policy rows (member strings, no condition)."""
     member = F.when(F.col("principal_type") == "SERVICE_ACCOUNT", F.concat(F.lit("serviceAccount:"), F.col("principal_email"))) \
@@ -404,17 +445,58 @@ def bulk_review(raw: DataFrame, req: DataFrame, log: DataFrame, scope: DataFrame
     (OUT_OF_SCOPE) - lines that pass the gate are marked for execution.
     ``keep`` may store a step (write and read back) that several others take.
     """
+    rejected, dec = _decided(raw, req, batch_col, keep)
+    return _review_lines(rejected, dec, execution_plan(_reviewed_requests(req, dec, as_of), _approved_ids(dec), log, scope))
+
+
+def review_and_execute(raw: DataFrame, req: DataFrame, log: DataFrame, scope: DataFrame, bindings: DataFrame, as_of: str | _dt.datetime,
+                       execution_id: str, batch_col: str = "submission_id", executed_by: str = EXECUTOR,
+                       keep: Callable[[DataFrame], DataFrame] = lambda df: df, states: DataFrame | None = None) -> dict[str, DataFrame]:
+    """#87 as a whole: review lines are decided, approved ones executed, and each line tells its own outcome.
+
+    ``lines``: the rows of :func:`bulk_review` with the outcome of the
+    execution (``execution_result``, ``execution_id``; null where nothing was
+    executed).  ``log``: the change-log rows, ``bindings``: the policies after
+    it, ``requests`` and ``history``: the status updates (#80, #81).  Requests
+    approved here run in order of request_id, since all are approved at
+    ``as_of``.
+    """
+    rejected, dec = _decided(raw, req, batch_col, keep)
+    after = _reviewed_requests(req, dec, as_of)
+    plan = keep(execution_plan(after, _approved_ids(dec), log, scope))
+    rows, new_bindings = _execute(plan.filter(F.col("decision") != "NOT_FOUND"), after, bindings, as_of, execution_id, executed_by, keep, states)
+    rows = keep(rows)
+    outcome = rows.select("request_id", F.col("result").alias("_result"), F.col("execution_id").alias("_execution_id"))
+    lines = _review_lines(rejected, dec, plan).join(outcome, "request_id", "left")
+    ran = F.col("execution_decision").isNotNull()
+    lines = lines.select(*[c for c in lines.columns if not c.startswith("_")], F.when(ran, F.col("_result")).alias("execution_result"),
+                         F.when(ran, F.col("_execution_id")).alias("execution_id"))
+    return {"lines": lines, "log": rows, "bindings": new_bindings,
+            "requests": apply_status_updates(req, dec, as_of), "history": status_change_events(req, dec, as_of)}
+
+
+def _decided(raw: DataFrame, req: DataFrame, batch_col: str, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     n = keep(normalize_reviews(raw, batch_col))
     rejected = n.filter(F.col("batch_error").isNotNull()).select(
         "request_id", "status", F.lit(False).alias("succeeded"), F.lit("BATCH_REJECTED").alias("error_code"),
         F.col("batch_error").alias("error_message"), F.lit(None).cast("string").alias("execution_decision"))
     ok = n.filter(F.col("batch_error").isNull()).drop("batch_error", "status_raw")
-    dec = keep(review_decisions(ok, req, "SHEET_BULK_REVIEW", batch_col))
-    # the gate needs the requests of approved lines only, with the status that the review gives them
+    return rejected, keep(review_decisions(ok, req, "SHEET_BULK_REVIEW", batch_col))
+
+
+def _approved_ids(dec: DataFrame) -> DataFrame:
+    return dec.filter((F.col("outcome") == "UPDATED") & (F.col("status") == K.APPROVED)).select("request_id")
+
+
+def _reviewed_requests(req: DataFrame, dec: DataFrame, as_of: str | _dt.datetime) -> DataFrame:
+    """The requests that reviews change, with the status and the time of approval that the review gives them."""
     final = applied_updates(dec).select("request_id", F.col("status").alias("_final"))
-    approved = dec.filter((F.col("outcome") == "UPDATED") & (F.col("status") == K.APPROVED)).select("request_id")
-    after = req.join(final, "request_id").withColumn("status", F.col("_final")).drop("_final")
-    plan = execution_plan(after, approved, log, scope).select(
+    approved_at = F.when(F.col("_final") == K.APPROVED, ts(as_of)).otherwise(F.col("approved_at"))
+    return req.join(final, "request_id").withColumn("approved_at", approved_at).withColumn("status", F.col("_final")).drop("_final")
+
+
+def _review_lines(rejected: DataFrame, dec: DataFrame, plan: DataFrame) -> DataFrame:
+    plan = plan.select(
         "request_id", F.col("decision").alias("execution_decision"), F.col("result").alias("_exec_result"),
         F.col("error_code").alias("_exec_code"), F.col("reason").alias("_exec_reason"))
     j = dec.join(plan, "request_id", "left")

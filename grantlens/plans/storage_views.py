@@ -13,7 +13,7 @@ from .ingest_views import INVENTORY_SQL, _inventory
 from .reconcile_views import NOW
 from .registry import AS_OF, RUN_ID, register
 from .report_views import HISTORY_CTES, _permission_history
-from .workflow_views import DIFF_SQL, EXEC_PLAN_SQL, PLAN_SELECT, _diff, _gate_scope
+from .workflow_views import CHANGE_DIGEST_SQL, DIFF_SQL, EXEC_PLAN_SQL, PLAN_SELECT, _diff, _gate_scope
 
 
 def _root(t) -> str:
@@ -135,23 +135,13 @@ def _execute_sql() -> str:
     ids = "(SELECT request_id FROM gated_requests WHERE status IN ('APPROVED', 'PENDING'))"
     diff = DIFF_SQL[len("WITH RECURSIVE "):].replace("FROM iam_access_requests WHERE status = 'APPROVED')",
                                                     "FROM gated_requests WHERE request_id IN (SELECT request_id FROM plan WHERE decision = 'EXECUTE'))")
-    digest = """
-d{n} AS (SELECT resource_name, sha256(CAST(to_json([role, member, COALESCE('=' || condition, '')]) AS VARCHAR)) AS digest FROM {rows}),
-p{n} AS (SELECT resource_name, sha256(string_agg(digest, '' ORDER BY digest)) AS part FROM d{n} GROUP BY resource_name, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % 1024),
-h{n} AS (SELECT resource_name, sha256(string_agg(part, '' ORDER BY part)) AS hash FROM p{n} GROUP BY resource_name)"""
-    return (EXEC_PLAN_SQL.format(ids=ids, req="gated_requests") + ",\n" + diff + """,
-gate AS (""" + PLAN_SELECT + """),
-rest AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM final f WHERE f.cleared AND f.resource_name = b.resource_name AND f.role = b.role AND f.member = b.member)
-  UNION ALL SELECT resource_name, role, member, CAST(NULL AS VARCHAR) FROM final f WHERE left_plain AND (cleared OR NOT EXISTS (
-    SELECT 1 FROM b WHERE b.condition IS NULL AND f.resource_name = b.resource_name AND f.role = b.role AND f.member = b.member))),"""
-            + digest.format(n=1, rows="b") + "," + digest.format(n=2, rows="rest") + f"""
+    return (EXEC_PLAN_SQL.format(ids=ids, req="gated_requests") + ",\n" + diff.rstrip() + ",\n" + CHANGE_DIGEST_SQL.rstrip() + """,
+gate AS (""" + PLAN_SELECT + f""")
 SELECT '{RUN_ID}' AS execution_id, g.request_id, g.action, g.target,
   CASE WHEN g.decision = 'EXECUTE' THEN CASE WHEN r.changed THEN 'SUCCESS' ELSE 'SKIPPED' END ELSE g.result END AS result,
   g.error_code, CASE WHEN g.error_code IS NOT NULL THEN g.reason END AS error_message,
-  CASE WHEN g.decision = 'EXECUTE' THEN h1.hash END AS before_hash, CASE WHEN g.decision = 'EXECUTE' THEN h2.hash END AS after_hash,
-  '{wf.EXECUTOR}' AS executed_by, {NOW} AS executed_at
-FROM gate g LEFT JOIN replay r ON g.request_id = r.request_id
-LEFT JOIN h1 ON h1.resource_name = g.target LEFT JOIN h2 ON h2.resource_name = g.target
+  h.before_hash, h.after_hash, '{wf.EXECUTOR}' AS executed_by, {NOW} AS executed_at
+FROM gate g LEFT JOIN replay r ON g.request_id = r.request_id LEFT JOIN digests h ON h.request_id = g.request_id
 WHERE g.decision <> 'NOT_FOUND'""")
 
 

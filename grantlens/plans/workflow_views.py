@@ -277,11 +277,16 @@ final AS (SELECT * FROM replay QUALIFY row_number() OVER (PARTITION BY resource_
 """
 
 
-def _diff(t):
+def _diff_inputs(t):
     bindings = wf.binding_rows(t["iam_policy_permissions"]).withColumn(
         "condition", F.when(F.length("member") % 9 == 0, F.lit("expiring"))).distinct()
     changes = t["iam_access_requests"].filter(F.col("status") == "APPROVED").select(
         "request_id", F.col("request_type").alias("action"), "resource_name", "role", "principal_email", "approved_at")
+    return bindings, changes
+
+
+def _diff(t):
+    bindings, changes = _diff_inputs(t)
     return wf.policy_diff(bindings, changes), bindings
 
 
@@ -304,16 +309,49 @@ def q_policy_diff_bindings(t):
     return _diff(t)[0][0]
 
 
-@register("policy_fingerprint", "WITH " + BINDINGS_SQL.strip() + """,
-row_digest AS (SELECT resource_name, sha256(CAST(to_json([role, member, COALESCE('=' || condition, '')]) AS VARCHAR)) AS digest FROM b),
-part AS (SELECT resource_name, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % 1024 AS bucket, sha256(string_agg(digest, '' ORDER BY digest)) AS part
-         FROM row_digest GROUP BY ALL)
-SELECT resource_name, sha256(string_agg(part, '' ORDER BY part)) AS policy_hash FROM part GROUP BY resource_name""")
+#: Each binding as 16 numbers; a policy's hash is that of their sums.
+LANE_SQL = """(SELECT * EXCLUDE (hex), CAST('0x' || substr(hex, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT) AS v
+  FROM (SELECT * EXCLUDE (text), sha256('0' || text) || sha256('1' || text) AS hex
+        FROM (SELECT *, CAST(to_json([role, member, COALESCE('=' || condition, '')]) AS VARCHAR) AS text FROM {rows})), range(16) r(i))"""
+STATE_SQL = "state AS (SELECT resource_name, i, sum(v) AS v FROM " + LANE_SQL.format(rows="b") + " GROUP BY ALL)"
+
+#: Per change, lane by lane: the state of its resource before it and what it adds.
+CHANGE_DIGEST_SQL = STATE_SQL + """,
+moves AS (
+  SELECT request_id, role, member, CAST(NULL AS VARCHAR) AS condition, CASE WHEN action = 'GRANT' THEN 1 ELSE -1 END AS sgn
+  FROM replay WHERE changed AND (action = 'GRANT' OR plain)
+  UNION ALL
+  SELECT r.request_id, r.role, r.member, b.condition, -1
+  FROM replay r JOIN b ON r.resource_name = b.resource_name AND r.role = b.role AND r.member = b.member
+  WHERE b.condition IS NOT NULL AND r.action = 'REVOKE'
+  QUALIFY dense_rank() OVER (PARTITION BY r.resource_name, r.role, r.member ORDER BY r.n) = 1),
+added AS (SELECT request_id, i, sum(sgn * v) AS v FROM """ + LANE_SQL.format(rows="moves") + """ GROUP BY ALL),
+steps AS (SELECT c.request_id, c.resource_name, c.approved_at, CAST(l.i AS BIGINT) AS i, COALESCE(a.v, 0) AS v
+  FROM ch c CROSS JOIN range(16) l(i) LEFT JOIN added a ON a.request_id = c.request_id AND a.i = l.i),
+running AS (SELECT s.request_id, s.i, s.v, COALESCE(t.v, 0) + COALESCE(sum(s.v) OVER (
+    PARTITION BY s.resource_name, s.i ORDER BY s.approved_at NULLS FIRST, s.request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS found
+  FROM steps s LEFT JOIN state t ON t.resource_name = s.resource_name AND t.i = s.i),
+digests AS (SELECT request_id,
+    sha256(string_agg(CAST((found % 4294967296 + 4294967296) % 4294967296 AS VARCHAR), ',' ORDER BY i)) AS before_hash,
+    sha256(string_agg(CAST(((found + v) % 4294967296 + 4294967296) % 4294967296 AS VARCHAR), ',' ORDER BY i)) AS after_hash
+  FROM running GROUP BY request_id)
+"""
+
+
+@register("policy_fingerprint", "WITH " + BINDINGS_SQL.strip() + ",\n" + STATE_SQL + """
+SELECT resource_name, sha256(string_agg(CAST(v % 4294967296 AS VARCHAR), ',' ORDER BY i)) AS policy_hash FROM state GROUP BY resource_name""")
 def q_policy_fingerprint(t):
     """#84: order-independent digest of each resource's policy."""
     return wf.policy_fingerprint(_diff(t)[1])
 
 
+@register("change_digests", DIFF_SQL.rstrip() + ",\n" + CHANGE_DIGEST_SQL + "SELECT * FROM digests")
+def q_change_digests(t):
+    """#84: digests of the resource's policy before and after every approved change."""
+    bindings, changes = _diff_inputs(t)
+    return wf.change_digests(bindings, changes)
+
+
 @register("member_identifier", """
 SELECT request_id, principal_email,
   CASE WHEN strpos(principal_email, ':') > 0 THEN principal_email
@@ -391,7 +429,7 @@ def q_job_outcome_summary(t):
 
 
 BULK_HEAD = REVIEW_DECISIONS_SQL.strip().replace("FROM ok LEFT JOIN iam_access_requests r", "FROM ok LEFT JOIN gated_requests r") + """,
-req_after AS (SELECT r.* REPLACE (COALESCE(d.status, r.status) AS status) FROM gated_requests r
+req_after AS (SELECT r.* REPLACE (COALESCE(d.status, r.status) AS status, CASE WHEN d.status = 'APPROVED' THEN """ + NOW + """ ELSE r.approved_at END AS approved_at) FROM gated_requests r
               LEFT JOIN applied d ON r.request_id = d.request_id)"""
 
 
@@ -424,6 +462,38 @@ def q_bulk_review(t):
     return _bulk(t)
 
 
+#: Approved lines run against the bindings; their outcome is that of the gate or of the replay.
+def _executed_sql(select: str) -> str:
+    head, lines = _bulk_sql().split("\nSELECT request_id, status, FALSE AS succeeded", 1)
+    diff = DIFF_SQL[len("WITH RECURSIVE "):].replace("FROM iam_access_requests WHERE status = 'APPROVED')",
+                                                    "FROM req_after WHERE request_id IN (SELECT request_id FROM plan WHERE decision = 'EXECUTE'))")
+    return (head + ",\nlines AS (SELECT request_id, status, FALSE AS succeeded" + lines + "),\n" + diff.rstrip() + ",\n" + CHANGE_DIGEST_SQL.rstrip() + ",\ngate AS ("
+            + PLAN_SELECT + """),
+ran AS (SELECT g.*, CASE WHEN g.decision = 'EXECUTE' THEN CASE WHEN r.changed THEN 'SUCCESS' ELSE 'SKIPPED' END ELSE g.result END AS outcome
+  FROM gate g LEFT JOIN replay r ON g.request_id = r.request_id WHERE g.decision <> 'NOT_FOUND')
+""" + select)
+
+
+def _executed(t):
+    return wf.review_and_execute(t["review_updates"], t["gated_requests"], t["iam_access_change_log"], _gate_scope(t), _diff_inputs(t)[0], AS_OF, RUN_ID, keep=t.keep)
+
+
+@register("bulk_review_executed", _executed_sql(f"""SELECT l.*, CASE WHEN l.execution_decision IS NOT NULL THEN x.outcome END AS execution_result,
+  CASE WHEN l.execution_decision IS NOT NULL AND x.request_id IS NOT NULL THEN '{RUN_ID}' END AS execution_id
+FROM lines l LEFT JOIN ran x ON l.request_id = x.request_id"""))
+def q_bulk_review_executed(t):
+    """#87: review lines with the outcome of their execution."""
+    return _executed(t)["lines"]
+
+
+@register("bulk_review_log", _executed_sql(f"""SELECT '{RUN_ID}' AS execution_id, x.request_id, x.action, x.target, x.outcome AS result, x.error_code,
+  CASE WHEN x.error_code IS NOT NULL THEN x.reason END AS error_message, h.before_hash, h.after_hash, '{wf.EXECUTOR}' AS executed_by, {NOW} AS executed_at
+FROM ran x LEFT JOIN digests h ON x.request_id = h.request_id"""))
+def q_bulk_review_log(t):
+    """#87: change-log rows of a bulk review's approved lines."""
+    return _executed(t)["log"]
+
+
 @register("review_outcome_summary", _bulk_sql().replace("\nSELECT request_id, status, FALSE AS succeeded", "\n, lines AS (SELECT request_id, status, FALSE AS succeeded", 1)
           + """)
 SELECT CAST(count(*) FILTER (WHERE succeeded) AS BIGINT) AS succeeded,

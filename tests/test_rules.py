@@ -200,6 +200,26 @@ def test_execute_approved_scenarios(spark):
     assert sorted(r.member for r in after.collect()) == ["user:a@x", "user:b@x"]
 
 
+def test_review_executes_approved_lines(spark):
+    mine = dict(approver_email="boss@x", status="PENDING")
+    req = _req(spark, [dict(mine, request_id="add", principal_email="a@x"), dict(mine, request_id="same", principal_email="b@x"),
+                       dict(mine, request_id="out", principal_email="c@x", resource_name="projects/other"),
+                       dict(mine, request_id="no", principal_email="d@x"), dict(mine, request_id="foreign", principal_email="e@x", approver_email="z@x")])
+    raw = spark.createDataFrame([(i, s, "why", "boss@x", "s1", n) for n, (i, s) in enumerate(
+        [("add", "APPROVED"), ("same", "APPROVED"), ("out", "APPROVED"), ("no", "REJECTED"), ("foreign", "APPROVED"), ("lost", "APPROVED")])],
+        "request_id string, status string, reject_reason string, actor_email string, submission_id string, seq int")
+    log = spark.createDataFrame([], "request_id string, result string")
+    b = spark.createDataFrame([("projects/p1", "roles/viewer", "user:b@x", None)], "resource_name string, role string, member string, condition string")
+    out = wf.review_and_execute(raw, req, log, sc.scope_check(req, target_project="p1"), b, AS_OF, "run")
+    lines = {r.request_id: (r.succeeded, r.error_code, r.execution_result, r.execution_id) for r in out["lines"].collect()}
+    assert lines == {"add": (True, None, "SUCCESS", "run"), "same": (True, None, "SKIPPED", "run"), "out": (False, "OUT_OF_SCOPE", "FAILED", "run"),
+                     "no": (True, None, None, None), "foreign": (False, "FORBIDDEN", None, None), "lost": (False, "NOT_FOUND", None, None)}
+    rows = {r.request_id: r for r in out["log"].collect()}
+    assert set(rows) == {"add", "same", "out"} and rows["add"].after_hash == rows["same"].before_hash == rows["same"].after_hash != rows["add"].before_hash
+    assert sorted(r.member for r in out["bindings"].collect()) == ["user:a@x", "user:b@x"]
+    assert {r.request_id: r.status for r in out["requests"].collect()} == {"add": "APPROVED", "same": "APPROVED", "out": "APPROVED", "no": "REJECTED", "foreign": "PENDING"}
+
+
 def test_null_batch_keys(spark):
     from grantlens.operators import ingest
     req = _req(spark, [dict(request_id="r1", principal_email="a@x", status="PENDING")])

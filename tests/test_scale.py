@@ -14,6 +14,8 @@ from grantlens.functions.columns import TRIPLE
 from grantlens.operators import intervals as iv
 from grantlens.operators import matrix
 from grantlens.operators import snapshots as sn
+from grantlens.operators import workflow as wf
+from grantlens.operators.prefix import before
 from grantlens.operators.skew import heavy_keys, split_join
 from grantlens.sources import catalogue as cat
 from grantlens.sources import sinks
@@ -170,3 +172,76 @@ def test_local_session_without_a_checkpoint_setting(tmp_path):
               "assert s.read.parquet(scratch_path(s, 'x')).count() == 3\n")
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.pathsep.join(p for p in (os.getcwd(), os.environ.get("PYTHONPATH", "")) if p)}
     subprocess.run([sys.executable, "-c", script], env=env, check=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def hot_changes(spark, n=6000):
+    """Changes of which every third is on one binding, all approved at one of two times or at none."""
+    i = F.col("id")
+    hot = i % 3 == 0
+    return spark.range(0, n, numPartitions=16).select(
+        F.concat(F.lit("r"), F.lpad((i * 7919 % n).cast("string"), 6, "0")).alias("request_id"),
+        F.when(F.xxhash64("id") % 2 == 0, F.lit("GRANT")).otherwise(F.lit("REVOKE")).alias("action"),
+        F.when(i % 50 == 1, F.lit(None)).when(hot | (i % 5 == 0), F.lit("projects/p")).otherwise(F.lit("projects/q")).alias("resource_name"),
+        F.lit("roles/r").alias("role"), F.when(hot, F.lit("hot@x")).otherwise(F.concat(F.lit("u"), (i % 89).cast("string"), F.lit("@x"))).alias("principal_email"),
+        F.when(i % 4 != 0, F.timestamp_seconds(1_000_000 + i % 2).cast("timestamp_ntz")).alias("approved_at"))
+
+
+def test_segmented_prefix_equals_window(spark):
+    rows = wf._changes(hot_changes(spark)).withColumn("n", F.xxhash64("request_id") % 100)
+    kept = []
+    def keep(df):
+        kept.append(df.checkpoint())
+        return kept[-1]
+    from grantlens.session import checkpoint_dir
+    checkpoint_dir(spark)
+    out = before(rows, wf.POLICY_KEY, wf.CHANGE_ORDER, last=["action"], sums=["n"], small_bytes=0, segments=24, keep=keep)
+    plain = before(rows, wf.POLICY_KEY, wf.CHANGE_ORDER, last=["action"], sums=["n"])
+    assert out.columns == plain.columns and sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+    # the hot binding is dealt over several segments, and none holds far more than its share
+    sizes = [r["count"] for r in kept[0].groupBy("_segment").count().collect()]
+    assert max(sizes) <= 3 * median(sizes)
+    assert kept[0].filter("member = 'user:hot@x'").select("_segment").distinct().count() > 4
+    assert before(rows.limit(0), wf.POLICY_KEY, wf.CHANGE_ORDER, last=["action"], sums=["n"], small_bytes=0).count() == 0
+
+
+@pytest.mark.parametrize("small_bytes", [0, 1 << 40])
+def test_replay_and_digests_against_a_loop(spark, small_bytes):
+    """Every change applied one after the other in Python: outcomes, hashes and what is left."""
+    import hashlib
+    import json
+    changes = hot_changes(spark, 900).filter("resource_name is not null")
+    start = [("projects/p", "roles/r", "user:hot@x", None), ("projects/p", "roles/r", "user:hot@x", "c"), ("projects/p", "roles/r", "user:u5@x", "c"),
+             ("projects/p", "roles/r", "user:u5@x", "d"), ("projects/q", "roles/r", "user:u7@x", None), ("projects/z", "roles/r", "user:u7@x", None)]
+    schema = "resource_name string, role string, member string, condition string"
+    bindings = spark.createDataFrame(start + start[:1], schema)
+
+    def digest(held, resource):
+        sums = [0] * 16
+        for res, role, member, cond in held:
+            if res == resource:
+                text = json.dumps([role, member, "" if cond is None else "=" + cond], separators=(",", ":"))
+                h = "".join(hashlib.sha256((s + text).encode()).hexdigest() for s in "01")
+                sums = [(a + int(h[8 * i:8 * i + 8], 16)) % 2**32 for i, a in enumerate(sums)]
+        return hashlib.sha256(",".join(map(str, sums)).encode()).hexdigest()
+
+    held, want = set(start), {}
+    for r in sorted(changes.collect(), key=lambda r: (r.approved_at is not None, r.approved_at or 0, r.request_id)):
+        member = "user:" + r.principal_email
+        found, was = digest(held, r.resource_name), set(held)
+        if r.action == "GRANT":
+            held.add((r.resource_name, r.role, member, None))
+        else:
+            held = {b for b in held if b[:3] != (r.resource_name, r.role, member)}
+        want[r.request_id] = ("SUCCESS" if held != was else "SKIPPED", found, digest(held, r.resource_name))
+    left, results = wf.policy_diff(bindings, changes, small_bytes)
+    hashes = {r.request_id: (r.before_hash, r.after_hash) for r in wf.change_digests(bindings, changes, small_bytes=small_bytes).collect()}
+    assert {r.request_id: (r.result, *hashes[r.request_id]) for r in results.collect()} == want
+    assert {tuple(r) for r in left.collect()} == held
+    # a stored state is brought up to date by the changes alone
+    replay = wf.policy_replay(bindings, changes, small_bytes)
+    from grantlens.operators.digests import LANES, advance_states, policy_states
+    states = policy_states(bindings)
+    stored = {tuple(r) for r in advance_states(states, wf.change_lanes(bindings, replay)).collect() if any(r[c] for c in LANES)}
+    assert stored == {tuple(r) for r in policy_states(left).collect()}
+    again = wf.change_digests(bindings, changes, replay, states, small_bytes)
+    assert {r.request_id: (r.before_hash, r.after_hash) for r in again.collect()} == hashes
