@@ -7,6 +7,11 @@ edited.  Rebalancing reads the bytes of each slot, edits the newest map by
 moving as few slots as it can and stores the result as the next version, so
 records move only with their slots.
 
+Rows that are equal in id and text share a virtual slot.  Where such rows make
+a slot hold more than ``1 / WIDE`` of a shard's even share, it is split: its
+rows are dealt over extra slots of the map, ``1 / FINE`` of a share each, and
+what was dealt is stored.
+
 Only statistics of slots (thousands, whatever the data) reach the driver.
 """
 
@@ -17,17 +22,46 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import stored
 
 SLOTS = 8192
+WIDE, FINE = 16, 256
 MAP = "slot int, shard int"
 
 
-def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot): size is the UTF-8 bytes of the text (null: none) plus 1."""
-    content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = id_and_text(docs).select("doc_id", (F.octet_length(content) + 1).cast("long").alias("size"), F.crc32(content).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+def with_slots(docs: DataFrame, slots: int = SLOTS, carry: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot): size is the UTF-8 bytes of the text (null: none) plus 1.
+
+    With ``carry`` the whole record follows as a struct ``row``."""
+    content = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(content) + 1).cast("long").alias("size"),
+                       F.crc32(content).alias("text_crc32"), *([F.struct("*").alias("row")] if carry else []))
+    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int")
+    return rows.select(*rows.columns[:3], slot.alias("virtual_slot"), *rows.columns[3:])
+
+
+def split_wide(rows: DataFrame, sizes: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """``rows`` and ``sizes`` with each slot of several rows and too many bytes dealt over slots from ``slots`` on.
+
+    At most ``2 * FINE * shards`` extra slots in all.  Rows are dealt by their
+    place in the task that reads them and written once, so a task that runs
+    again finds them as they were dealt."""
+    total = sum(b for b, _ in sizes.values())
+    first, entries = slots, []
+    for n, (size, count) in sorted(sizes.items()):
+        if count > 1 and size * shards * WIDE > total:
+            parts = min(count, -(-size * shards * FINE // total))
+            entries.append((n, first, parts))
+            first += parts
+    if not entries:
+        return rows, sizes
+    wide = F.broadcast(rows.sparkSession.createDataFrame(entries, "virtual_slot int, first int, parts int"))  # bounded above
+    turn = F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.col("parts")).cast("int")
+    dealt = rows.join(wide, "virtual_slot").withColumn("virtual_slot", F.col("first") + turn).select(*rows.columns)
+    dealt = stored(dealt, "split-slots")
+    whole = rows.join(wide, "virtual_slot", "left_anti").select(*rows.columns)
+    left = {n: v for n, v in sizes.items() if n not in {e[0] for e in entries}}
+    return whole.unionByName(dealt), left | slot_sizes(dealt)
 
 
 def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -123,24 +157,34 @@ def assign(rows: DataFrame, shards: list[int], sizes: dict[int, tuple[int, int]]
     return rows.withColumn("rank", rank).join(places, "virtual_slot").withColumn("slot", F.col("before") + F.col("rank") - 1).drop("before", "rank")
 
 
-def shard_documents(docs: DataFrame, path: str, shards: int = 8, slots: int = SLOTS) -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, virtual_slot, shard, slot, map_version.
+def shard_documents(docs: DataFrame, path: str, shards: int = 8, slots: int = SLOTS, carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, size, text_crc32, virtual_slot, shard, slot, map_version (and ``row`` with ``carry``).
 
     Version 1 of the map in ``path`` deals the slots out evenly; version 2 is
     its rebalanced edit for the bytes found.  Later calls can ``load_map`` a
     version, ``rebalance`` it for new sizes or another number of shards and
-    store the next.  Rows without doc_id or text have a slot like any other;
-    repeated rows share their virtual slot and get places of their own.
+    store the next.  Rows without doc_id or text have a slot like any other.
+    Repeated rows share their virtual slot, or its parts where it is split, and
+    get places of their own.  A text of any length is one record; no shard can
+    be smaller than the longest.  Other columns, whatever their names, only
+    follow in ``row``.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = with_slots(docs, slots)
+    rows = with_slots(docs, slots, carry)
     store_map(spark, path, 1, first_map(slots, shards))
-    sizes = slot_sizes(rows)
-    store_map(spark, path, 2, rebalance(load_map(spark, path, 1), sizes, shards))
+    rows, sizes = split_wide(rows, slot_sizes(rows), shards, slots)
+    old = load_map(spark, path, 1)
+    old += [n % shards for n in range(len(old), max(sizes, default=-1) + 1)]
+    store_map(spark, path, 2, rebalance(old, sizes, shards))
     return assign(rows, load_map(spark, path, 2), sizes).withColumn("map_version", F.lit(2))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """The records themselves as Parquet folders ``shard=<n>`` (``placed`` from :func:`shard_documents`, unique doc_id)."""
-    out = docs.join(placed.select("doc_id", "shard", "virtual_slot"), "doc_id")
-    out.repartition("shard", "virtual_slot").drop("virtual_slot").write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, path: str) -> None:
+    """The records themselves as Parquet folders, one a shard (``placed`` from :func:`shard_documents` with ``carry``).
+
+    The folder column is ``shard``, with underscores before it where records have a column of that name."""
+    folder = "shard"
+    while folder in placed.select("row.*").columns:
+        folder = "_" + folder
+    out = placed.repartition("shard", "virtual_slot").select("row.*", F.col("shard").alias(folder))
+    out.write.partitionBy(folder).parquet(path)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_and_text, text_batches
+from .common import arrow_schema, id_and_text, stored, text_batches
 
 CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -89,6 +89,7 @@ def token_counts(docs: DataFrame, cache: str, path: str, limit: int = 4096) -> D
     append_misses(docs, cache, path)
     counts = (read_cache(docs.sparkSession, cache).where(F.col("tokenizer_digest") == tokenizer_digest(path))
               .groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")))
+    counts = stored(counts, "token-counts")  # read back, so the join below can split a hot digest
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("content")).select(
         "doc_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_digest"))
     return rows.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

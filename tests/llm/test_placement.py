@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grantlens.llm import minhash, rules, slots, vecjoin
 from grantlens.llm.common import shared_path
@@ -153,3 +154,26 @@ def test_pipeline_stages_keep_columns_and_empty_tables(spark, docs, no_docs):
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
         assert stage(spark, no_docs, "/root/testdata/sf0.001").count() == 0, name
     assert minhash.near_duplicates(no_docs).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_sharding_of_equal_rows(spark):
+    """Equal rows without id share one hash; they are dealt all the same, and the law holds."""
+    same = spark.range(0, 20_000, numPartitions=5).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    sizes = check_shards(same, [(None, "the same text")] * 20_000, 8)
+    assert max(sizes) - min(sizes) <= 0.01 * sum(sizes) / 8
+    mixed = same.limit(3000).unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")))
+    sizes = check_shards(mixed, [(r.doc_id, r.text) for r in mixed.collect()], 8)
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 8
+
+
+def test_written_shards_hold_every_record(spark, docs, odd_docs, no_docs):
+    for df in (docs, odd_docs, odd_docs.withColumn("shard", F.lit("own")), no_docs):
+        path, placed = shared_path(spark, "test-shards"), None
+        placed = slots.shard_documents(df, shared_path(spark, "test-slots"), 3, carry=True).cache()
+        slots.write_shards(placed, path)
+        folder = "_shard" if "shard" in df.columns else "shard"
+        if df.isEmpty():
+            continue
+        back = spark.read.parquet(path)
+        assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+        assert sorted(r[0] for r in back.select(folder).collect()) == sorted(r[0] for r in placed.select("shard").collect())
