@@ -1,9 +1,11 @@
 """#92: the daily batch in the reference's order: revoke -> collect -> reconcile
 -> history -> role discovery.
 
-Each step reads the current version of its tables from the warehouse root and
-writes new versions / appends through :mod:`grantlens.sources.sinks`, so a
-failed step can be re-run from the tables the previous step left behind.
+Each step reads the current rows of its tables from the warehouse root and
+commits through :mod:`grantlens.sources.sinks`; requests, issues, principals and
+roles get change rows, in proportion to what the day changed, and are compacted
+when these have grown.  The run ledger names the steps that are done, so a run
+that was cut off goes on with the step that was not.
 Inputs that would come from cloud APIs (policy documents, asset rows,
 principal sources) are passed in as DataFrames.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ts
 from ..operators import ingest, intervals, masters, reconcile, reports, snapshots, workflow
 from ..session import scratch_path
-from ..sources import catalogue, sinks
+from ..sources import catalogue, ledger, sinks
 from ..sources.fixtures import TableSet
 
 SEED_TABLES = {
@@ -35,6 +37,10 @@ SEED_TABLES = {
 }
 
 
+# tables that a day changes row by row
+CHANGED_TABLES = ("iam_access_requests", "principal_catalog", "iam_reconciliation_issues", "iam_role_master")
+
+
 def seed_warehouse(spark: SparkSession, sf_dir: str, root: str) -> str:
     """Write the fixture tables as the warehouse's first table versions."""
     t = TableSet(spark, sf_dir)
@@ -49,11 +55,13 @@ def run_daily(spark: SparkSession, root: str, as_of: str | _dt.datetime, run_id:
               scope: str = "organizations/1") -> dict:
     """Run one day; returns per-step row counts.
 
-    Safe to run again with the same ``run_id`` after a failure: appends leave
-    out rows whose keys the table has (of the run's day only: every row that a
-    run appends has its time), replaces make a new version.  Each job writes
-    one report: SUCCESS with its counts, or FAILED / FAILED_PERMISSION with a
-    hint (#91) before the error is raised.
+    Run again with the same ``run_id`` after a failure it skips the steps that
+    the ledger names (their counts are the ledger's) and repeats the one that
+    failed: appends leave out rows whose keys the table has (of the run's day
+    only: every row that a run appends has its time), changes that were applied
+    are none the second time.  After a run that ended, all steps run anew, to
+    the same tables.  Each job writes one report: SUCCESS with its counts, or
+    FAILED / FAILED_PERMISSION with a hint (#91) before the error is raised.
     """
     day = {"p_date": str(as_of)[:10]}
 
@@ -65,8 +73,6 @@ def run_daily(spark: SparkSession, root: str, as_of: str | _dt.datetime, run_id:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    counts: dict[str, int] = {}
-
     def report(job: str, **numbers: int) -> None:
         """One job report per step (#13)."""
         row = spark.createDataFrame([(f"{run_id}-{job}", job, "SUCCESS", numbers)], "execution_id string, job_type string, result string, counts map<string,long>")
@@ -86,69 +92,110 @@ def run_daily(spark: SparkSession, root: str, as_of: str | _dt.datetime, run_id:
             sinks.write_table(row, root, "iam_pipeline_job_reports")
             raise
 
-    # 1. revoke expired grants: decided once, then logged, then applied
-    with job("EXPIRED_PERMISSION_REVOCATION"):
-        req, perm = cur("iam_access_requests"), cur("iam_policy_permissions")
+    def revoke() -> dict[str, int]:
+        """Expired grants: decided once, then logged, then applied."""
+        req, perm = cur("iam_access_requests").drop("p_date"), cur("iam_policy_permissions")
         rev = workflow.revoke_expired(req, perm, workflow.binding_rows(perm), as_of, f"{run_id}-revoke", keep)
-        counts["revoke_log"] = sinks.append_new(rev["log"], root, "iam_access_change_log", ["request_id"], execution_id=f"{run_id}-revoke", **day)
-        counts["revoke_history"] = sinks.append_new(sinks.prepare_history_events(rev["history"]), root, "iam_access_request_history", ["history_id"], **day)
-        counts["requests"] = sinks.replace_snapshot(rev["requests"], root, "iam_access_requests")
-        report("EXPIRED_PERMISSION_REVOCATION", logged=counts["revoke_log"])
-
-    # 2. collect: bindings (full replace), inventory, memberships, principals
-    with job("IAM_POLICY_COLLECTION"):
+        logged = sinks.append_new(rev["log"], root, "iam_access_change_log", ["request_id"], execution_id=f"{run_id}-revoke", **day)
+        events = sinks.append_new(sinks.prepare_history_events(rev["history"]), root, "iam_access_request_history", ["history_id"], **day)
+        updated = workflow.applied_updates(rev["decisions"]).select("request_id").distinct()
+        changed = sinks.upsert(spark, root, "iam_access_requests", ["request_id"], lambda now: workflow.apply_status_updates(
+            now.join(updated, "request_id", "left_semi"), rev["decisions"], as_of))
+        report("EXPIRED_PERMISSION_REVOCATION", logged=logged)
+        return {"revoke_log": logged, "revoke_history": events, "requests_changed": changed}
+
+    def collect_policies() -> dict[str, int]:
         flat = ingest.flatten_policy_bindings(policy_docs, f"{run_id}-iam", as_of, scope)
-        counts["permissions"] = sinks.replace_permissions_snapshot(flat.drop("execution_id"), root)
-        report("IAM_POLICY_COLLECTION", bindings=counts["permissions"])
+        n = sinks.replace_permissions_snapshot(flat.drop("execution_id"), root)
+        report("IAM_POLICY_COLLECTION", bindings=n)
+        return {"permissions": n}
 
-    with job("RESOURCE_COLLECTION"):
+    def collect_resources() -> dict[str, int]:
         inv = ingest.normalize_resource_inventory(asset_rows, f"{run_id}-res", as_of, scope)
-        counts["inventory"] = catalogue.append_snapshot(inv, root, "gcp_resource_inventory_history", ["resource_id"], execution_id=f"{run_id}-res", **day)
-        report("RESOURCE_COLLECTION", resources=counts["inventory"])
+        n = catalogue.append_snapshot(inv, root, "gcp_resource_inventory_history", ["resource_id"], execution_id=f"{run_id}-res", **day)
+        report("RESOURCE_COLLECTION", resources=n)
+        return {"inventory": n}
 
-    with job("PRINCIPAL_COLLECTION"):
+    def collect_principals() -> dict[str, int]:
+        done = {}
         if group_docs is not None:
             members = ingest.stamp_snapshot(ingest.flatten_group_memberships(group_docs), f"{run_id}-grp", as_of, "assessed_at")
-            counts["memberships"] = catalogue.append_snapshot(members, root, "google_group_membership_history", ["group_email", "member_email"], execution_id=f"{run_id}-grp", **day)
-        catalog = masters.merge_principals(cur("principal_catalog"), masters.dedupe_principals(principals), as_of,
-                                           complete=collection_complete)
-        counts["principal_catalog"] = sinks.replace_snapshot(catalog.drop("affected"), root, "principal_catalog")
-        report("PRINCIPAL_COLLECTION", principals=counts["principal_catalog"])
-
-    # 3. reconcile against the fresh snapshot: close what is gone, append what is not already OPEN
-    with job("IAM_RECONCILIATION"):
-        req, perm = cur("iam_access_requests"), cur("iam_policy_permissions")
-        detected = keep(reconcile.reconcile(req, perm, as_of))
-        counts["issues_detected"] = detected.count()
-        if sinks.table_exists(spark, root, "iam_reconciliation_issues"):
-            existing = keep(reconcile.resolve_stale_issues(cur("iam_reconciliation_issues").drop("resolved_at", "p_date"), detected, as_of))
-            counts["issues_closed"] = existing.filter(F.col("resolved_at").isNotNull()).count()
-            new = reconcile.reconcile_new_only(detected, existing)
-            everything = existing.unionByName(new.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")))
-            counts["issues"] = sinks.replace_snapshot(everything, root, "iam_reconciliation_issues") - existing.count()
-        else:
-            counts["issues_closed"] = 0
-            counts["issues"] = sinks.write_table(detected.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")), root, "iam_reconciliation_issues")
-        report("IAM_RECONCILIATION", detected=counts["issues_detected"], appended=counts["issues"], closed=counts["issues_closed"])
-
-    # 4. history: raw archive + enriched snapshot
-    with job("IAM_BINDINGS_HISTORY_UPDATE"):
+            done["memberships"] = catalogue.append_snapshot(members, root, "google_group_membership_history", ["group_email", "member_email"], execution_id=f"{run_id}-grp", **day)
+        source = masters.dedupe_principals(principals)
+
+        def merged(now: DataFrame) -> DataFrame:
+            """Rows that the merge makes different in more than the time of the update, and new ones."""
+            after = masters.merge_principals(now, source, as_of, complete=collection_complete).filter("affected").drop("affected")
+            same = [c for c in after.columns if c != "updated_at"]
+            before = now.select(*(F.col(c).alias(f"_{c}") for c in same))
+            match = F.lit(True)
+            for c in same:
+                match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+            return after.join(before, match, "left_anti")
+
+        done["principals_changed"] = sinks.upsert(spark, root, "principal_catalog", ["principal_email"], merged)
+        report("PRINCIPAL_COLLECTION", principals=done["principals_changed"])
+        return done
+
+    def reconcile_issues() -> dict[str, int]:
+        """Against the fresh snapshot: close what is gone, add what is not already OPEN."""
+        detected = keep(reconcile.reconcile(cur("iam_access_requests").drop("p_date"), cur("iam_policy_permissions"), as_of))
+        none = detected.limit(0).withColumn("resolved_at", F.lit(None).cast("timestamp_ntz"))
+        if not sinks.table_exists(spark, root, "iam_reconciliation_issues"):
+            sinks.replace_snapshot(none, root, "iam_reconciliation_issues")
+        deltas = []
+
+        def delta(now: DataFrame) -> DataFrame:
+            still = now.select(*none.columns)
+            closed = reconcile.resolve_stale_issues(still.drop("resolved_at"), detected, as_of).filter(F.col("resolved_at").isNotNull())
+            # what is closed here was not detected, so it cannot hide a detection
+            new = reconcile.reconcile_new_only(detected, still).withColumn("resolved_at", F.lit(None).cast("timestamp_ntz"))
+            deltas.append(keep(closed.select(*none.columns).unionByName(new)))
+            return deltas[-1]
+
+        n = sinks.upsert(spark, root, "iam_reconciliation_issues", ["issue_id"], delta)
+        closed = deltas[-1].filter(F.col("resolved_at").isNotNull()).count()
+        done = {"issues_detected": detected.count(), "issues_closed": closed, "issues": n - closed}
+        report("IAM_RECONCILIATION", detected=done["issues_detected"], appended=done["issues"], closed=closed)
+        return done
+
+    def update_history() -> dict[str, int]:
+        """Raw archive, enriched snapshot and intervals."""
+        req, perm = cur("iam_access_requests").drop("p_date"), cur("iam_policy_permissions")
         triple = ["principal_email", "resource_name"]
-        counts["raw_history"] = catalogue.append_snapshot(snapshots.archive_raw_bindings(perm, f"{run_id}-raw", as_of), root,
-                                                 "iam_policy_bindings_raw_history", [*triple, "role"], execution_id=f"{run_id}-raw", **day)
+        raw = catalogue.append_snapshot(snapshots.archive_raw_bindings(perm, f"{run_id}-raw", as_of), root,
+                                        "iam_policy_bindings_raw_history", [*triple, "role"], execution_id=f"{run_id}-raw", **day)
         snap = snapshots.bindings_history_snapshot(perm, req, cur("iam_status_master"), f"{run_id}-hist", as_of)
-        counts["bindings_history"] = catalogue.append_snapshot(snap, root, "iam_permission_bindings_history", [*triple, "iam_role"], execution_id=f"{run_id}-hist", **day)
+        enriched = catalogue.append_snapshot(snap, root, "iam_permission_bindings_history", [*triple, "iam_role"], execution_id=f"{run_id}-hist", **day)
         folded = intervals.store_snapshot(spark, root, perm, as_of)
-        counts["intervals_closed"], counts["intervals_open"] = folded["closed"], folded["open"]
-        report("IAM_BINDINGS_HISTORY_UPDATE", raw=counts["raw_history"], enriched=counts["bindings_history"])
-
-    # 5. role discovery
-    with job("IAM_ROLE_DISCOVERY"):
-        role_master = cur("iam_role_master")
-        new_roles = masters.register_roles(reports.unknown_roles(perm, role_master), translations, as_of)
-        merged = role_master.unionByName(new_roles, allowMissingColumns=True)
-        counts["roles_added"] = sinks.replace_snapshot(merged, root, "iam_role_master") - role_master.count()
-        report("IAM_ROLE_DISCOVERY", added=counts["roles_added"])
+        report("IAM_BINDINGS_HISTORY_UPDATE", raw=raw, enriched=enriched)
+        return {"raw_history": raw, "bindings_history": enriched, "intervals_closed": folded["closed"], "intervals_open": folded["open"]}
+
+    def discover_roles() -> dict[str, int]:
+        perm = cur("iam_policy_permissions")
+
+        def unknown(now: DataFrame) -> DataFrame:
+            new = masters.register_roles(reports.unknown_roles(perm, now), translations, as_of)
+            return now.limit(0).unionByName(new, allowMissingColumns=True)
+
+        n = sinks.upsert(spark, root, "iam_role_master", ["role_id"], unknown)
+        report("IAM_ROLE_DISCOVERY", added=n)
+        return {"roles_added": n}
+
+    steps = {"EXPIRED_PERMISSION_REVOCATION": revoke, "IAM_POLICY_COLLECTION": collect_policies, "RESOURCE_COLLECTION": collect_resources,
+             "PRINCIPAL_COLLECTION": collect_principals, "IAM_RECONCILIATION": reconcile_issues,
+             "IAM_BINDINGS_HISTORY_UPDATE": update_history, "IAM_ROLE_DISCOVERY": discover_roles}
+    attempt, done = ledger.begin(spark, root, run_id)
+    counts: dict[str, int] = {}
+    for name, step in steps.items():
+        if name not in done:
+            with job(name):
+                done[name] = step()
+            ledger.finish(spark, root, run_id, attempt, name, done[name], as_of)
+        counts.update(done[name])
+    for table in CHANGED_TABLES:
+        sinks.compact(spark, root, table)
+    ledger.finish(spark, root, run_id, attempt, ledger.RUN, counts, as_of)
     return counts
 
 
