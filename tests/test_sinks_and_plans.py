@@ -11,6 +11,7 @@ from grantlens.operators import reconcile as rc
 from grantlens.operators import reports
 from grantlens.plans import daily
 from grantlens.sources import catalogue, sinks
+from grantlens.sources.nested import asset_rows as daily_assets, policy_docs as daily_docs
 
 from .conftest import SF_SMALL
 
@@ -179,13 +180,23 @@ def test_run_daily(spark, tables, tmp_path, monkeypatch):
 
 def test_run_daily_resumes_and_writes_changes_only(spark, tables, tmp_path, monkeypatch):
     """A run that is cut off in a step, and one that is not, leave the same tables; a quiet day changes no row."""
-    recent = {"iam_access_requests": "requested_at >= '1998-07-25'", "iam_access_change_log": "executed_at >= '1998-12-01'",
-              "iam_access_request_history": "event_at >= '1998-07-30'"}
+    def small(name, n, condition="true"):  # a folder a day is slow to write in a test
+        path = str(tmp_path / "small" / f"{name}-{n}")
+        tables[name].filter(condition).orderBy(*tables[name].columns[:3]).limit(n).coalesce(1).write.parquet(path)
+        return spark.read.parquet(path)
+
+    expired = small("iam_access_requests", 12, "status = 'APPROVED' and request_type <> 'REVOKE' and expires_at < '2001-01-01'")
+    seed = {"iam_access_requests": expired.unionByName(small("iam_access_requests", 8, "status <> 'APPROVED'")),
+            "iam_policy_permissions": small("iam_policy_permissions", 40), "iam_access_change_log": small("iam_access_change_log", 3),
+            "iam_access_request_history": small("iam_access_request_history", 3), "principal_catalog": small("principal_catalog", 20),
+            "iam_role_master": small("iam_role_master", 2), "iam_status_master": small("iam_status_master", 50)}
     whole, cut = str(tmp_path / "whole"), str(tmp_path / "cut")
-    for table, fixture in daily.SEED_TABLES.items():
+    for table in daily.SEED_TABLES:
         for root in (whole, cut):
-            sinks.replace_snapshot(tables[fixture].filter(recent.get(table, "true")), root, table)
-    inputs = daily.demo_inputs(spark, SF_SMALL)
+            sinks.replace_snapshot(seed[table], root, table)
+    perm = seed["iam_policy_permissions"]
+    inputs = {"policy_docs": daily_docs(perm), "asset_rows": daily_assets(small("gcp_resource_inventory", 20)), "principals": small("principal_feed", 15),
+              "translations": perm.selectExpr("role as role_id", "concat('x ', role) as role_name_ja").distinct()}
     counts = daily.run_daily(spark, whole, AS_OF, "run1", **inputs)
     assert counts["requests_changed"] > 0 and counts["issues"] > 0
 
