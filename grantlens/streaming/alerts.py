@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +38,40 @@ def once_per_id(events: DataFrame) -> DataFrame:
     return named.unionByName(events.filter(F.col("history_id").isNull()))
 
 
+#: Settings of a write by day: rows are rebalanced, hot days split, and small days not gathered into one task, which would write its files one by one.
+BY_DAY = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+@contextmanager
+def _settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """``conf`` set in ``spark`` (a stream's batches have a session of their own) and as it was afterwards."""
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def stream_history_ingest(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """#93: append audit events once each to a table of day partitions, however late they come.
 
     The ids live in a RocksDB state store under ``checkpoint``, on the executors' disks with their changes in the
     shared folder, so the state may outgrow memory.  A micro-batch writes its own ``epoch=<n>`` folder by overwrite:
     run again after a failure, it takes the same ids from the state's version and replaces its own rows, and
-    events without an id are not doubled either.  Read the table with :func:`read_history`."""
+    events without an id are not doubled either.  Read the table with :func:`read_history`.
+
+    A stream plans its batches without AQE, which drops the rebalance by day, and then every state task writes a
+    file for every day.  The state's plan is fixed when the batch comes in, so AQE is on for the write alone."""
     spark = stream.sparkSession
     keep = [c for c in stream.columns if c not in ("event_date", "epoch")]
 
     def append(batch: DataFrame, epoch_id: int) -> None:
-        rows = batch.withColumn("event_date", F.col("event_at").cast("date")).hint("rebalance", "event_date")
-        rows.write.mode("overwrite").partitionBy("event_date").parquet(os.path.join(path, f"epoch={epoch_id}"))
+        with _settings(batch.sparkSession, BY_DAY):
+            rows = batch.withColumn("event_date", F.col("event_at").cast("date")).hint("rebalance", "event_date")
+            rows.write.mode("overwrite").partitionBy("event_date").parquet(os.path.join(path, f"epoch={epoch_id}"))
 
     w = once_per_id(stream.select(*keep)).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from grantlens.streaming import alerts as st
 
 
@@ -57,6 +59,16 @@ def test_events_without_id_copies_with_another_time_and_batches_run_again(spark,
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
 
 
+def test_a_day_is_written_by_few_tasks(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    events = spark.range(400).selectExpr("concat('h', id) as history_id", "'r' as request_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 10 as int)) as event_at")
+    events.coalesce(1).write.parquet(source)
+    st.stream_history_ingest(spark.readStream.schema(events.schema).parquet(source), out, str(tmp_path / "ckpt"), available_now=True).awaitTermination()
+    files = spark.read.parquet(out).select("event_date", F.input_file_name().alias("f")).distinct()
+    assert files.count() == 10
+    assert spark.read.parquet(out).count() == 400
+
+
 def test_status_refresh_follows_changing_tables(spark, tmp_path, tables):
     root, source, out = str(tmp_path / "log"), str(tmp_path / "in"), str(tmp_path / "out")
     log = tables["iam_access_change_log"]
