@@ -28,11 +28,12 @@ OPEN_TABLE, CLOSED_TABLE = "iam_binding_intervals_open", "iam_binding_intervals_
 def binding_intervals(raw_hist: DataFrame, ts_col: str = "assessment_timestamp") -> DataFrame:
     """Intervals of every triple over all snapshots of a history (a null principal is a value like any other).
 
-    The snapshots are numbered in one small window (one row each).  A triple's rows are at most one a snapshot."""
+    The snapshots are numbered in one small window (one row each) and that list is broadcast: a shuffle by time would
+    leave a whole snapshot to one task.  A triple's rows are at most one a snapshot."""
     times = raw_hist.select(F.col(ts_col).alias("at")).distinct()
     order = Window.orderBy("at")
     times = times.select("at", F.row_number().over(order).alias("nth"), F.lead("at").over(order).alias("next"))
-    seen = raw_hist.select(*TRIPLE, F.col(ts_col).alias("at")).distinct().join(times, "at")
+    seen = raw_hist.select(*TRIPLE, F.col(ts_col).alias("at")).distinct().join(F.broadcast(times), "at")
     # consecutive snapshots of one binding have the same difference between their number and its rank
     run = F.col("nth") - F.row_number().over(Window.partitionBy(*TRIPLE).orderBy("nth"))
     return (seen.withColumn("run", run).groupBy(*TRIPLE, "run")

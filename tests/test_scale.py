@@ -245,3 +245,10 @@ def test_replay_and_digests_against_a_loop(spark, small_bytes):
     assert stored == {tuple(r) for r in policy_states(left).collect()}
     again = wf.change_digests(bindings, changes, replay, states, small_bytes)
     assert {r.request_id: (r.before_hash, r.after_hash) for r in again.collect()} == hashes
+
+
+def test_intervals_are_not_shuffled_by_time(spark, conf, history):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    found = plan(iv.binding_intervals(history))
+    assert "BroadcastHashJoin" in found and "SortMergeJoin" not in found
