@@ -48,18 +48,19 @@ def heavy_keys(bag: DataFrame, keys: Sequence[str], partitions: int) -> list[int
 def split_join(bag: DataFrame, context: DataFrame, keys: Sequence[str], how: str = "left", small_bytes: int = SMALL_BYTES) -> DataFrame:
     """``bag.join(context, keys, how)`` for ``how`` = left or inner, with heavy keys of ``bag`` split over many tasks.
 
-    ``context`` should have one row a key (more are right as well, only repeated more often).
+    ``context`` should have one row a key (more are right as well, only repeated more often).  It is hashed: its keys spread
+    over the tasks, and the bag, which may hold a key often, streams past it and is never sorted.
     Column order is that of the plain join: keys, other columns of ``bag``, other columns of ``context``."""
     if how not in ("left", "inner"):
         raise ValueError(f"split_join keeps the rows of its left side: {how}")
     if source_bytes(bag) < small_bytes:
-        return bag.join(context, list(keys), how)
+        return bag.join(context.hint("shuffle_hash"), list(keys), how)
     partitions = int(bag.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heavy = heavy_keys(bag, keys, partitions)
     if not heavy:
-        return bag.join(context, list(keys), how)
+        return bag.join(context.hint("shuffle_hash"), list(keys), how)
     salts = max(16, 2 * partitions)
     is_heavy = F.coalesce(_key_hash(keys).isin(heavy), F.lit(False))
     dealt = bag.withColumn("_salt", F.when(is_heavy, F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0)))
     repeated = context.withColumn("_salt", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return dealt.join(repeated.hint("shuffle_hash"), [*keys, "_salt"], how).drop("_salt")

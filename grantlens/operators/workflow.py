@@ -46,8 +46,14 @@ def normalize_reviews(raw: DataFrame, batch_col: str | None = None) -> DataFrame
         # one batch: a one-row global aggregate (partial, map-side), broadcast back
         errs = df.agg(F.min("_bad").alias("batch_error")).withColumn("_b", F.lit(0))
         return df.withColumn("_b", F.lit(0)).join(F.broadcast(errs), "_b", "left").drop("_bad", "_b")
-    errs = df.filter(F.col("_bad").isNotNull()).groupBy(F.col(batch_col).alias("_batch")).agg(F.min("_bad").alias("batch_error"))
-    return df.join(errs, F.col(batch_col).eqNullSafe(F.col("_batch")), "left").drop("_bad", "_batch")
+    df = df.withColumn("_batch", _batch_key(batch_col))
+    errs = df.filter(F.col("_bad").isNotNull()).groupBy("_batch").agg(F.min("_bad").alias("batch_error"))
+    return split_join(df, errs, ["_batch"]).drop("_bad", "_batch")
+
+
+def _batch_key(batch_col: str) -> Column:
+    """A batch as a key that joins: null is a batch like any other.  One batch may hold a large share of all lines."""
+    return F.concat(F.lit("b"), F.coalesce(F.concat(F.lit("="), F.col(batch_col).cast("string")), F.lit("")))
 
 
 def review_decisions(updates: DataFrame, req: DataFrame, actor_source: str = "SHEET_BULK_REVIEW",
@@ -69,8 +75,9 @@ def review_decisions(updates: DataFrame, req: DataFrame, actor_source: str = "SH
         u = u.withColumn("seq", F.lit(0).cast("long"))
     batch_key = [batch_col] if batch_col else []
     if batch_col:
-        has_id = u.filter(F.col("_id") != "").select(F.col(batch_col).alias("_batch")).distinct()
-        u = u.join(has_id, F.col(batch_col).eqNullSafe(F.col("_batch")), "left_semi")
+        u = u.withColumn("_batch", _batch_key(batch_col))
+        has_id = u.filter(F.col("_id") != "").select("_batch").distinct()
+        u = split_join(u, has_id, ["_batch"], "inner").drop("_batch")
     snap = req.select(F.col("request_id").alias("_id"), F.col("status").alias("_old"),
                       F.col("approver_email").alias("_approver"), F.lit(True).alias("_found"))
     j = u.join(snap, "_id", "left")

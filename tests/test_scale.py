@@ -252,3 +252,17 @@ def test_intervals_are_not_shuffled_by_time(spark, conf, history):
     conf("spark.sql.adaptive.enabled", "false")
     found = plan(iv.binding_intervals(history))
     assert "BroadcastHashJoin" in found and "SortMergeJoin" not in found
+
+
+def test_lines_of_a_large_submission_are_not_sorted_by_it(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    lines = [("1", "APPROVED", None), ("2", "HOLD", "late"), ("", "APPROVED", "late"), ("3", "REJECTED", ""), ("", "APPROVED", "blank")]
+    raw = spark.createDataFrame([(i, s, "", "boss@x", b, 1) for i, s, b in lines], "request_id string, status string, reject_reason string, actor_email string, b string, seq long")
+    named = wf.normalize_reviews(raw, "b")
+    assert "SortMergeJoin" not in plan(named) and "ShuffledHashJoin" in plan(named)
+    assert {(r.request_id, r.b): r.batch_error for r in named.collect()} == {
+        ("1", None): None, ("2", "late"): "invalid status: HOLD", ("", "late"): "invalid status: HOLD", ("3", ""): None, ("", "blank"): None}
+    req = spark.createDataFrame([("1", "PENDING", "boss@x")], "request_id string, status string, approver_email string")
+    decided = wf.review_decisions(named.filter("batch_error is null").drop("batch_error", "status_raw"), req, batch_col="b")
+    assert sorted((r.b is None, r.request_id, r.outcome, r.error_code) for r in decided.collect()) == [(False, "3", "ERROR", "NOT_FOUND"), (True, "1", "UPDATED", None)]
