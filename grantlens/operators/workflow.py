@@ -354,13 +354,13 @@ def revoke_expired(req: DataFrame, perm: DataFrame, bindings: DataFrame, as_of:
                    execution_id: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """#86: expired grants -> change-log rows, status decisions, history, remaining bindings and the job summary.
 
-    ``keep`` may store the decided rows (write and read back), so that a caller
-    who needs several of the results decides once.
+    ``keep`` may store a step that several others take (write and read back):
+    the expired grants, which the diff reads more than once, and the decided rows.
 
     Not active -> SKIPPED, REVOKED_ALREADY_GONE.  Active -> REVOKE diff:
     SUCCESS -> REVOKED, SKIPPED -> REVOKED_ALREADY_GONE, otherwise REVOKE_FAILED.
     """
-    exp = expired_grants(req, perm, as_of)
+    exp = keep(expired_grants(req, perm, as_of))
     active = exp.filter(F.col("is_permission_active"))
     left, diff = policy_diff(bindings, active.select("request_id", F.lit(K.REVOKE).alias("action"), "resource_name",
                                                   "role", "principal_email"))

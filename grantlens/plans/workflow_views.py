@@ -398,8 +398,8 @@ d AS (
 
 
 def _revoke(t):
-    return wf.revoke_expired(t["iam_access_requests"], t["iam_policy_permissions"],
-                             wf.binding_rows(t["iam_policy_permissions"]), AS_OF, RUN_ID)
+    perm = t.keep(t["iam_policy_permissions"].select("resource_name", "principal_email", "principal_type", "role"))
+    return wf.revoke_expired(t["iam_access_requests"], perm, wf.binding_rows(perm), AS_OF, RUN_ID, keep=t.keep)
 
 
 @register("revoke_expired_log", REVOKE_SQL + f"""

@@ -266,3 +266,10 @@ def test_lines_of_a_large_submission_are_not_sorted_by_it(spark, conf):
     req = spark.createDataFrame([("1", "PENDING", "boss@x")], "request_id string, status string, approver_email string")
     decided = wf.review_decisions(named.filter("batch_error is null").drop("batch_error", "status_raw"), req, batch_col="b")
     assert sorted((r.b is None, r.request_id, r.outcome, r.error_code) for r in decided.collect()) == [(False, "3", "ERROR", "NOT_FOUND"), (True, "1", "UPDATED", None)]
+
+
+def test_expired_grants_are_found_once(spark, tables):
+    kept = []
+    perm = tables["iam_policy_permissions"]
+    wf.revoke_expired(tables["iam_access_requests"], perm, wf.binding_rows(perm), "2001-08-02 00:00:00", "run", lambda df: kept.append(df.columns) or df)
+    assert len(kept) == 2 and "is_permission_active" in kept[0] and "result" not in kept[0] and "new_status" in kept[1]
