@@ -187,7 +187,9 @@ def sheet_permission_history(bindings_hist: DataFrame, req: DataFrame, log: Data
 
     Latest snapshot = newest (recorded_at, execution_id).  Bindings without a
     request (every unmanaged one) join nothing, so they are kept out of the
-    joins by request_id, where they would all be one key.
+    join by request_id, where they would all be one key.  The others meet one
+    context row a request, put together first; the masters are broadcast, since
+    a shuffle by status or role would leave all rows to a handful of tasks.
     """
     snap = latest_snapshot(bindings_hist, "recorded_at")
     r = req.select("request_id", "expires_at", F.col("status").alias("request_status"))
@@ -195,9 +197,9 @@ def sheet_permission_history(bindings_hist: DataFrame, req: DataFrame, log: Data
     rm = role_master.select(F.col("role_id").alias("iam_role"), "role_name_ja")
     lcl = latest_execution_per_request(log).select(
         "request_id", F.col("action").alias("last_action"), F.col("result").alias("last_result"))
-    known = (snap.filter(F.col("request_id").isNotNull()).join(r, "request_id", "left")
-             .join(sm, "request_status", "left").join(lcl, "request_id", "left"))
-    j = known.unionByName(snap.filter(F.col("request_id").isNull()), allowMissingColumns=True).join(rm, "iam_role", "left")
+    context = r.join(lcl, "request_id", "left").join(F.broadcast(sm), "request_status", "left")
+    known = split_join(snap.filter(F.col("request_id").isNotNull()), context, ["request_id"])
+    j = known.unionByName(snap.filter(F.col("request_id").isNull()), allowMissingColumns=True).join(F.broadcast(rm), "iam_role", "left")
     return j.select(
         "resource_name", "resource_id", F.col("principal_email").alias("principal"), "principal_type", "iam_role",
         F.coalesce(F.col("role_name_ja"), F.regexp_replace("iam_role", r"^roles/", "")).alias("display_role_name"),

@@ -43,11 +43,11 @@ def bindings_history_snapshot(perm: DataFrame, req: DataFrame, status_master: Da
     """#42: bindings + newest request context + status label + review date (17 columns).
 
     The request context is joined by triple with a shuffle; the status master
-    is a short list that AQE broadcasts by its measured size.
+    is broadcast: a shuffle by its handful of codes would leave all rows to as many tasks.
     """
     ctx = newest_request_context(req)
     sm = status_master.select(F.col("status_code").alias("status"), "status_ja")
-    j = split_join(perm.select("resource_name", "principal_email", "principal_type", "role"), ctx, TRIPLE).join(sm, "status", "left")
+    j = split_join(perm.select("resource_name", "principal_email", "principal_type", "role"), ctx, TRIPLE).join(F.broadcast(sm), "status", "left")
     return j.select(
         F.lit(execution_id).alias("execution_id"), ts(as_of).alias("recorded_at"), "resource_name",
         regexp_extract_or_null(F.col("resource_name"), r"^projects/([^/]+)").alias("resource_id"),

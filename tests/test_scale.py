@@ -13,6 +13,7 @@ import __spark_entry__ as E
 from grantlens.functions.columns import TRIPLE
 from grantlens.operators import intervals as iv
 from grantlens.operators import matrix
+from grantlens.operators import reports as rp
 from grantlens.operators import snapshots as sn
 from grantlens.operators import workflow as wf
 from grantlens.operators.prefix import before
@@ -247,6 +248,17 @@ def test_replay_and_digests_against_a_loop(spark, small_bytes):
     assert {r.request_id: (r.before_hash, r.after_hash) for r in again.collect()} == hashes
 
 
+def test_masters_are_not_joined_by_a_shuffle_of_all_rows(spark, conf, tables):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    req, master = tables["iam_access_requests"], tables["iam_status_master"]
+    snap = sn.bindings_history_snapshot(tables["iam_policy_permissions"], req, master, "run", "2001-08-02 00:00:00")
+    found = plan(rp.sheet_permission_history(snap, req, tables["iam_access_change_log"], master, tables["iam_role_master"]))
+    joins = [line for line in found.splitlines() if "Join" in line and "LeftOuter" in line]
+    by_master = [line for line in joins if "[status#" in line or "[request_status#" in line or "[iam_role#" in line]
+    assert by_master and all("BroadcastHashJoin" in line for line in by_master)
+
+
 def test_intervals_are_not_shuffled_by_time(spark, conf, history):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.enabled", "false")
