@@ -42,39 +42,48 @@ _SMALL = np.ceil(np.log2(np.arange(1 << 16) + 1)).astype(np.uint8)
 
 
 def _choose(values: np.ndarray) -> np.ndarray:
-    """Per position the smallest selector whose word could start there (16: escape)."""
-    running = _bits(values)  # running[i]: the largest width among values i .. i+have-1
-    best = np.full(len(values), 16, np.uint8)
-    best[running <= 60] = 15
-    room = BLOCK - np.arange(len(values)) % BLOCK  # a word stays in its block
+    """Per position the smallest selector whose word could start there (16: escape), a row for each block."""
+    width = np.full(-(-len(values) // BLOCK) * BLOCK, 255, np.uint8)  # no word takes what fills up the last block
+    width[:len(values)] = _bits(values)
+    running = width.reshape(-1, BLOCK)  # running[:, i]: the largest width among values i .. i+have-1 of a block
+    best = np.uint8(16) - (running <= 60).view(np.uint8)
     have = 1
     for s in range(14, -1, -1):
         want = int(COUNTS[s])
-        while have < want and len(running):
+        while have < want:
             step = min(have, want - have)
-            running = np.maximum(running[:-step], running[step:]) if len(running) > step else running[:0]
+            running = np.maximum(running[:, :-step], running[:, step:])
             have += step
-        fits = running <= WIDTHS[s]
+        fits = running <= int(WIDTHS[s])
         if not fits.any():  # nor does any smaller selector: more values in fewer bits
             break
-        best[:len(running)][fits & (room[:len(running)] >= want)] = s
+        best[:, :running.shape[1]] -= fits.view(np.uint8)  # where it fits, all larger selectors did
     return best
 
 
+def _starts(selector: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the words of ``n`` values starts; the blocks advance together, a word a round."""
+    jump, selector = np.append(COUNTS, 1), selector.ravel()
+    at = np.arange(0, n, BLOCK)
+    end, rounds = np.minimum(at + BLOCK, n), []
+    while len(at):
+        rounds.append(at)
+        at = at + jump[selector[at]]
+        go = at < end
+        if not go.all():
+            at, end = at[go], end[go]
+    return np.sort(np.concatenate(rounds)) if rounds else at
+
+
 def _encode_blocks(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of whole blocks (the last may be short), and the word offset at which each block ends."""
     selector = _choose(v)
-    jump = np.append(COUNTS, 1)[selector].tolist()
-    at, starts, end = 0, [], len(v)
-    while at < end:
-        starts.append(at)
-        at += jump[at]
-    starts = np.array(starts, np.int64)
-    chosen = selector[starts]
+    starts = _starts(selector, len(v))
+    chosen = selector.ravel()[starts]
     escaped = chosen == 16
     place = np.arange(len(starts)) + np.cumsum(escaped) - escaped
     out = np.zeros(len(starts) + int(escaped.sum()), _U)
-    for s in np.unique(chosen).tolist():
+    for s in np.flatnonzero(np.bincount(chosen)).tolist():
         mine = np.flatnonzero(chosen == s)
         if s == 16:
             out[place[mine]] = _U(0xFFFFFFFFFFFFFFFF)
@@ -82,8 +91,9 @@ def _encode_blocks(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         packed = np.full(len(mine), s << 60, _U)
         if WIDTHS[s]:
+            at = starts[mine]
             for i in range(int(COUNTS[s])):
-                packed |= v[starts[mine] + i] << _U(i * int(WIDTHS[s]))
+                packed |= v[at + i] << _U(i * int(WIDTHS[s]))
         out[place[mine]] = packed
     heads = np.searchsorted(starts, np.arange(BLOCK, len(v) + BLOCK, BLOCK))
     return out, np.append(place, len(out))[heads]
@@ -93,8 +103,8 @@ def encode(values: np.ndarray) -> bytes:
     """MAGIC, number of values, number of blocks, word offset of each block and of the end, then the words."""
     values = np.ascontiguousarray(values, _U)
     words, offsets, base = [], [np.zeros(1, np.int64)], 0
-    for i in range(0, len(values), 256 * BLOCK):
-        out, ends = _encode_blocks(values[i:i + 256 * BLOCK])
+    for i in range(0, len(values), 1024 * BLOCK):
+        out, ends = _encode_blocks(values[i:i + 1024 * BLOCK])
         words.append(out.astype("<u8").tobytes())
         offsets.append(ends + base)
         base += len(out)

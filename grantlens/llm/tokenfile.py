@@ -60,10 +60,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
     """Encode every whole text (null: empty), append ``end_id`` and write the segments to ``path``.
 
     Rows without doc_id come last; rows with equal doc_id are ordered by a hash of their text.  ``memo_words``
-    bounds the words whose ids a Python worker keeps (about 300 bytes each)."""
+    bounds the words whose ids a Python worker keeps (about 300 bytes each); a third of it is for new words."""
     text_batches(docs.sparkSession)
     schema, arrow = arrow_schema(SEGMENTS)
-    dtype = id_dtype(tokenizer)
+    dtype = np.dtype(id_dtype(tokenizer) if end_id < 1 << 16 else "<u4").str
+    end = np.array([end_id], dtype).tobytes()
 
     def run(batches):
         encode = encoder(tokenizer, memo_words, dtype).encode
@@ -83,7 +84,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
             texts = batch.column(1).to_pylist()
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(["" if t is None else t for t in texts])):
                 ids.append(doc_id)
-                tokens.append(np.append(np.frombuffer(raw, dtype), np.uint32(end_id)).astype(np.uint32))
+                tokens.append(np.frombuffer(raw + end, dtype))
                 held += len(tokens[-1])
                 if held >= segment_ids:
                     yield emit()
@@ -102,7 +103,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))  # one row a write task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("before"))
-    return segments.join(parts, "part").withColumn("start", F.col("before") + F.col("part_start"))
+    return segments.join(F.broadcast(parts), "part").withColumn("start", F.col("before") + F.col("part_start"))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

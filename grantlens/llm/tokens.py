@@ -6,9 +6,12 @@ its lines and space-led words one after the other.  Each Python worker keeps
 the ids of words it has met, as bytes, and asks the library only for others:
 its model where the word is plain letters (the normaliser and the byte
 alphabet then work letter by letter, and are taken from the library), its
-``encode`` otherwise.  Texts in which a cut could be unsafe (other white
-space, runs of spaces or newlines, unusual characters) go to ``encode`` whole.
-So the ids are always the library's.
+``encode`` otherwise.  Both also cut between a letter and the signs after it,
+so a word that ends in signs is its letters' ids and the signs'.  Most
+distinct words of a large corpus are rare: new words go to a small store that
+is emptied when full, and those met again there stay.  Texts in which a cut
+could be unsafe (other white space, runs of spaces or newlines, unusual
+characters) go to ``encode`` whole.  So the ids are always the library's.
 """
 
 from __future__ import annotations
@@ -23,7 +26,10 @@ import numpy as np
 #: Spaces, newlines, and characters that are visible whatever the Unicode version.
 _SAFE = re.compile("[ \n!-~¡-ᙿⰀ-⿟ぁ-퟿]*")
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-_PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?]*)")
+#: Signs that neither join a letter before them nor begin a special token.
+_SIGNS = ".,;:!?#$%&*"
+#: Longer words (encoded data, say) are not kept, so that a store of so many words has a bounded size.
+_LONG = 64
 _ENCODERS: dict[tuple[str, int, str], WordMemo] = {}
 
 
@@ -31,31 +37,60 @@ class _Run(Exception):
     """A space or newline does not stand alone."""
 
 
+class _Other(Exception):
+    """A word has characters beside the plain letters."""
+
+
+class _Letters(dict):
+    """Code point of a letter -> its text in the model's alphabet, for ``str.translate``."""
+
+    def __missing__(self, point: int) -> str:
+        raise _Other
+
+
 class _Words(dict):
-    """word -> ids of ``lead + word``; new words are kept while there is room."""
+    """word -> ids of ``lead + word``: words that were met twice stay while there is room (two thirds of ``entries``),
+    others until ``new`` is full."""
 
-    def __init__(self, memo: WordMemo, lead: str, room: int):
+    def __init__(self, memo: WordMemo, lead: str, entries: int):
         super().__init__()
-        self.memo, self.lead, self.room = memo, lead, room
+        self.memo, self.lead, self.new = memo, lead, {}
+        self.room, self.new_room = entries - entries // 3, entries // 3
 
     def __missing__(self, word: str) -> bytes:
+        new = self.new
+        ids = new.get(word)
+        if ids is not None:
+            if len(self) < self.room:
+                self[word] = ids
+                del new[word]
+            return ids
         if not word:
             raise _Run
         memo = self.memo
-        plain = _PLAIN.fullmatch(word) if memo.by_letter else None
-        if plain is None:
+        if not memo.by_letter:
             ids = memo.ask(self.lead + word)
-        elif plain[2]:
-            ids = self[plain[1]] + memo.ends[plain[2]]
         else:
-            ids = memo.letters(self.lead, word)
-        if len(self) < self.room:
-            self[word] = ids
+            bare = word.rstrip(_SIGNS)
+            if len(bare) < len(word) and bare[-1:] in memo.plain:
+                known = bare in self
+                ids = self[bare] + memo.ends[word[len(bare):]]
+                if not known:  # the letters are new: with these signs they may be rarer still
+                    return ids
+            else:
+                try:
+                    ids = memo.letters(self.lead, word)
+                except _Other:
+                    ids = memo.ask(self.lead + word)
+        if len(word) <= _LONG:
+            if len(new) >= self.new_room:
+                new.clear()
+            new[word] = ids
         return ids
 
 
 class _Ends(dict):
-    """Ids of punctuation that ends a word."""
+    """Ids of the signs that end a word."""
 
     def __init__(self, memo: WordMemo):
         super().__init__()
@@ -63,7 +98,7 @@ class _Ends(dict):
 
     def __missing__(self, text: str) -> bytes:
         ids = self.memo.ask(text)
-        if len(text) < 4:
+        if len(text) <= _LONG and len(self) < 10_000:
             self[text] = ids
         return ids
 
@@ -84,7 +119,8 @@ class WordMemo:
         alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         normal = self.library.normalizer
         one = lambda c: alphabet.pre_tokenize_str(normal.normalize_str(c) if normal else c)[0][0]
-        self.table = {ord(c): one(c) for c in _LETTERS}
+        self.table, self.plain = _Letters((ord(c), one(c)) for c in _LETTERS), frozenset(_LETTERS)
+        self.tokenize = self.library.model.tokenize
         self.space = alphabet.pre_tokenize_str(" ")[0][0]
         self.by_letter = False
         self.ends = _Ends(self)
@@ -106,7 +142,7 @@ class WordMemo:
 
     def letters(self, lead: str, word: str) -> bytes:
         text = word.translate(self.table)
-        return self._bytes([t.id for t in self.library.model.tokenize(self.space + text if lead else text)])
+        return array(self.code, [t.id for t in self.tokenize(self.space + text if lead else text)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)

@@ -85,6 +85,34 @@ def test_word_memo_gives_the_library_ids(texts):
 MEMOS: dict = {}
 
 
+@given(st.lists(st.text(st.sampled_from(list("ab'é́.,;:!?#$%&*1-<|> \n"))), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_word_memo_cuts_before_signs(texts):
+    texts = texts + ["don't, x-, été.%% it'#", "<|endoftext|>! a<|endoftext|>.", "ÿ?! 12, ª*"]
+    for path in (BYTES, WORDS_49K):
+        memo = MEMOS.get(path) or MEMOS.setdefault(path, WordMemo(path, entries=40))
+        assert memo.encode(texts) == [e.tobytes() for e in (np.array(x.ids, "<u4") for x in memo.library.encode_batch(texts, add_special_tokens=False))]
+
+
+def test_word_memo_keeps_words_that_come_back(monkeypatch):
+    """Words met once do not take the room of those met again, nor does a word with other signs behind it ask anew."""
+    memo, asked = WordMemo(BYTES, entries=150), []
+    for name in ("letters", "ask"):
+        monkeypatch.setattr(memo, name, lambda *a, real=getattr(memo, name): (asked.append(a), real(*a))[1])
+    letters = "abcdefghijklmnop"
+    words = ["z" + "".join(letters[i >> k & 15] for k in (0, 4, 8)) for i in range(1000)]
+    once, common = words[:900], words[960:]
+    memo.encode(["a " + " ".join(once)])
+    asked.clear()
+    text = "a " + " ".join(w + end for end in ("", "", ".", "", "%%%", ",") for w in common)
+    for _ in range(3):
+        memo.encode([text])
+    assert len(asked) < 2 * len(common)
+    assert len(memo.led) + len(memo.led.new) <= 150
+    memo.encode(["a " + "q" * 500])
+    assert max(map(len, [*memo.led, *memo.led.new])) < 100  # a store of so many words has a bounded size
+
+
 def check_pieces(pieces, rows, window, end=1):
     ids = {}
     for (i, _), x in zip(rows, library_ids(WORDS_49K, [t for _, t in rows], end)):
@@ -166,6 +194,19 @@ def test_token_files(spark, docs, rows):
     assert tokenfile.read_document(bytes(segment.payload), 1).astype("<u4").tobytes() == {w[0]: w[3] for w in want}[doc_ids[1]]
 
 
+def test_token_files_are_read_without_a_shuffle(spark, docs):
+    """Only the number of ids of each part is shuffled; the segments stay where they are read."""
+    path = shared_path(spark, "test-token-files")
+    tokenfile.write_tokens(docs, path, BYTES, segment_ids=700)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = tokenfile.read_segments(spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_token_files_odd_rows(spark, odd_docs, no_docs):
     path = shared_path(spark, "test-token-files")
     tokenfile.write_tokens(odd_docs, path, BYTES)
