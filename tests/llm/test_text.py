@@ -1,5 +1,6 @@
 """Decontamination, packing, token files, token counts and the quality classifier."""
 
+import math
 import random
 import zlib
 
@@ -8,6 +9,8 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from tokenizers import Tokenizer
 
 from grantlens.llm import decontam, packing, rules, simple8b, tokencount, tokenfile
@@ -280,3 +283,39 @@ def test_corpus_is_what_the_tests_need():
     texts = [t for _, t in corpus()]
     assert None in texts and "" in texts and len(texts) > len(set(texts)) and max(len(t or "") for t in texts) > 30_000
     assert sentence(random.Random(1), 5) == sentence(random.Random(1), 5)
+
+
+def test_rule_fit_runs_few_jobs(spark):
+    """Each job broadcasts from the driver; a gradient method took some 180 of them to weigh the rules."""
+    rng = random.Random(8)
+    data = [(i, sentence(rng, rng.randrange(5, 60)) + ("  !!" if i % 3 else "") + (" AB" if rng.random() < 0.5 else "")) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int((len(t) > 150) != (rng.random() < 0.1))) for i, t in data], "doc_id long, quality int")
+    spark.sparkContext.setJobGroup("rule-fit", "")
+    try:
+        model = rules.fit(docs, labels)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert model.weights and len(spark.sparkContext.statusTracker().getJobIdsForGroup("rule-fit")) < 100
+
+
+def test_lasso_weights_are_the_optimum(spark):
+    rng = random.Random(9)
+    data = []
+    for _ in range(300):
+        x = [float(rng.random() < 0.2 + 0.1 * k) for k in range(6)]
+        data.append((float(rng.random() < 1 / (1 + math.exp(1 - 2 * x[0] + 3 * x[4]))), [*x, x[1], 1.0 - x[2], 1.0]))  # repeated, opposite and constant columns
+    rows = spark.createDataFrame(data, "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
+    flags = np.array([x for _, x in data])
+    label, spread = np.array([y for y, _ in data]), flags.std(axis=0, ddof=1)
+
+    def objective(intercept, weights):
+        eta = intercept + flags @ np.array(weights)
+        return np.mean(np.logaddexp(0, eta) - eta * label) + 0.02 * np.abs(np.array(weights) * spread).sum()
+
+    intercept, weights = rules.lasso(rows, 0.02)
+    other = LogisticRegression(elasticNetParam=1.0, regParam=0.02, maxIter=1000, tol=1e-12).fit(rows)
+    assert objective(intercept, weights) <= objective(other.intercept, other.coefficients.toArray()) * (1 + 1e-4)
+    assert weights[0] > 0 > weights[4] and weights[8] == 0
+    stopped = rules.lasso(rows, 0.02, rounds=0)  # no Newton step: the gradient method
+    assert abs(objective(*stopped) - objective(intercept, weights)) < 1e-4
